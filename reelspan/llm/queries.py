@@ -56,3 +56,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelspan.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelspan.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
