@@ -63,3 +63,25 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelspan.llm.ngram_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelspan.llm.common import crc_bucket
+    from reelspan.llm.toxicity import score_toxicity, train_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 5) == 0
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelspan.llm.common import crc_bucket
+    from reelspan.llm.langid import predict_language, train_language_model
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 3) == 1
+    model = train_language_model(docs, ~held_out)
+    return predict_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
