@@ -85,3 +85,28 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_bucket("doc_id", 3) == 1
     model = train_language_model(docs, ~held_out)
     return predict_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in; those of label quality 0 are deleted, toxic ones are recounted without symbols; the first batch is sent again."""
+    from reelspan.llm.token_counts import TokenRollup, count_tokens
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rollup = TokenRollup(spark)
+    counted = count_tokens(docs)
+    rollup.apply("load", inserted=counted)
+    poor = docs.join(labels.filter("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    rollup.apply("poor", deleted=count_tokens(poor))
+    toxic = docs.join(labels.filter("quality = 1 and toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    cleaned = toxic.withColumn("text", F.regexp_replace("text", r"[#*$%&|<>]+", ""))
+    rollup.apply("toxic", inserted=count_tokens(cleaned), deleted=count_tokens(toxic))
+    rollup.apply("load", inserted=counted)
+    return rollup.totals()
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelspan.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
