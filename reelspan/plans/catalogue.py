@@ -4,7 +4,443 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from reelspan.functions.format import clock, duration_human, human_size, srt_time, timestamp_ms
+from reelspan.functions.text import TOKEN, cut_middle, safe_stem, wrap
+from reelspan.functions.tolerant import parse_rate, to_float, to_int
+from reelspan.operators import align, history, intervals, ledger, media, packing, report, speakers, textstats
+from reelspan.plans.views import (
+    DAY, bench_li, chunk_emb, hist_ord, inv_pages, ledger_ev, prog_ev, rec_ev, seg_conv, seg_ev, seg_words, sil_ev, table, turn_ev, with_views, word_conv,
+)
+from reelspan.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TOKEN_SQL = TOKEN.replace("'", "''")
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# -- intervals --------------------------------------------------------------------
+
+
+@query(with_views("SELECT * FROM merged", "ev", "seg_ev", "merged"))
+def merge_spans(spark, d):
+    return intervals.merge_spans(seg_ev(spark, d))
+
+
+@query(with_views("SELECT * FROM gaps", "ev", "seg_ev", "merged", "gaps"))
+def gap_complement(spark, d):
+    return intervals.gap_complement(intervals.merge_spans(seg_ev(spark, d)), rec_ev(spark, d), 1500)
+
+
+@query(with_views("""SELECT g.rec_id, g.seg_id, g.st, g.en, CAST(coalesce(sum(CASE WHEN s.st IS NULL THEN 0 ELSE least(g.en,s.en)-greatest(g.st,s.st) END),0) AS BIGINT) AS overlap
+FROM seg_ev g LEFT JOIN sil_ev s ON g.rec_id=s.rec_id AND g.st<s.en AND s.st<g.en GROUP BY ALL""", "ev", "seg_ev", "sil_ev"))
+def overlap_seconds(spark, d):
+    return intervals.overlap_ms(seg_ev(spark, d).select("rec_id", "seg_id", "st", "en"), sil_ev(spark, d), "seg_id")
+
+
+_KEPT = """kept AS (SELECT g.rec_id, g.st, g.en FROM gaps g LEFT JOIN sil_ev s ON g.rec_id=s.rec_id AND g.st<s.en AND s.st<g.en GROUP BY ALL
+  HAVING 10*coalesce(sum(CASE WHEN s.st IS NULL THEN 0 ELSE least(g.en,s.en)-greatest(g.st,s.st) END),0) < 6*(g.en-g.st)),
+ten AS (SELECT rec_id, CAST(sum((en+5)//10-(st+5)//10) AS DOUBLE)/100 AS gap_seconds, count(*) AS n_gaps FROM kept GROUP BY rec_id),
+cov AS (SELECT rec_id, sum(en-st) AS covered FROM merged GROUP BY rec_id), sil AS (SELECT rec_id, sum(greatest(0,en-st)) AS silent FROM sil_ev GROUP BY rec_id)"""
+
+
+@query(with_views("", "ev", "seg_ev", "sil_ev", "rec_ev", "merged", "gaps").rstrip() + ", " + _KEPT + f""" SELECT r.rec_id, round(least(coalesce(covered,0),{DAY})/1000.0,3) AS covered_seconds,
+round(least(1.0,coalesce(covered,0)/{DAY}),4) AS ratio, round(coalesce(silent,0)/1000.0,3) AS silence_seconds, coalesce(n_gaps,0) AS n_gaps, coalesce(gap_seconds,0) AS gap_seconds,
+(round(least(1.0,coalesce(covered,0)/{DAY}),4) < 0.95 AND coalesce(n_gaps,0)>0) AS low_coverage FROM rec_ev r LEFT JOIN cov USING (rec_id) LEFT JOIN sil USING (rec_id) LEFT JOIN ten USING (rec_id)""")
+def coverage_summary(spark, d):
+    rows = intervals.coverage_summary(seg_ev(spark, d), sil_ev(spark, d), rec_ev(spark, d))
+    return rows.select("rec_id", "covered_seconds", "ratio", "silence_seconds", "n_gaps", "gap_seconds", "low_coverage")
+
+
+@query(with_views(f"""SELECT r.rec_id, round(coalesce(sum(greatest(0,en-st)),0)/1000.0,3) AS speech_seconds, round(least(1.0,coalesce(sum(greatest(0,en-st)),0)/{DAY}),4) AS speech_ratio,
+count(seg_id) AS vad_segments, coalesce(sum(greatest(0,en-st)),0)>200 AND count(seg_id)>0 AS speech_detected FROM rec_ev r LEFT JOIN seg_ev USING (rec_id) GROUP BY r.rec_id""", "ev", "seg_ev", "rec_ev"))
+def speech_stats(spark, d):
+    return intervals.speech_stats(seg_ev(spark, d), rec_ev(spark, d))
+
+
+@query(with_views(f"""SELECT r.rec_id, round(coalesce(sum(greatest(0,en-st)),0)/1000.0,3) AS silence_seconds, round(least(1.0,coalesce(sum(greatest(0,en-st)),0)/{DAY}),4) AS silence_ratio
+FROM rec_ev r LEFT JOIN sil_ev USING (rec_id) GROUP BY r.rec_id""", "ev", "sil_ev", "rec_ev"))
+def silence_stats(spark, d):
+    return intervals.silence_stats(sil_ev(spark, d), rec_ev(spark, d))
+
+
+@query(with_views(f"SELECT rec_id, st, least(en,{DAY}) AS en FROM sil_ev WHERE least(en,{DAY})>st", "ev", "sil_ev"))
+def pair_silences(spark, d):
+    s = lambda c: F.format_string("%.3f", F.col(c) / 1000.0)
+    # As a diagnostic log: one line per start and per end, in order.
+    text = F.concat(F.lit("silence_start: "), s("st"), F.lit("\nsilence_end: "), s("en"), F.lit(" | silence\n"))
+    logs = sil_ev(spark, d).groupBy("rec_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("st", "sil_id", text.alias("t")))), lambda x: x.t), "").alias("log"))
+    return intervals.pair_silences(logs.withColumn("duration", F.lit(DAY).cast("bigint")))
+
+
+# -- speakers and alignment ---------------------------------------------------------
+
+_ASSIGNED = """assigned AS (SELECT rec_id, seg_id, speaker FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, seg_id ORDER BY ov DESC, speaker) AS rn FROM (
+  SELECT g.rec_id, g.seg_id, t.speaker, sum(least(g.en,t.en)-greatest(g.st,t.st)) AS ov FROM seg_ev g JOIN turn_ev t ON g.rec_id=t.rec_id AND g.st<t.en AND t.st<g.en AND g.en>g.st AND t.en>t.st GROUP BY ALL)) WHERE rn=1)"""
+
+
+@query(with_views("", "ev", "seg_ev", "turn_ev").rstrip() + ", " + _ASSIGNED + " SELECT g.rec_id, g.seg_id, a.speaker FROM seg_ev g LEFT JOIN assigned a USING (rec_id, seg_id)")
+def assign_speakers(spark, d):
+    return speakers.assign_speakers(seg_ev(spark, d), turn_ev(spark, d)).select("rec_id", "seg_id", "speaker")
+
+
+@query(with_views("", "ev", "seg_ev", "turn_ev").rstrip() + ", " + _ASSIGNED + """, named AS (SELECT rec_id, speaker, printf('SPEAKER_%02d', row_number() OVER (PARTITION BY rec_id ORDER BY min(seg_id), speaker)-1) AS name
+FROM assigned GROUP BY rec_id, speaker) SELECT g.rec_id, g.seg_id, n.name AS speaker FROM seg_ev g LEFT JOIN assigned a USING (rec_id, seg_id) LEFT JOIN named n ON n.rec_id=a.rec_id AND n.speaker=a.speaker""")
+def renumber_speakers(spark, d):
+    return speakers.renumber_speakers(speakers.assign_speakers(seg_ev(spark, d), turn_ev(spark, d))).select("rec_id", "seg_id", "speaker")
+
+
+@query(with_views("""SELECT rec_id, speaker, round(ms/1000.0,3) AS seconds, round(ms/CASE WHEN sum(ms) OVER (PARTITION BY rec_id)=0 THEN 1000 ELSE sum(ms) OVER (PARTITION BY rec_id) END,4) AS ratio, segments,
+row_number() OVER (PARTITION BY rec_id ORDER BY round(ms/1000.0,3) DESC, speaker) AS rank FROM (SELECT rec_id, speaker, sum(greatest(0,en-st)) AS ms, count(*) AS segments FROM seg_conv WHERE speaker IS NOT NULL GROUP BY ALL)""", "seg_conv"))
+def speaker_stats(spark, d):
+    return speakers.speaker_stats(seg_conv(spark, d))
+
+
+@query(with_views("""SELECT rec_id, speaker, min(st) AS st, max(en) AS en FROM (SELECT *, sum(b) OVER (PARTITION BY rec_id, run ORDER BY st, turn_idx ROWS UNBOUNDED PRECEDING) AS island FROM (
+  SELECT *, CASE WHEN st > max(en) OVER (PARTITION BY rec_id, run ORDER BY st, turn_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)+400 THEN 1 ELSE 0 END AS b FROM (
+    SELECT *, sum(c) OVER (PARTITION BY rec_id ORDER BY st, turn_idx ROWS UNBOUNDED PRECEDING) AS run FROM (
+      SELECT *, CASE WHEN speaker IS NOT DISTINCT FROM lag(speaker) OVER (PARTITION BY rec_id ORDER BY st, turn_idx) THEN 0 ELSE 1 END AS c FROM turn_ev)))) GROUP BY rec_id, run, island, speaker""", "ev", "turn_ev"))
+def merge_turns(spark, d):
+    return speakers.merge_turns(turn_ev(spark, d))
+
+
+@query(with_views("""SELECT rec_id, seg_id, k AS piece, st+((en-st)*k)//n AS chunk_st, least(en, st+((en-st)*(k+1))//n) AS chunk_en FROM (
+  SELECT *, unnest(range(n)) AS k FROM (SELECT *, CAST(ceil((en-st)/4000) AS BIGINT) AS n FROM seg_conv WHERE en-st>=600))""", "seg_conv"))
+def chunk_segments(spark, d):
+    return speakers.chunk_segments(seg_conv(spark, d))
+
+
+@query()
+def align_trim(spark, d):
+    padded = seg_conv(spark, d).withColumn("st", F.col("st") - 700).withColumn("en", F.col("en") + 700)
+    return align.align_trim(padded, word_conv(spark, d)).select("rec_id", "seg_id", "st", "en")
+
+
+ORACLES["align_trim"] = with_views("""SELECT rec_id, seg_id, CASE WHEN en1-st1>=80 THEN st1 ELSE st0 END AS st, CASE WHEN en1-st1>=80 THEN en1 ELSE en0 END AS en FROM (
+  SELECT *, CASE WHEN a-st0>0 AND a-st0<=2000 THEN a ELSE st0 END AS st1, CASE WHEN en0-b>0 AND en0-b<=2000 THEN b ELSE en0 END AS en1 FROM (
+    SELECT rec_id, seg_id, s.st-700 AS st0, s.en+700 AS en0, w.a, w.b FROM seg_conv s LEFT JOIN (SELECT rec_id, seg_id, arg_min(st, word_idx) AS a, arg_max(en, word_idx) AS b FROM word_conv GROUP BY ALL) w USING (rec_id, seg_id)))""", "seg_conv", "word_conv")
+
+
+@query(with_views("""SELECT rec_id, seg_id, CASE WHEN st<p AND en-p>=80 THEN p ELSE st END AS st, en FROM (SELECT *, lag(en) OVER (PARTITION BY rec_id ORDER BY seg_id) AS p FROM seg_ev)""", "ev", "seg_ev"))
+def align_overlaps(spark, d):
+    return align.align_overlaps(seg_ev(spark, d)).select("rec_id", "seg_id", "st", "en")
+
+
+_VEC = "SELECT vec_id//10 AS rec_id, vec_id%10 AS idx, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"
+
+
+@query(f"""WITH c AS ({_VEC}) SELECT a.rec_id, a.idx AS i, b.idx AS j, round(1-greatest(-1,least(1,list_inner_product(a.e,b.e)/(greatest(1e-9,sqrt(list_inner_product(a.e,a.e)))*greatest(1e-9,sqrt(list_inner_product(b.e,b.e)))))),6) AS distance
+FROM c a JOIN c b ON a.rec_id=b.rec_id AND a.idx<b.idx""")
+def cosine_pairs(spark, d):
+    return speakers.cosine_pairs(chunk_emb(spark, d)).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def cluster_chunks(spark, d):
+    return speakers.cluster_chunks(chunk_emb(spark, d), threshold=0.9)
+
+
+# -- cues, paragraphs, windows ------------------------------------------------------
+
+
+def _cues(density: str):
+    def run(spark, d):
+        return packing.build_cues(seg_words(spark, d), density)
+
+    return run
+
+
+for _name, _density in (("cues_short", "curta"), ("cues_balanced", "equilibrada"), ("cues_long", "longa")):
+    QUERIES[_name] = _cues(_density)
+
+
+@query(with_views(f"SELECT rec_id, CAST(sum(len(regexp_extract_all(text, '{TOKEN_SQL}'))) AS BIGINT) AS n_tokens FROM seg_conv WHERE seg_id%2=0 GROUP BY rec_id", "seg_conv"))
+def cue_token_invariance(spark, d):
+    """Tokens of the cues of segments without word times: as many as the segments have."""
+    cues = packing.build_cues(seg_conv(spark, d).filter("seg_id % 2 = 0"), "curta")
+    return cues.groupBy("rec_id").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).cast("bigint").alias("n_tokens"))
+
+
+@query()
+def srt_text(spark, d):
+    return packing.subtitle_text(packing.build_cues(seg_words(spark, d)))
+
+
+@query()
+def vtt_text(spark, d):
+    return packing.subtitle_text(packing.build_cues(seg_words(spark, d), "longa"), "longa", vtt=True)
+
+
+@query(with_views("", "seg_conv").replace("WITH", "WITH RECURSIVE", 1).rstrip() + """, s AS (
+  SELECT rec_id, st, en, trim(text) AS text, row_number() OVER (PARTITION BY rec_id ORDER BY seg_id) AS k, lag(en) OVER (PARTITION BY rec_id ORDER BY seg_id) AS p FROM seg_conv WHERE trim(text)<>''),
+f AS (SELECT rec_id, k, length(text) AS n, 1 AS par FROM s WHERE k=1 UNION ALL
+  SELECT s.rec_id, s.k, CASE WHEN s.st-s.p>1500 OR f.n>700 THEN length(s.text) ELSE f.n+length(s.text) END, CASE WHEN s.st-s.p>1500 OR f.n>700 THEN f.par+1 ELSE f.par END FROM f JOIN s ON s.rec_id=f.rec_id AND s.k=f.k+1)
+SELECT rec_id, CAST(par AS INTEGER) AS par_no, min(st) AS st, arg_max(en,k) AS en, string_agg(text,' ' ORDER BY k) AS text FROM f JOIN s USING (rec_id,k) GROUP BY rec_id, par""")
+def paragraphs(spark, d):
+    return packing.paragraphs(seg_conv(spark, d))
+
+
+@query()
+def wrap_lines(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(wrap("text", 42), "\n").alias("wrapped"))
+
+
+@query("""WITH RECURSIVE c AS (
+  SELECT doc_id, text, 0 AS a, 0 AS chunk_no, CAST(NULL AS VARCHAR) AS chunk FROM documents WHERE text IS NOT NULL UNION ALL
+  SELECT doc_id, text, cut, chunk_no+1, trim(substr(text, a+1, cut-a)) FROM (
+    SELECT *, CASE WHEN e<length(text) AND instr(reverse(substr(text, a+4501, e-a-4500)), ' .')>0 THEN e-instr(reverse(substr(text, a+4501, e-a-4500)), ' .') ELSE e END AS cut
+    FROM (SELECT *, least(length(text), a+9000) AS e FROM c WHERE a<length(text))))
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CASE WHEN length(text)<=9000 THEN text ELSE chunk END AS chunk FROM c WHERE chunk_no>0""")
+def text_chunks(spark, d):
+    return packing.text_chunks(table(spark, d, "documents"), key="doc_id")
+
+
+@query()
+def pack_windows(spark, d):
+    return packing.pack_windows(intervals.merge_spans(seg_ev(spark, d)))
+
+
+@query(with_views(f"SELECT rec_id, CAST(k+1 AS INTEGER) AS win_no, CAST(k*30000 AS BIGINT) AS st, CAST(least((k+1)*30000,{DAY}) AS BIGINT) AS en FROM (SELECT rec_id, unnest(range({DAY}//30000)) AS k FROM rec_ev)", "ev", "rec_ev"))
+def tile_windows(spark, d):
+    return packing.tile_windows(rec_ev(spark, d))
+
+
+@query(with_views("SELECT rec_id, CAST((rn-1)//3 AS BIGINT) AS batch_no, list(seg_id ORDER BY rn) AS items FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY seg_id) AS rn FROM seg_conv) GROUP BY ALL", "seg_conv"))
+def batches(spark, d):
+    return packing.batches(seg_conv(spark, d).select("rec_id", "seg_id"), 3, "seg_id", "seg_id")
+
+
+# -- text -----------------------------------------------------------------------------
+
+
+@query(f"""SELECT doc_id, length(text) AS characters, length(regexp_replace(text,'\\s+','','g')) AS characters_no_spaces, len(t) AS words, len(list_distinct(t)) AS unique_words
+FROM (SELECT *, regexp_extract_all(lower(text), '{TOKEN_SQL}') AS t FROM documents)""")
+def text_counts(spark, d):
+    return textstats.text_counts(table(spark, d, "documents"), "doc_id")
+
+
+_STOP = "stop(lang, w) AS (VALUES " + ", ".join(f"('{lang}','{w}')" for lang, ws in textstats.STOPWORDS.items() for w in ws.split()) + ")"
+_WORDS = f"""{_STOP}, words AS (SELECT doc_id, lang, word FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS word FROM documents) d
+  WHERE length(word)>=3 AND NOT EXISTS (SELECT 1 FROM stop s WHERE s.lang=lower(split_part(d.lang,'-',1)) AND strip_accents(s.w)=strip_accents(d.word)))"""
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, rank, word, n AS count FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM (SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL)) WHERE rank<=25")
+def top_words(spark, d):
+    return textstats.top_words(table(spark, d, "documents"), key="doc_id")
+
+
+@query(f"WITH {_WORDS} SELECT lang, word, count(*) AS count, count(DISTINCT doc_id) AS recordings FROM words GROUP BY ALL")
+def corpus_word_freq(spark, d):
+    return textstats.corpus_word_freq(table(spark, d, "documents"), key="doc_id")
+
+
+@query(with_views("SELECT rec_id, string_agg(trim(text),' ' ORDER BY seg_id) AS text FROM seg_conv WHERE trim(text)<>'' GROUP BY rec_id", "seg_conv"))
+def joined_text(spark, d):
+    return textstats.joined_text(seg_conv(spark, d))
+
+
+@query()
+def map_prompts(spark, d):
+    return textstats.map_prompts(table(spark, d, "documents"), key="doc_id")
+
+
+@query()
+def summaries(spark, d):
+    """Map-reduce of the documents with a stand-in model: a column that quotes the prompt's last sentence."""
+    answer = lambda p: F.to_json(F.struct(F.right(p, F.lit(80)).alias("resumo"), F.to_json(F.array(F.left(p, F.lit(20)))).alias("topicos")))
+    return textstats.summarise(table(spark, d, "documents"), answer, key="doc_id")
+
+
+# -- media and rules ------------------------------------------------------------------
+
+
+@query("""SELECT event_id, TRY_CAST(TRY_CAST(json_extract_string(props,'$.k') AS DOUBLE) AS BIGINT) AS k_int, TRY_CAST(json_extract_string(props,'$.k') AS DOUBLE) AS k_float,
+CASE WHEN TRY_CAST(json_extract_string(props,'$.k') AS DOUBLE)<>0 THEN round(TRY_CAST(json_extract_string(props,'$.k') AS DOUBLE)*1000/1001,6) END AS rate FROM events""")
+def tolerant_casts(spark, d):
+    k = F.get_json_object("props", "$.k")
+    rate = parse_rate(F.concat((to_int(k) * 1000).cast("string"), F.lit("/1001")))
+    return table(spark, d, "events").select("event_id", to_int(k).alias("k_int"), to_float(k).alias("k_float"), rate.alias("rate"))
+
+
+def _media(spark, d):
+    """Recordings of the event view with streams and levels that follow from their day."""
+    day = F.col("rec_id")
+    rows = intervals.silence_stats(sil_ev(spark, d), rec_ev(spark, d)).join(intervals.speech_stats(seg_ev(spark, d), rec_ev(spark, d)), "rec_id")
+    stream = F.struct(F.lit(0).alias("index"), (day % 4).alias("channels"), F.element_at(F.array(*[F.lit(x).cast("bigint") for x in (8000, 44100, 48000, 12345)]), (day % 4 + 1).cast("int")).alias("sample_rate"))
+    return rows.select(
+        "rec_id", (day % 7 != 0).alias("has_audio"), F.when(day % 5 != 0, F.lit(DAY / 1000.0)).alias("duration"), F.array(stream).alias("audio"), (-F.col("speech_ratio") * 100).alias("mean_volume_db"),
+        F.lit(-0.05).alias("max_volume_db"), F.col("vad_segments").alias("clipping_samples"), (F.col("vad_segments") > 100).alias("clipping_suspected"), "silence_ratio", "speech_detected",
+    )
+
+
+@query(with_views(f"""SELECT rec_id, CASE WHEN rec_id%7=0 THEN ['no audio'] ELSE list_filter([CASE WHEN rec_id%5=0 THEN 'duration unknown' END,
+CASE WHEN rec_id%4=1 THEN '#0: mono' WHEN rec_id%4>2 THEN '#0: '||CAST(rec_id%4 AS VARCHAR)||' channels' END, CASE WHEN rec_id%4=3 THEN '#0: unusual rate 12345' END,
+CASE rec_id%4 WHEN 0 THEN '#0: low rate 8000' WHEN 3 THEN '#0: low rate 12345' END, CASE WHEN -sp*100 < -35 THEN printf('low volume %.1f dB', -sp*100) END,
+CASE WHEN n>100 THEN printf('clipping, peak -0.1 dB, %d samples', n) END, CASE WHEN si>0.9 THEN printf('%.0f%% silence', si*100) END, CASE WHEN NOT (n>0 AND ms>200) THEN 'no speech' END], lambda x: x IS NOT NULL) END AS warnings
+FROM (SELECT r.rec_id, round(least(1.0,coalesce(g.ms,0)/{DAY}),4) AS sp, coalesce(g.n,0) AS n, coalesce(g.ms,0) AS ms, round(least(1.0,coalesce(s.ms,0)/{DAY}),4) AS si FROM rec_ev r
+LEFT JOIN (SELECT rec_id, sum(en-st) AS ms, count(*) AS n FROM seg_ev GROUP BY 1) g USING (rec_id) LEFT JOIN (SELECT rec_id, sum(en-st) AS ms FROM sil_ev GROUP BY 1) s USING (rec_id))""", "ev", "seg_ev", "sil_ev", "rec_ev"))
+def quality_rules(spark, d):
+    return media.quality_warnings(_media(spark, d))
+
+
+# -- history and ledger -----------------------------------------------------------------
+
+
+@query(with_views("""SELECT count(*) AS jobs, count(*) FILTER (WHERE status<>'ok') AS errors, round(avg(coverage) FILTER (WHERE status='ok'),6) AS mean_coverage,
+round(avg(speed) FILTER (WHERE status='ok' AND speed<>0),6) AS mean_speed FROM hist_ord""", "hist_ord"))
+def history_totals(spark, d):
+    return history.history_totals(hist_ord(spark, d))
+
+
+@query(with_views("""SELECT run_id, status, CASE WHEN status='error' THEN 'error' WHEN coverage<0.95 THEN printf('coverage %.1f%%, %d s', coverage*100, gap_seconds) ELSE printf('%d failures', failures) END AS reason,
+CASE WHEN confidence>=-0.35 THEN printf('alta %.2f', confidence) WHEN confidence>=-0.60 THEN printf('média %.2f', confidence) ELSE printf('baixa %.2f', confidence) END AS confidence_label
+FROM hist_ord WHERE status='error' OR failures>0 OR coverage<0.95""", "hist_ord"))
+def history_attention(spark, d):
+    return history.needs_attention(hist_ord(spark, d))
+
+
+@query(with_views("SELECT run_id, CAST(rn AS INTEGER) AS place FROM (SELECT run_id, row_number() OVER (ORDER BY finished_at DESC, run_id DESC) AS rn FROM hist_ord) WHERE rn<=60", "hist_ord"))
+def history_retention(spark, d):
+    return history.retain(hist_ord(spark, d)).select("run_id", "place")
+
+
+@query(with_views("""SELECT k, a AS speed_a, b AS speed_b, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN a>b THEN 'F' ELSE 'O' END END AS winner,
+CASE WHEN least(a,b)>0 AND a IS NOT NULL AND b IS NOT NULL THEN round(greatest(a,b)/least(a,b),4) END AS advantage FROM (
+SELECT k, max(s) FILTER (WHERE engine='F') AS a, max(s) FILTER (WHERE engine='O') AS b FROM (SELECT k, engine, arg_max(speed, (measured_at, l_orderkey, l_linenumber)) AS s FROM bench_li GROUP BY ALL) GROUP BY k)""", "bench_li"))
+def ab_throughput(spark, d):
+    return history.ab_throughput(bench_li(spark, d), ("F", "O"), ["measured_at", "l_orderkey", "l_linenumber"])
+
+
+@query(with_views("SELECT job, stage, max(epoch_us(ts)//1000)-min(epoch_us(ts)//1000) AS ms, count(*) AS n_events FROM prog_ev GROUP BY ALL", "prog_ev"))
+def stage_timings(spark, d):
+    return history.stage_timings(prog_ev(spark, d))
+
+
+@query(with_views("SELECT stage, count(*) AS jobs, round(avg(ms),3) AS mean_ms, max(ms) AS max_ms FROM (SELECT job, stage, max(epoch_us(ts)//1000)-min(epoch_us(ts)//1000) AS ms FROM prog_ev GROUP BY ALL) GROUP BY stage", "prog_ev"))
+def stage_rollup(spark, d):
+    return history.stage_rollup(history.stage_timings(prog_ev(spark, d)))
+
+
+@query(with_views("SELECT job, seq, stage FROM (SELECT *, lag(stage) OVER w AS p, row_number() OVER w AS n FROM prog_ev WINDOW w AS (PARTITION BY job ORDER BY ts, seq)) WHERE n=1 OR stage IS DISTINCT FROM p", "prog_ev"))
+def stage_changes(spark, d):
+    return progress.stage_changes(prog_ev(spark, d), ["seq"]).select("job", "seq", "stage")
+
+
+_LATEST = "SELECT job, arg_max(stage,(ts,seq)) AS stage, arg_max(fraction,(ts,seq)) AS fraction, max(ts) AS ts, min(ts) AS started FROM prog_ev GROUP BY job"
+
+
+@query(with_views("SELECT job, stage, fraction FROM (" + _LATEST + ")", "prog_ev"))
+def latest_progress(spark, d):
+    return progress.latest_progress(prog_ev(spark, d), ["seq"]).select("job", "stage", "fraction")
+
+
+@query(with_views("""SELECT job, el AS elapsed_ms, CASE WHEN fraction>=0.08 AND fraction<1 THEN CAST(round(el/fraction-el) AS BIGINT) END AS eta_ms
+FROM (SELECT *, epoch_us(ts)//1000-epoch_us(started)//1000 AS el FROM (""" + _LATEST + "))", "prog_ev"))
+def eta(spark, d):
+    return progress.eta(progress.latest_progress(prog_ev(spark, d), ["seq"])).select("job", "elapsed_ms", "eta_ms")
+
+
+@query(with_views("""SELECT job, CAST(s AS BIGINT) AS session_no, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS n_events FROM (SELECT *, sum(nw) OVER (PARTITION BY job ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS s FROM (
+SELECT *, epoch_us(ts)//1000 AS ms, CASE WHEN epoch_us(ts)//1000-lag(epoch_us(ts)//1000) OVER w > CASE WHEN lag(stage) OVER w='asr' THEN 900000 ELSE 300000 END THEN 1 ELSE 0 END AS nw FROM prog_ev WINDOW w AS (PARTITION BY job ORDER BY ts, seq))) GROUP BY job, s""", "prog_ev"))
+def stall_sessions(spark, d):
+    return progress.stall_sessions_batch(prog_ev(spark, d), ["seq"])
+
+
+_SPAN = "CASE stage " + " ".join(f"WHEN '{s}' THEN round(({a}+greatest(0,least(1,fraction))*{b - a})/100.0,6)" for s, (a, b) in progress.STAGE_SPANS.items()) + " END"
+
+
+@query(with_views(f"SELECT job, seq, {_SPAN} AS overall FROM prog_ev", "prog_ev"))
+def overall_progress(spark, d):
+    return prog_ev(spark, d).select("job", "seq", progress.overall_fraction().alias("overall"))
+
+
+_STAGES_SQL = "[" + ",".join(f"'{s}'" for s in ledger.STAGES) + "]"
+
+
+@query(with_views(f"""SELECT job_key, done_through, {_STAGES_SQL}[k+1] AS stage, CAST(k AS INTEGER) AS stage_no FROM (SELECT job_key, done_through, unnest(range(7)) AS k FROM (
+SELECT job_key, CAST(CASE WHEN stage='diarize' AND diarize_key<>'' AND diarize_key<>'a' THEN 4 ELSE list_position({_STAGES_SQL}, stage)-1 END AS INTEGER) AS done_through FROM (
+SELECT job_key, arg_max(stage,(saved_at,seq)) AS stage, arg_max(diarize_key,(saved_at,seq)) AS diarize_key FROM ledger_ev GROUP BY job_key))) WHERE k>done_through""", "prog_ev", "ledger_ev"))
+def resume_plan(spark, d):
+    rows = ledger_ev(spark, d)
+    jobs = rows.select("job_key").distinct().withColumn("diarize_key", F.lit("a"))
+    return ledger.resume_plan(jobs, rows, ["saved_at", "seq"])
+
+
+@query(with_views("""SELECT run_id, substr(sha256('{"failures":'||failures||',"status":"'||status||'"}'),1,16) AS fp,
+substr(sha256(CAST(run_id AS VARCHAR)),1,16)||'-'||substr(sha256('{"failures":'||failures||',"status":"'||status||'"}'),1,16) AS job_key FROM hist_ord""", "hist_ord"))
+def fingerprints(spark, d):
+    rows = hist_ord(spark, d).withColumn("fp", ledger.fingerprint(["status", "failures"]))
+    return rows.select("run_id", "fp", ledger.job_key(F.sha2(F.col("run_id").cast("string"), 256), "fp").alias("job_key"))
+
+
+@query("SELECT doc_id, CASE WHEN len(regexp_extract_all(text,'[^\\s]+'))=0 THEN 'no_speech' ELSE 'todo' END AS state FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def backfill_todo(spark, d):
+    results = table(spark, d, "documents").select("doc_id", F.lit(True).alias("readable"), F.regexp_count("text", F.lit("[^\\s]+")).alias("n_segments"))
+    return history.backfill_todo(results, table(spark, d, "labels"), "doc_id").select("doc_id", "state")
+
+
+@query("SELECT doc_id, 'new' AS change FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE doc_id%2=0) UNION ALL SELECT doc_id, 'gone' FROM (SELECT doc_id FROM documents WHERE doc_id%2=0 EXCEPT SELECT doc_id FROM labels)")
+def listing_diff(spark, d):
+    before = table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id")
+    return history.listing_diff(before, table(spark, d, "labels").select("doc_id"))
+
+
+@query(with_views("""SELECT dir, CAST(sum(length) AS BIGINT) AS length, count(*) AS n_files FROM (SELECT array_to_string(p[1:k],'/') AS dir, length FROM (SELECT p, length, unnest(range(1,len(p))) AS k FROM (SELECT string_split(path,'/') AS p, length FROM inv_pages))) GROUP BY dir""", "inv_pages"))
+def dir_sizes(spark, d):
+    return history.dir_sizes(inv_pages(spark, d))
+
+
+@query(with_views("""SELECT f.path, coalesce(h.name, f.base) AS name FROM (SELECT 'run/'||run_id%500||sfx AS path, 'run/'||run_id%500 AS base FROM hist_ord, (VALUES ('.report.txt'),('.transcript.txt')) v(sfx) WHERE run_id<=1000) f
+LEFT JOIN (SELECT 'run/'||run_id%400 AS base, arg_max(status||run_id, run_id) AS name FROM hist_ord GROUP BY 1) h ON f.base=h.base""", "hist_ord"))
+def latest_file_lookup(spark, d):
+    runs = hist_ord(spark, d)
+    base = lambda n: F.concat(F.lit("run/"), (F.col("run_id") % n).cast("string"))
+    files = runs.filter("run_id <= 1000").select(F.explode(F.array(*[F.concat(base(500), F.lit(s)) for s in (".report.txt", ".transcript.txt")])).alias("path"))
+    entries = runs.select(base(400).alias("base"), F.concat("status", F.col("run_id").cast("string")).alias("name"), "run_id")
+    return history.latest_file_lookup(files, entries, "run_id").select("path", "name")
+
+
+# -- formatting -------------------------------------------------------------------------
+
+
+@query(with_views("""SELECT seg_id, printf('%02d:%02d:%02d.%03d', st//3600000, st//60000%60, st//1000%60, st%1000) AS stamp, printf('%02d:%02d:%02d,%03d', st//3600000, st//60000%60, st//1000%60, st%1000) AS srt,
+CASE WHEN (en-st)/1000.0<60 THEN replace(printf('%.1f s', (en-st)/1000.0),'.',',') WHEN (en-st)>=3600000 THEN printf('%dh %02dmin %02ds', (en-st)//3600000, (en-st)//60000%60, (en-st)//1000%60) ELSE printf('%dmin %02ds', (en-st)//60000, (en-st)//1000%60) END AS human,
+CASE WHEN st//1000>=3600 THEN printf('%d:%02d:%02d', st//3600000, st//60000%60, st//1000%60) ELSE printf('%d:%02d', st//60000, st//1000%60) END AS clock,
+CASE WHEN st<1024 THEN st||' B' WHEN st<1048576 THEN replace(printf('%.2f KB', st/1024),'.',',') ELSE replace(printf('%.2f MB', st/1048576),'.',',') END AS size FROM seg_ev""", "ev", "seg_ev"))
+def format_times(spark, d):
+    st, length = F.col("st"), F.col("en") - F.col("st")
+    return seg_ev(spark, d).select(
+        "seg_id", timestamp_ms("st").alias("stamp"), srt_time("st").alias("srt"), duration_human(length / 1000.0).alias("human"), clock(F.expr("st div 1000")).alias("clock"), human_size(st).alias("size")
+    )
+
+
+@query("""SELECT page_id, left(coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(strip_accents(url),'[^\\x00-\\x7F]','','g'),'[^A-Za-z0-9._-]+','_','g'),'^[._-]+|[._-]+$','','g'),''),'midia'),80) AS stem,
+CASE WHEN length(url)<=16 THEN url ELSE left(url,7)||'…'||right(url,8) END AS short FROM pages""")
+def safe_names(spark, d):
+    return table(spark, d, "pages").select("page_id", safe_stem("url").alias("stem"), cut_middle("url", 16).alias("short"))
+
+
+@query()
+def report_text(spark, d):
+    segments = seg_conv(spark, d)
+    recordings = segments.groupBy("rec_id").agg((F.max("en") + 1000).alias("duration"), F.lit("en").alias("language"), F.concat(F.lit("conversa-"), F.first("rec_id").cast("string")).alias("name"))
+    silences = segments.select("rec_id", F.col("en").alias("st"), (F.col("en") + 200).alias("en"))
+    return report.reports(recordings, segments, silences)
+
+
+@query(with_views("SELECT rec_id, seg_id, lead(st) OVER (PARTITION BY rec_id ORDER BY seg_id)-en AS pause FROM seg_conv", "seg_conv"))
+def turn_pauses(spark, d):
+    """Pause after each segment of a conversation; null after the last."""
+    return seg_conv(spark, d).select("rec_id", "seg_id", (F.lead("st").over(Window.partitionBy("rec_id").orderBy("seg_id")) - F.col("en")).alias("pause"))
