@@ -105,6 +105,23 @@ def band_values(shingles: str | Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, b))))
 
 
+def hit_windows(h: str, width: int, scale: int, wanted: list[str]) -> Column:
+    """Windows (scale, width, start, own) of one scale that hold any of the wanted shingles; own is their distinct hashes."""
+    known = F.array(*[F.xxhash64(*[F.lit(x) for x in s.split()]) for s in dict.fromkeys(wanted)])
+    step, size = scale // 2, scale + scale // 2
+    # A window that holds the shingle at position p starts at a multiple of step from p - (size - width) to p.
+    at = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda p: F.array_contains(known, F.element_at(h, (p + 1).cast("int"))))
+    first = lambda p: F.greatest(F.lit(0), F.ceil((p - (size - width)) / step).cast("int"))
+    starts = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(first(p), F.floor(p / step).cast("int")))))
+
+    def window(k: Column) -> Column:
+        own = F.array_distinct(F.slice(h, k * step + 1, F.lit(size - width + 1)))
+        return F.struct(F.lit(scale).alias("scale"), F.lit(width).alias("width"), (k * step).alias("start"), own.alias("own"))
+
+    none = F.array().cast("array<struct<scale:int,width:int,start:int,own:array<bigint>>>")
+    return F.when((F.size(h) > 0) & F.arrays_overlap(h, known), F.transform(starts, window)).otherwise(none)
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Templates of which at least ``percent`` of the shingles lie in one window of a text.
 
@@ -114,8 +131,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, perc
     words must be there whole. Rows that repeat an id are scanned each and reported
     together. Other columns are ignored. No rows give no rows.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = {n: t for n, t in (TEMPLATES if templates is None else templates).items() if words_in(t)}
     spark = docs.sparkSession
+    if not templates:
+        kind = docs.schema[id_col].dataType.simpleString()
+        return spark.createDataFrame([], f"`{id_col}` {kind}, license string, shared_shingles bigint, template_shingles bigint, first_word bigint")
     table = template_table(spark, templates)  # as long as the list of templates
     bands = table.select("license", "width", "scale", "shingles", F.posexplode(band_values("shingles")).alias("band", "value"))
     low = plain_columns(docs, (id_col, text_col)).select(id_col, F.lower(text_col).alias("low"))
@@ -123,26 +143,16 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, perc
     for word in rare_words(templates):
         rare = rare | F.contains(F.col("low"), F.lit(word))
     words = low.filter(rare).select(id_col, held(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0))).alias("words"))
-    found = None
     by_width: dict[int, dict[int, list[str]]] = {}
     for t in templates.values():
         w = words_in(t)
         by_width.setdefault(min(SHINGLE, len(w)), {}).setdefault(scale_of(len(w)), []).extend(shingles_of(w))
+    hashed, windows = words, []
     for width, by_scale in sorted(by_width.items()):
-        hashed = words.select(id_col, F.size("words").alias("n"), held(hashes("words", width)).alias("h"))
+        hashed = hashed.withColumn(f"h{width}", held(hashes("words", width)))
         for scale, wanted in sorted(by_scale.items()):
-            known = F.array_distinct(F.array(*[F.xxhash64(*[F.lit(x) for x in s.split()]) for s in wanted]))
-            step, size = scale // 2, scale + scale // 2
-            # Every window that holds a hit at position p starts at a multiple of step in (p - (size - width + 1), p].
-            hits = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda p: F.array_contains(F.col("known"), F.element_at("h", (p + 1).cast("int"))))
-            hit = hashed.filter(F.size("h") > 0).withColumn("known", known).filter(F.arrays_overlap("h", "known")).select(id_col, "h", held(hits).alias("hits"))
-            first = lambda p: F.greatest(F.lit(0), F.ceil((p - (size - width)) / step).cast("int"))
-            starts = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(first(p), F.floor(p / step).cast("int")))))
-            cut = F.transform(starts, lambda k: F.struct((k * step).alias("start"), F.array_distinct(F.slice("h", k * step + 1, F.lit(size - width + 1))).alias("own")))
-            windows = hit.select(id_col, F.inline(cut)).withColumn("scale", F.lit(scale)).withColumn("width", F.lit(width))
-            found = windows if found is None else found.unionByName(windows)
-    if found is None:
-        return spark.createDataFrame([], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, license string, shared_shingles bigint, template_shingles bigint, first_word bigint")
+            windows.append(hit_windows(f"h{width}", width, scale, wanted))
+    found = hashed.select(id_col, F.inline(F.flatten(F.array(*windows))))
     banded = found.select(id_col, "start", "own", "scale", "width", F.posexplode(band_values("own")).alias("band", "value"))
     retrieved = banded.join(F.broadcast(bands), ["scale", "width", "band", "value"])
     # Exact check of what the bands retrieved; a pair met in several bands is grouped away.
