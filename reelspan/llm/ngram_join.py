@@ -34,7 +34,7 @@ from reelspan.llm.common import materialise, plain_columns
 from reelspan.llm.components import connected_components
 
 #: Groups of the count vectors, sizes of one size class (greatest over least), points of a block and of a tree node.
-GROUPS, CLASS_RATIO, BLOCK, FAN = 64, 1.5, 4096, 16
+GROUPS, CLASS_RATIO, BLOCK, FAN = 256, 1.5, 4096, 16
 #: Cells of up to so many members are named by their members, so that equal ones fall together.
 NAMED = 64
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -68,8 +68,14 @@ def set_id(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def count_vector(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
+def count_vector(hashes: np.ndarray) -> bytes:
+    """Group counts in the least number of bytes that holds them all."""
+    counts = np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype("u1" if counts.max() < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+
+
+def read_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{len(raw) // GROUPS}")
 
 
 class Cells:
@@ -208,8 +214,7 @@ def ints(parts: list[pa.RecordBatch], column: int) -> np.ndarray:
 
 
 def vectors(parts: list[pa.RecordBatch], column: int) -> np.ndarray:
-    raw = b"".join(v for p in parts for v in p.column(column).to_pylist())
-    return np.frombuffer(raw, dtype="<u4").reshape(-1, GROUPS).astype(np.int64)
+    return np.stack([read_counts(v) for p in parts for v in p.column(column).to_pylist()]).astype(np.int32)
 
 
 # -- the passes over documents -------------------------------------------------------
@@ -225,7 +230,7 @@ def describe(docs: DataFrame, words: int, id_col: str) -> DataFrame:
                 h = shingle_hashes(text, words)
                 sizes.append(len(h))
                 sids.append(set_id(h) if len(h) else None)
-                counts.append(count_vector(h).tobytes() if len(h) else None)
+                counts.append(count_vector(h) if len(h) else None)
             yield batch([id_col, "n_shingles", "sid", "counts"], b.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(counts, pa.binary()))
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -457,9 +462,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     members = materialise(shared_cells(cell_rows(source, words, num, den)), "cells")
     # One document stands for each set that shares a cell.
     wanted = members.select("sid").distinct()
-    firsts = described.filter(F.col("sid").isNotNull()).select("sid", id_col, "counts").join(wanted, "sid", "left_semi")
-    points = firsts.groupBy("sid").agg(F.min(id_col).alias(id_col), F.min("counts").alias("counts"))
-    points = materialise(points, "points")
+    firsts = described.filter(F.col("sid").isNotNull()).groupBy("sid").agg(F.min(id_col).alias(id_col), F.first("counts").alias("counts"))
+    points = materialise(firsts.join(wanted, "sid", "left_semi"), "points")
     texts = source.join(points.select(id_col, "sid"), id_col).select(text_col, "sid")
     sets = materialise(set_rows(texts, words).dropDuplicates(["sid"]), "sets")
     placed = materialise(in_blocks(members).join(points.select("sid", "counts"), "sid"), "blocks")
