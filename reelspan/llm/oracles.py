@@ -1,5 +1,107 @@
-"""DuckDB SQL for the operators' queries that SQL can express."""
+"""DuckDB SQL for the operators' queries that SQL can express, on whole tables by plain definitions."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from string import ascii_lowercase, ascii_uppercase
+
+from reelspan.llm.license_scan import SHINGLE, TEMPLATES, scale_of, shingles_of, words_in
+from reelspan.llm.token_counts import TOKENIZERS
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+NGRAM_JOIN = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '{WORD}') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM w
+), x AS (SELECT doc_id, unnest(s) AS k FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * n >= 90 * (len(sa.s) + len(sb.s) - n)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id
+"""
+
+TOPK = """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def _counts(rows: str, column: str) -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, source, lang, '{v}' AS tokenizer_version, len(regexp_extract_all({column}, {text(p)})) AS n FROM {rows}" for v, p in TOKENIZERS.items())
+
+
+TOKEN_COUNTS = f"""
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+poor AS (SELECT d.* FROM d JOIN labels l USING (doc_id) WHERE l.quality = 0),
+toxic AS (SELECT d.*, regexp_replace(t, '[#*$%&|<>]+', '', 'g') AS cleaned FROM d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND l.toxic = 1),
+deltas AS (
+  SELECT *, 1 AS sign FROM ({_counts('d', 't')}) UNION ALL SELECT *, -1 FROM ({_counts('poor', 't')})
+  UNION ALL SELECT *, -1 FROM ({_counts('toxic', 't')}) UNION ALL SELECT *, 1 FROM ({_counts('toxic', 'cleaned')})
+)
+SELECT source, lang, tokenizer_version, CAST(sum(sign) AS BIGINT) AS n_docs, CAST(sum(sign * n) AS BIGINT) AS n_tokens FROM deltas GROUP BY ALL
+HAVING sum(sign) <> 0 OR sum(sign * n) <> 0
+"""
+
+
+def _licenses() -> str:
+    parts = []
+    for name, notice in TEMPLATES.items():
+        words = words_in(notice)
+        width, scale, wanted = min(SHINGLE, len(words)), scale_of(len(words)), shingles_of(words)
+        held = "[" + ", ".join(map(text, wanted)) + "]"
+        size, step = scale + scale // 2, scale // 2
+        grams = " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
+        parts.append(
+            f"""SELECT doc_id, '{name}' AS license, k AS start, len(list_intersect(list_distinct(h[k + 1 : k + {size - width + 1}]), {held})) AS shared, {len(wanted)} AS whole
+FROM (SELECT doc_id, h, unnest(range(0, len(h), {step})) AS k FROM (SELECT doc_id, [{grams} for i in range(1, len(w) - {width} + 2)] AS h FROM w WHERE len(w) >= {width}))"""
+        )
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+found AS ({' UNION ALL '.join(parts)})
+SELECT doc_id, license, CAST(max(shared) AS BIGINT) AS shared_shingles, CAST(any_value(whole) AS BIGINT) AS template_shingles, CAST(-max(shared * 1000000000 - start) + max(shared) * 1000000000 AS BIGINT) AS first_word
+FROM found WHERE shared * 100 >= whole * 80 GROUP BY doc_id, license
+"""
+
+
+QUALITY = f"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, source, t, regexp_extract_all(t, '{WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM t),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+again AS (SELECT doc_id, k FROM g GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT g.doc_id, g.i, unnest(range(8)) AS j FROM g JOIN again USING (doc_id, k)) GROUP BY doc_id),
+f AS (
+  SELECT w.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id)
+), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
+hosts AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed OR 10 * n_symbols > word_chars THEN 1 ELSE 0 END) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
+corpus AS (SELECT sum(f) / sum(n) AS m, sum(f * (f / n)) / sum(n) AS s2, count(*) / sum(n) AS per_doc FROM hosts),
+spread AS (SELECT m, s2 - m * m - m * (1 - m) * per_doc AS v FROM corpus),
+prior AS (SELECT m, CASE WHEN v <= 0 THEN 1e6 ELSE least(1e6, greatest(1.0, m * (1 - m) / v - 1)) END AS k FROM spread),
+verdicts AS (SELECT source, (f + m * k) / (n + k) <= 0.5 AS host_ok FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_ok, true) AS kept FROM b LEFT JOIN verdicts USING (source)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_ngram_join": NGRAM_JOIN,
+    "op4_topk_search": TOPK,
+    "op5_token_counts": TOKEN_COUNTS,
+    "op6_license_scan": _licenses(),
+    "op7_quality_rules": QUALITY,
+}
