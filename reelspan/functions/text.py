@@ -93,9 +93,10 @@ def wrap_indented(c: Column | str, width: int = 78, first: str = "", following:
 def json_block(raw: Column | str, schema: str) -> Column:
     """A JSON object, even with talk before or after it: the text itself, else from the first { to the last }."""
     raw = col(raw)
-    return F.coalesce(F.from_json(raw, schema), F.from_json(F.regexp_extract(raw, "(?s)\\{.*\\}", 0), schema))
+    whole = lambda x: F.when(F.startswith(F.trim(x), F.lit("{")) & F.get_json_object(x, "$").isNotNull(), F.from_json(x, schema))
+    return F.coalesce(whole(raw), whole(F.regexp_extract(raw, "(?s)\\{.*\\}", 0)))
 
 
 def clean_list(c: Column | str, limit: int = 12) -> Column:
     """Trimmed items without blanks, ``limit`` at most."""
-    return F.slice(F.filter(F.transform(col(c), F.trim), lambda x: x != ""), 1, limit)
+    return F.slice(F.filter(F.transform(col(c), lambda x: F.trim(x)), lambda x: x != ""), 1, limit)

@@ -30,7 +30,8 @@ def parse_rate(c: Column | str) -> Column:
 
 
 def clamp(c: Column | str, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), col(c)))
+    """Held between two values; null stays null."""
+    return F.when(col(c).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), col(c))))
 
 
 def span_length(st: Column | str = "st", en: Column | str = "en") -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from reelspan import schemas
 from reelspan.functions.text import safe_stem
+from reelspan.functions.tolerant import clamp
 
 FRAME_MS = 20
 
@@ -28,7 +29,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("path", F.input_file_name())
     )
     base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(\.data)?\.json$", "")
-    return docs.withColumn("rec_id", base).withColumn("readable", F.col("_bad").isNull()).drop("_bad")
+    return docs.withColumn("rec_id", base).withColumn("readable", F.col("_bad").isNull() | F.col("segments").isNotNull()).drop("_bad")
 
 
 def result_segments(results: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def download_state(events: DataFrame) -> DataFrame:
     failed = F.col("error").isNotNull()
     return events.groupBy("job").agg(
         F.min_by(F.when(failed, F.col("error")), F.when(failed, F.col("seq"))).alias("error"),
-        F.round(F.max(F.least(F.lit(1.0), F.try_divide("completed", "total"))), 4).alias("fraction"),
+        F.round(F.max(clamp(F.try_divide("completed", "total"), 0.0, 1.0)), 4).alias("fraction"),
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspan.functions.tolerant import clamp
 from reelspan.schemas import RESULT_DOCUMENT
 
 STALL_S, STALL_ASR_S, LEAST_FRACTION = 300, 900, 0.08
@@ -79,7 +80,7 @@ def overall_fraction(stage: Column | str = "stage", fraction: Column | str = "fr
     stage, fraction = (F.col(c) if isinstance(c, str) else c for c in (stage, fraction))
     low = F.create_map(*[F.lit(x) for s, (a, _) in STAGE_SPANS.items() for x in (s, a)])[stage]
     high = F.create_map(*[F.lit(x) for s, (_, b) in STAGE_SPANS.items() for x in (s, b)])[stage]
-    return F.round((low + F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction)) * (high - low)) / 100.0, 6)
+    return F.round((low + clamp(fraction, 0.0, 1.0) * (high - low)) / 100.0, 6)
 
 
 def watch_results(spark, folder: str, each: Callable[[DataFrame, int], None], checkpoint: str):
