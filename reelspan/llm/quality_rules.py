@@ -14,6 +14,8 @@ from reelspan.llm.common import materialise, plain_columns
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\v\f\r"
 WINDOW = 8
+#: Hosts that are few enough to be sent to every task, and keys per host where they aren't.
+BROADCAST_HOSTS, SALTS = 100_000, 64
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Odd multipliers, one per place in a window.
 PLACES = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
@@ -93,11 +95,10 @@ def host_verdicts(checked: DataFrame, limit: float = 0.5) -> DataFrame:
     m = F.col("m")
     spread = F.col("s2") - m * m - m * (1 - m) * F.col("per_doc")
     strength = F.when(spread <= 0, F.lit(1e6)).otherwise(F.least(F.lit(1e6), F.greatest(F.lit(1.0), m * (1 - m) / spread - 1)))
-    # The prior is one row.
-    prior = corpus.select(m, strength.alias("strength"))
-    judged = hosts.join(F.broadcast(prior), F.lit(True))
-    shrunk = (F.col("n_failed") + F.col("m") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
-    return judged.select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk <= limit).alias("host_ok"))
+    prior = corpus.select(m.alias("m"), strength.alias("strength")).first()  # two numbers
+    m, strength = F.lit(prior.m), F.lit(prior.strength)
+    shrunk = (F.col("n_failed") + m * strength) / (F.col("n_docs") + strength)
+    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk <= limit).alias("host_ok"))
 
 
 def apply_quality_rules(
@@ -115,8 +116,13 @@ def apply_quality_rules(
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     measured = materialise(measure_documents(docs, id_col, text_col, host_col).withColumn("base_failed", base), "quality")
     failed = F.col("base_failed") | (10 * F.col("n_symbols") > F.col("word_chars"))
-    hosts = host_verdicts(measured.select("host", failed.alias("failed")), limit).select("host", "shrunk_rate", "host_ok")
-    return measured.join(hosts, "host", "left").select(
+    hosts = materialise(host_verdicts(measured.select("host", failed.alias("failed")), limit).select("host", "shrunk_rate", "host_ok"), "hosts")
+    if hosts.count() <= BROADCAST_HOSTS:
+        judged = measured.join(F.broadcast(hosts), "host", "left")
+    else:  # a hot host's documents are dealt over SALTS keys
+        salted = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        judged = measured.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, ["host", "_salt"], "left")
+    return judged.select(
         id_col,
         *FEATURES,
         "base_failed",

@@ -30,7 +30,7 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelspan.llm.quality_rules import apply_quality_rules
 
-    return apply_quality_rules(table(spark, sf_dir, "documents"))
+    return apply_quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
 @query
