@@ -2,7 +2,7 @@ import json
 import wave
 
 import numpy as np
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from reelspan.operators import history, ledger, media, report

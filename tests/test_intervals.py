@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 
 from reelspan.operators import intervals
 from reelspan.schemas import SPANS

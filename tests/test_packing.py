@@ -2,7 +2,7 @@ import random
 import textwrap
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from reelspan.functions.text import wrap, wrap_at_most

@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import rows
+from helpers import rows
 
 from reelspan.operators import align, speakers
 
