@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import rows
+from llm_helpers import rows
 from pyspark.sql import functions as F
 
 from reelspan.llm.license_scan import TEMPLATES, rare_words, scale_of, scan_licenses, shingles_of, words_in

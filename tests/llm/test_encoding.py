@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from conftest import rows
+from llm_helpers import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from llm_helpers import rows
 from pyspark.sql import functions as F
 
 from reelspan.llm.components import connected_components

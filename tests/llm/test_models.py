@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import rows
+from llm_helpers import rows
 from pyspark.sql import functions as F
 
 from reelspan.llm.common import crc_bucket

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from llm_helpers import rows
 
 import corpus_pipeline
 from reelspan.llm import oracles, queries
