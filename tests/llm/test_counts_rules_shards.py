@@ -25,7 +25,7 @@ def test_measures():
     for _ in range(200):
         words = [rng.choice("ab") for _ in range(rng.randint(0, 60))]
         assert measure(" ".join(words))[4] == plain_repeats(words)
-    assert measure("a# b\n\n a\n a\nb é") == (5, 7, 1, 1, 0)
+    assert measure("a# b\n\n a\n a\nb é") == (5, 8, 1, 1, 0)
 
 
 def test_hosts_shrink_towards_the_corpus(spark):
