@@ -90,17 +90,22 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in; those of label quality 0 are deleted, toxic ones are recounted without symbols; the first batch is sent again."""
+    from reelspan.llm.common import materialise
     from reelspan.llm.token_counts import TokenRollup, count_tokens
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    counted = materialise(count_tokens(docs), "counts")
+    cleaned = count_tokens(docs.withColumn("text", F.regexp_replace("text", r"[#*$%&|<>]+", "")))
+
+    def of(rows: DataFrame, condition: str) -> DataFrame:
+        """Counts, not texts, meet the labels."""
+        return rows.join(labels.filter(condition).select("doc_id"), "doc_id", "left_semi")
+
     rollup = TokenRollup(spark)
-    counted = count_tokens(docs)
     rollup.apply("load", inserted=counted)
-    poor = docs.join(labels.filter("quality = 0").select("doc_id"), "doc_id", "left_semi")
-    rollup.apply("poor", deleted=count_tokens(poor))
-    toxic = docs.join(labels.filter("quality = 1 and toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    cleaned = toxic.withColumn("text", F.regexp_replace("text", r"[#*$%&|<>]+", ""))
-    rollup.apply("toxic", inserted=count_tokens(cleaned), deleted=count_tokens(toxic))
+    rollup.apply("poor", deleted=of(counted, "quality = 0"))
+    toxic = "quality = 1 and toxic = 1"
+    rollup.apply("toxic", inserted=of(cleaned, toxic), deleted=of(counted, toxic))
     rollup.apply("load", inserted=counted)
     return rollup.totals()
 
