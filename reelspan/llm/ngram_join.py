@@ -35,6 +35,8 @@ from reelspan.llm.components import connected_components
 
 #: Groups of the count vectors, sizes of one size class (greatest over least), points of a block and of a tree node.
 GROUPS, CLASS_RATIO, BLOCK, FAN = 256, 1.5, 4096, 16
+#: Bits of the filter that keeps texts from being shuffled in vain.
+FILTER_BITS = 1 << 26
 #: Cells of up to so many members are named by their members, so that equal ones fall together.
 NAMED = 64
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -264,13 +266,42 @@ def cell_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "cell bigint, sid bigint")
 
 
+def id_bits(ids: DataFrame, column: str) -> np.ndarray:
+    """Bitmap of the hashes of some ids: FILTER_BITS bits, however many ids there are."""
+    at = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    pages = ids.select(at.alias("at")).groupBy(F.expr("at div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in pages.collect():  # FILTER_BITS / 32768 pages at most
+        out[r.page * 4096 : (r.page + 1) * 4096] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    return out
+
+
+def perhaps_among(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows whose id is among ``ids``, and a few others, without a shuffle of the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_bits(ids, id_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.asarray(b.column(2))
+            keep = (shared.value[at >> 3] >> (at & 7)) & 1
+            yield b.filter(pa.array(keep.astype(bool))).select([0, 1])
+
+    at = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).alias("_at")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col, at).mapInArrow(run, f"`{id_col}` {kind}, `{text_col}` string")
+
+
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
     """(sid, hashes) of the given documents (text, sid)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_hashes(text, words).tobytes() for text in b.column(0).to_pylist()]
-            yield batch(["sid", "hashes"], b.column(1), pa.array(sets, pa.binary()))
+            sets, own = [], []
+            for text, sid in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = shingle_hashes(text, words)
+                sets.append(h.tobytes())
+                own.append(set_id(h) == sid)  # rows that repeat an id may have another text
+            yield batch(["sid", "hashes"], b.column(1), pa.array(sets, pa.binary())).filter(pa.array(own, pa.bool_()))
 
     return docs.mapInArrow(run, "sid bigint, hashes binary")
 
@@ -454,8 +485,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     fewer words than a shingle has one shingle, its whole sequence; one with no words, or a null
     text, has none and is linked with nothing. component_id is the least id reachable by
     links, the row's own included; equal sets are linked. Rows that repeat an id are each linked
-    by their own text; a row whose id is null gets the least id among its links, if any. Other
-    columns are ignored. No rows give no rows. Shingles and sets are told apart by 64-bit hashes.
+    by their own text. A row whose id is null gets the least id of the rows with an equal set, and
+    their links, if there are any. Other columns are ignored. No rows give no rows. Shingles
+    and sets are told apart by 64-bit hashes.
     """
     source = plain_columns(docs, (id_col, text_col))
     described = materialise(describe(source, words, id_col), "shingles")
@@ -464,18 +496,29 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     wanted = members.select("sid").distinct()
     firsts = described.filter(F.col("sid").isNotNull()).groupBy("sid").agg(F.min(id_col).alias(id_col), F.first("counts").alias("counts"))
     points = materialise(firsts.join(wanted, "sid", "left_semi"), "points")
-    texts = source.join(points.select(id_col, "sid"), id_col).select(text_col, "sid")
-    sets = materialise(set_rows(texts, words).dropDuplicates(["sid"]), "sets")
-    placed = materialise(in_blocks(members).join(points.select("sid", "counts"), "sid"), "blocks")
-    pairs = materialise(first_pairs(placed, num, den), "pairs")
-    links = materialise(verified(pairs, sets, num, den), "links")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the paired documents; only their texts travel."""
+        ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        named = materialise(points.select(id_col, "sid").join(ends, "sid", "left_semi"), "named")
+        texts = perhaps_among(source, named, id_col, text_col).join(named, id_col).select(text_col, "sid")
+        return materialise(set_rows(texts, words).dropDuplicates(["sid"]), "sets")
+
+    def with_counts(rows: DataFrame) -> DataFrame:
+        return rows.join(points.select("sid", "counts"), "sid")
+
+    placed = materialise(in_blocks(members), "blocks")
+    pairs = materialise(first_pairs(with_counts(placed), num, den), "pairs")
+    links = materialise(verified(pairs, sets_of(pairs), num, den), "links")
     labels = materialise(connected_components(links), "labels")
     labelled = placed.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     mains = labelled.filter(F.col("sid") == F.col("center")).select("cell", F.col("label").alias("main")).distinct()
     labelled = materialise(labelled.join(mains, "cell"), "labelled")
-    if not labelled.filter("label <> main").isEmpty():
-        more = second_pairs(labelled, num, den).join(pairs, ["a", "b"], "left_anti")
-        more = materialise(verified(more, sets, num, den), "links")
+    split = materialise(labelled.filter("label <> main").select("cell").distinct(), "split")  # cells of several components
+    if not split.isEmpty():
+        searched = with_counts(labelled.join(split, "cell", "left_semi"))
+        more = materialise(second_pairs(searched, num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = materialise(verified(more, sets_of(more), num, den), "links")
         if not more.isEmpty():
             labels = materialise(connected_components(links.unionByName(more)), "labels")
     # Back from sets to documents.
