@@ -173,6 +173,13 @@ def cue_token_invariance(spark, d):
     return cues.groupBy("rec_id").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).cast("bigint").alias("n_tokens"))
 
 
+@query(with_views(f"SELECT rec_id, CAST(sum(len(regexp_extract_all(text, '{TOKEN_SQL}'))) AS BIGINT) AS n_tokens FROM seg_conv GROUP BY rec_id", "seg_conv"))
+def cue_token_invariance_all(spark, d):
+    """Tokens of the cues of all segments: as many as the segments have."""
+    cues = packing.build_cues(seg_conv(spark, d), "curta")
+    return cues.groupBy("rec_id").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).cast("bigint").alias("n_tokens"))
+
+
 @query()
 def srt_text(spark, d):
     return packing.subtitle_text(packing.build_cues(seg_words(spark, d)))
@@ -397,6 +404,11 @@ def listing_diff(spark, d):
     return history.listing_diff(before, table(spark, d, "labels").select("doc_id"))
 
 
+@query("SELECT doc_id, 'new' AS change FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'gone' FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)")
+def listing_diff_all(spark, d):
+    return history.listing_diff(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id"))
+
+
 @query(with_views("""SELECT dir, CAST(sum(length) AS BIGINT) AS length, count(*) AS n_files FROM (SELECT array_to_string(p[1:k],'/') AS dir, length FROM (SELECT p, length, unnest(range(1,len(p))) AS k FROM (SELECT string_split(path,'/') AS p, length FROM inv_pages))) GROUP BY dir""", "inv_pages"))
 def dir_sizes(spark, d):
     return history.dir_sizes(inv_pages(spark, d))

@@ -30,3 +30,19 @@ def test_files_of_every_run_are_looked_up(spark, by_sql):
     hits = sum(n.startswith(("ok", "error")) for _, n in found)
     assert 0 < hits < len(found)
     assert counted(found) == counted(by_sql("latest_file_lookup_all"))
+
+
+def test_cues_of_all_segments_keep_their_tokens(spark, by_sql):
+    found = catalogue.QUERIES["cue_token_invariance_all"](spark, DIR).collect()
+    half = catalogue.QUERIES["cue_token_invariance"](spark, DIR).collect()
+    assert sum(r.n_tokens for r in found) > sum(r.n_tokens for r in half)
+    assert counted(found) == counted(by_sql("cue_token_invariance_all"))
+
+
+def test_whole_listings_are_compared(spark, by_sql, tmp_path):
+    assert counted(catalogue.QUERIES["listing_diff_all"](spark, DIR).collect()) == counted(by_sql("listing_diff_all"))
+    # Odd and even ids on either side; 5 and 6 have vanished, 7 and 8 are new.
+    for name, ids in (("documents", (1, 2, 5, 6)), ("labels", (1, 2, 7, 8))):
+        spark.createDataFrame([(i,) for i in ids], "doc_id bigint").write.parquet(f"{tmp_path}/{name}.parquet")
+    found = {tuple(r) for r in catalogue.QUERIES["listing_diff_all"](spark, str(tmp_path)).collect()}
+    assert found == {(5, "gone"), (6, "gone"), (7, "new"), (8, "new")}
