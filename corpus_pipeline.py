@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.llm.common import crc_bucket, materialise
@@ -13,33 +13,38 @@ from reelspan.llm.quality_rules import apply_quality_rules
 from reelspan.llm.toxicity import score_toxicity, train_toxicity
 
 
-def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id, null included, is among ``ids``."""
-    ids = ids.select(F.col("doc_id").alias("_kept"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+#: Names of a whole row where it stands for its id, and of the number that each row gets.
+WHOLE, ROW = "_whole_row", "_row_number"
+
+
+def whole(docs: DataFrame) -> DataFrame:
+    """(WHOLE, text, source): an operator that returns the id of a row so returns the row itself."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(WHOLE), "text", "source")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, and whose host does."""
-    return keep(docs, apply_quality_rules(docs).filter("kept"))
+    return apply_quality_rules(whole(docs), id_col=WHOLE).filter("kept").select(f"{WHOLE}.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train_toxicity(docs, labels, crc_bucket("doc_id", 5) != 0)
-    return keep(docs, score_toxicity(docs, model).filter("predicted = 0"))
+    return score_toxicity(whole(docs), model, id_col=WHOLE).filter("predicted = 0").select(f"{WHOLE}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates (five-word shingles, Jaccard 0.8)."""
-    joined = jaccard_components(docs, words=5, num=80, den=100)
-    left = keep(docs, joined.filter("component_id is null or component_id = doc_id"))
-    if docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        return left
-    # Only where rows repeat an id: one of them stays.
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    return left.withColumn("_place", place).filter("_place = 1 or doc_id is null").drop("_place")
+    """One row of each group of near duplicates (five-word shingles, Jaccard 0.8): that of least id, null last.
+
+    Rows of one id differ by a hash of the text. Rows without words are in no group and stay.
+    """
+    # Written once, so that every use of a row finds the same number.
+    numbered = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    joined = jaccard_components(numbered, words=5, num=80, den=100, id_col=ROW).select(ROW, "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"), F.col(ROW).alias("d"))
+    first = joined.join(numbered.select(ROW, order.alias("_order")), ROW).groupBy("component_id").agg(F.min("_order").alias("_order"))
+    return numbered.join(first.select(F.col("_order.d").alias(ROW)), ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
