@@ -13,14 +13,15 @@ of the guessed language, so that 0.5 is the cut everywhere.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import plain_columns, sub_batches
+from reelspan.llm.common import materialise, plain_columns, sub_batches
+from reelspan.llm.ngram_join import perhaps_among
 
 WORD = re.compile(r"[^\W\d_]+")
 TABLE = 1 << 17
@@ -28,6 +29,8 @@ EMBED, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6)
 #: Positives and negatives that a language needs for a cut of its own.
 OWN_CUT = 15
+#: Bins to a unit of response, and the greatest response told apart; place of a cut in its gap where fitted texts decide.
+BINS, MOST_RESPONSE, FITTED_SHARE = 256, 64, 0.4
 
 
 def features(word: str) -> list[int]:
@@ -163,36 +166,51 @@ class ToxicityModel:
         logs = np.log(counts / counts.sum(axis=0))
         self.language_table = logs - logs.mean(axis=1, keepdims=True) if self.languages else counts
 
-    def set_cuts(self, corpus: Corpus, labels: np.ndarray) -> None:
-        """Cuts that separate the given labels best (F1), for all texts and for each guessed language."""
-        embedding = np.vstack([self.embedding, np.zeros((1, EMBED), np.float32)])
-        response, guess = np.empty(len(labels)), np.full(len(labels), -1)
-        for d, words in enumerate(corpus.texts):
-            _, pre = self.forward(embedding[corpus.parts[corpus.padded(d)]].sum(axis=1))
-            response[d] = np.maximum(pre, 0) @ self.output + self.offset
-            if len(words) and self.languages:
-                guess[d] = self.language_table[corpus.parts[words, 0]].sum(axis=0).argmax()
-        self.cut = best_cut(response, labels)
+    def set_cuts(self, counts: Iterable[tuple[int, int, int, bool, int]]) -> None:
+        """Cuts that separate labelled texts best (F1), for all texts and for each guessed language.
+
+        ``counts``: (index of the guessed language or -1, label, response's bin, fitted, texts).
+        Texts that were not fitted on decide wherever there are OWN_CUT of each label, else all.
+        """
+        table = np.array(list(counts), dtype=np.int64).reshape(-1, 5)
+        found = enough_of(table)
+        self.cut = cut_of_counts(table if found is None else found)
         for k, lang in enumerate(self.languages):
-            own = guess == k
-            if labels[own].sum() >= OWN_CUT and (1 - labels[own]).sum() >= OWN_CUT:
-                self.cuts[lang] = best_cut(response[own], labels[own])
+            own = enough_of(table[table[:, 0] == k])
+            if own is not None:
+                self.cuts[lang] = cut_of_counts(own)
+
+
+def enough_of(table: np.ndarray) -> np.ndarray | None:
+    """The rows not fitted on if they have OWN_CUT texts of each label, else all if those have, else None."""
+    for rows in (table[table[:, 3] == 0], table):
+        if all(rows[rows[:, 1] == y, 4].sum() >= OWN_CUT for y in (0, 1)):
+            return rows
+    return None
+
 
+def cut_of_counts(table: np.ndarray) -> float:
+    """The best cut of binned responses; the middle of the gap unless it rests on texts that were fitted on."""
+    responses = (table[:, 2] + 0.5) / BINS
+    return best_cut(responses, table[:, 1], table[:, 4], FITTED_SHARE if table[:, 3].any() else 0.5)
 
-def best_cut(response: np.ndarray, labels: np.ndarray) -> float:
-    """A cut in the gap that gives the highest F1 (the widest among equals), two fifths of the way up.
 
-    Texts that were not learned from respond less than those that were, the toxic ones most.
+def best_cut(response: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, share: float = FITTED_SHARE) -> float:
+    """A cut in the gap that gives the highest F1 (the widest among equals), ``share`` of the way up.
+
+    ``weights`` are the texts that each response stands for. Texts that were not learned from
+    respond less than those that were, the toxic ones most.
     """
     order = np.argsort(-response, kind="stable")
     r, y = response[order], labels[order].astype(float)
-    hits, taken = np.cumsum(y), np.arange(1, len(y) + 1)
-    f1 = 2 * hits / (taken + max(1.0, y.sum()))
+    n = np.ones(len(r)) if weights is None else weights[order].astype(float)
+    hits, taken = np.cumsum(y * n), np.cumsum(n)
+    f1 = 2 * hits / (taken + max(1.0, (y * n).sum()))
     below = np.append(r[1:], r[-1] - 1)
     f1 = np.where(r > below, f1, -1)
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     k = best[np.argmax((r - below)[best])]
-    return float(0.4 * r[k] + 0.6 * below[k])
+    return float(share * r[k] + (1 - share) * below[k])
 
 
 class Scorer:
@@ -296,11 +314,14 @@ def train_toxicity(
 ) -> ToxicityModel | None:
     """Fit on a bounded sample of labelled rows, at most so many of each label, taken by a hash of the id.
 
-    ``allowed`` is a condition on the id. Languages only name the groups whose cuts are set. None when
+    ``allowed`` is a condition on the id. Labels without a document don't count. The cuts are then set
+    on all labelled rows. Languages only name the groups whose cuts are set. None when
     nothing is labelled; with one label only, every text gets that label's side of the cut.
     """
     by_hash = F.xxhash64(F.col(id_col).cast("string"), F.lit("toxicity"))
     known = plain_columns(labels, (id_col, label_col)).filter(allowed & F.col(label_col).isin(0, 1)).dropDuplicates([id_col])
+    present = plain_columns(docs, (id_col,)).distinct()
+    known = materialise(known.join(present, id_col, "left_semi"), "labelled")
     taken = None
     for value, most in ((1, positives), (0, negatives)):
         some = known.filter(F.col(label_col) == value).orderBy(by_hash, id_col).limit(most)
@@ -319,13 +340,39 @@ def train_toxicity(
     model.fit_languages(corpus, langs)
     if 0 < y.sum() < len(y):
         model.fit(corpus, y)
-        model.set_cuts(corpus, y)
+        del corpus
+        model.set_cuts(response_counts(docs, known, taken, model, id_col, text_col, label_col))
     else:
         model.cut = -1.0 if y.sum() else 1.0
         model.output[:] = 0
     return model
 
 
+def response_counts(docs: DataFrame, known: DataFrame, taken: DataFrame, model: ToxicityModel, id_col: str, text_col: str, label_col: str) -> list[tuple]:
+    """Texts by guessed language, label, bin of the response and whether fitted on, over every labelled row.
+
+    A row per combination that occurs, whatever the number of texts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            response, guess = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+            for a, b in sub_batches(texts):
+                response[a:b], guess[a:b] = scorer.respond([words_of(t) for t in texts[a:b]])
+            bins = np.floor(np.clip(response, -MOST_RESPONSE, MOST_RESPONSE) * BINS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(guess), pa.array(bins)], names=[id_col, "guess", "bin"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    scored = perhaps_among(docs, known, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, guess bigint, bin bigint")
+    fitted = F.broadcast(taken.select(id_col, F.lit(1).alias("fitted")))
+    rows = scored.join(known, id_col).join(fitted, id_col, "left")
+    label, was = F.col(label_col).cast("long").alias("label"), F.coalesce("fitted", F.lit(0)).alias("fitted")
+    return [tuple(r) for r in rows.groupBy("guess", label, "bin", was).count().select("guess", "label", "bin", "fitted", "count").collect()]
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, score, predicted) for every row, from its whole text.
 
