@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,9 +16,11 @@ SUB_BATCH_CHARS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a temporary one only where none is set."""
+    """Folder that driver and executors share; where none is set, a temporary one if all of them are this process, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         folder = tempfile.mkdtemp(prefix="reelspan-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

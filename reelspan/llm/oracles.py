@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
+import public_tokenizers
+
 from reelspan.llm.license_scan import SHINGLE, TEMPLATES, scale_of, shingles_of, words_in
-from reelspan.llm.token_counts import TOKENIZERS
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,20 +43,47 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
-def _counts(rows: str, column: str) -> str:
-    return " UNION ALL ".join(f"SELECT doc_id, source, lang, '{v}' AS tokenizer_version, len(regexp_extract_all({column}, {text(p)})) AS n FROM {rows}" for v, p in TOKENIZERS.items())
+# White space as the public pre-tokeniser's pattern has it.
+SPACES = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# A private character marks where a run of white space hands its last character to the next match.
+MATCH, MARK = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+", "chr(57344)"
+CUT = f"""cut AS MATERIALIZED (SELECT k, generate_subscripts(m, 1) AS i, unnest(m) AS w FROM (
+  SELECT k, flatten(list_transform(string_split(regexp_replace(t, '([{SPACES}])([{SPACES}][^{SPACES}])', '\\1' || {MARK} || '\\2', 'g'), {MARK}), lambda x: regexp_extract_all(x, {text(MATCH)}))) AS m FROM texts)),
+words AS MATERIALIZED (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM cut))"""
 
 
+def _merged(version: str) -> str:
+    """CTEs that merge the bytes of every distinct match (cut, words) by the ranks of a vocabulary: coded_<version>(w, p), tokens as hex."""
+    return f"""
+ranks_{version} AS MATERIALIZED (
+  SELECT hex(from_base64(t)) AS tok, r FROM read_csv('{public_tokenizers.path(version + '.tiktoken')}', delim = ' ', header = false, columns = {{'t': 'VARCHAR', 'r': 'BIGINT'}}, quote = '', escape = '')
+), merging_{version} AS (
+  SELECT w, CASE WHEN r IS NOT NULL THEN [h] ELSE [h[2 * i - 1 : 2 * i] for i in range(1, length(h) // 2 + 1)] END AS p FROM words LEFT JOIN ranks_{version} ON tok = h
+  UNION ALL
+  SELECT w, list_concat(list_concat(list_slice(p, 1, z - 1), [p[z] || p[z + 1]]), list_slice(p, z + 2, len(p))) FROM (
+    SELECT w, p, arg_min(i, r * 1000000 + i) AS z FROM (SELECT w, p, unnest(range(1, len(p))) AS i FROM merging_{version} WHERE len(p) > 1) JOIN ranks_{version} ON tok = p[i] || p[i + 1] GROUP BY w, p
+  )
+), coded_{version} AS MATERIALIZED (SELECT w, arg_min(p, len(p)) AS p FROM merging_{version} GROUP BY w)"""
+
+
+BYTE_BPE = f"""
+WITH RECURSIVE texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents), {CUT}, {_merged('byte_bpe_50k')},
+ids AS (SELECT k, i, j, r FROM (SELECT k, i, generate_subscripts(p, 1) AS j, unnest(p) AS tok FROM cut JOIN coded_byte_bpe_50k USING (w)) JOIN ranks_byte_bpe_50k USING (tok)),
+joined AS (SELECT k, count(*) AS n, string_agg(CAST(r AS VARCHAR), ' ' ORDER BY i, j) AS s FROM ids GROUP BY k)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, sha256(coalesce(s, '')) AS ids_sha256, sha256(t) AS decoded_sha256 FROM texts LEFT JOIN joined USING (k)
+"""
+
+_VERSIONS = ("byte_bpe_50k", "byte_bpe_multi_50k")
 TOKEN_COUNTS = f"""
-WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
-poor AS (SELECT d.* FROM d JOIN labels l USING (doc_id) WHERE l.quality = 0),
-toxic AS (SELECT d.*, regexp_replace(t, '[#*$%&|<>]+', '', 'g') AS cleaned FROM d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND l.toxic = 1),
-deltas AS (
-  SELECT *, 1 AS sign FROM ({_counts('d', 't')}) UNION ALL SELECT *, -1 FROM ({_counts('poor', 't')})
-  UNION ALL SELECT *, -1 FROM ({_counts('toxic', 't')}) UNION ALL SELECT *, 1 FROM ({_counts('toxic', 'cleaned')})
-)
-SELECT source, lang, tokenizer_version, CAST(sum(sign) AS BIGINT) AS n_docs, CAST(sum(sign * n) AS BIGINT) AS n_tokens FROM deltas GROUP BY ALL
-HAVING sum(sign) <> 0 OR sum(sign * n) <> 0
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+state AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+toxic AS (SELECT d.k, regexp_replace(t, '[#*$%&|<>]+', '', 'g') AS t FROM d JOIN state USING (doc_id) WHERE quality = 1 AND toxic = 1),
+left_over AS (SELECT d.* FROM d LEFT JOIN state USING (doc_id) WHERE quality IS NULL OR quality <> 0),
+texts AS (SELECT k, coalesce(toxic.t, left_over.t) AS t FROM left_over LEFT JOIN toxic USING (k)),
+{CUT}, {', '.join(map(_merged, _VERSIONS))},
+n AS ({' UNION ALL '.join(f"SELECT k, '{v}' AS tokenizer_version, sum(len(p)) AS n FROM cut JOIN coded_{v} USING (w) GROUP BY k" for v in _VERSIONS)})
+SELECT source, lang, v AS tokenizer_version, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_tokens
+FROM left_over CROSS JOIN (SELECT unnest({list(_VERSIONS)}) AS v) LEFT JOIN n ON n.k = left_over.k AND n.tokenizer_version = v GROUP BY ALL
 """
 
 
@@ -104,4 +132,5 @@ ORACLES: dict[str, str] = {
     "op5_token_counts": TOKEN_COUNTS,
     "op6_license_scan": _licenses(),
     "op7_quality_rules": QUALITY,
+    "op8_byte_bpe": BYTE_BPE,
 }

@@ -89,24 +89,38 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in; those of label quality 0 are deleted, toxic ones are recounted without symbols; the first batch is sent again."""
+    """All documents come in; those of label quality 0 are deleted, toxic ones are recounted without symbols; the first batch is sent again.
+
+    A document with several labels is poor by its least quality, and else toxic by its greatest.
+    """
+    import public_tokenizers
+
     from reelspan.llm.common import materialise
     from reelspan.llm.token_counts import TokenRollup, count_tokens
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    counted = materialise(count_tokens(docs), "counts")
-    cleaned = count_tokens(docs.withColumn("text", F.regexp_replace("text", r"[#*$%&|<>]+", "")))
-
-    def of(rows: DataFrame, condition: str) -> DataFrame:
-        """Counts, not texts, meet the labels."""
-        return rows.join(labels.filter(condition).select("doc_id"), "doc_id", "left_semi")
+    versions = {name: public_tokenizers.path(f"{name}.tiktoken") for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    # Both forms of a text are counted in one pass and written, so what meets the labels is counts.
+    symbols = r"[#*$%&|<>]+"
+    rows = docs.select("doc_id", "source", "lang", "text", F.coalesce(F.col("text").rlike(symbols), F.lit(False)).alias("changes"))
+    plain_form = F.struct(F.lit(False).alias("cleaned"), F.col("text"))
+    forms = F.when(F.col("changes"), F.array(plain_form, F.struct(F.lit(True).alias("cleaned"), F.regexp_replace("text", symbols, "").alias("text")))).otherwise(F.array(plain_form))
+    both = rows.select("doc_id", "source", "lang", "changes", F.inline(forms)).select(F.struct("doc_id", "changes", "cleaned").alias("doc"), "source", "lang", "text")
+    counted = count_tokens(both, versions, public_tokenizers.PATTERN, id_col="doc")
+    counted = materialise(counted.select("doc.*", "source", "lang", "tokenizer_version", "n_tokens"), "counts")
+    state = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    poor, toxic = (state.filter(c).select("doc_id") for c in ("quality = 0", "quality = 1 and toxic = 1"))
+    plain = counted.filter("not cleaned")
+
+    def of(condition: str, ids: DataFrame) -> DataFrame:
+        return counted.filter(condition).join(ids, "doc_id", "left_semi")
 
     rollup = TokenRollup(spark)
-    rollup.apply("load", inserted=counted)
-    rollup.apply("poor", deleted=of(counted, "quality = 0"))
-    toxic = "quality = 1 and toxic = 1"
-    rollup.apply("toxic", inserted=of(cleaned, toxic), deleted=of(counted, toxic))
-    rollup.apply("load", inserted=counted)
+    rollup.apply("load", inserted=plain)
+    rollup.apply("poor", deleted=of("not cleaned", poor))
+    # Texts without symbols keep their count, so only the others are revised.
+    rollup.apply("toxic", inserted=of("cleaned", toxic), deleted=of("changes and not cleaned", toxic))
+    rollup.apply("load", inserted=plain)
     return rollup.totals()
 
 

@@ -1,7 +1,10 @@
+import base64
 import random
 from collections import Counter
 
+import public_tokenizers as P
 import pytest
+import tiktoken
 from llm_helpers import rows
 from pyspark.sql import functions as F
 
@@ -52,29 +55,71 @@ def test_rules_on_odd_rows(odd):
     assert apply_quality_rules(odd.limit(0)).count() == 0
 
 
+VERSIONS = {v: P.path(f"{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+
+
+def plain_counts(texts):
+    """{version: numbers of tokens} by the library itself."""
+    out = {}
+    for v, path in VERSIONS.items():
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        out[v] = [len(own.encode_ordinary(t or "")) for t in texts]
+    return out
+
+
+def test_counts_equal_the_library(spark, documents):
+    rng = random.Random(2)
+    texts = [None, "", " ", "a  b", "don't\n\n x", "é" * 300, "<|endoftext|>"] + ["".join(rng.choice("ab cé\n\t'st1.🙂") for _ in range(rng.randint(1, 200))) for _ in range(100)]
+    got = {}
+    for r in count_tokens(documents(texts), VERSIONS, P.PATTERN).collect():
+        got.setdefault(r.tokenizer_version, {})[r.doc_id] = r.n_tokens
+    assert got == {v: dict(enumerate(n)) for v, n in plain_counts(texts).items()}
+
+
 def test_rollup_counts_batches_once(spark, documents):
-    docs = documents(["a b", "c", None, "d e f"])
-    counted = count_tokens(docs, {"v": r"\w+"})
+    def counted(*texts):
+        return count_tokens(documents(texts), {"v": VERSIONS["byte_bpe_50k"]}, P.PATTERN)
+
+    docs = counted("a b", "c", None, "d e f")
     rollup = TokenRollup(spark)
-    assert rollup.apply("one", inserted=counted) and not rollup.apply("one", inserted=counted)
-    rollup.apply("two", deleted=counted.filter("doc_id = 1"))
-    rollup.apply("three", inserted=count_tokens(documents(["a b c d"]), {"v": r"\w+"}), deleted=counted.filter("doc_id = 0"))
+    assert rollup.apply("one", inserted=docs) and not rollup.apply("one", inserted=docs)
+    rollup.apply("two", deleted=docs.filter("doc_id = 1"))
+    rollup.apply("three", inserted=counted("a b c d"), deleted=docs.filter("doc_id = 0"))
     total = rollup.totals().agg(F.sum("n_docs"), F.sum("n_tokens")).first()
     assert tuple(total) == (3, 7)
     again = TokenRollup(spark, rollup.path)
     assert rows(again.totals()) == rows(rollup.totals())
-    # An attempt that never committed leaves its rows behind, and they don't count.
-    counted.limit(1).selectExpr("source", "lang", "tokenizer_version", "1L n_docs", "99L n_tokens", "'lost' attempt").write.mode("append").parquet(f"{rollup.path}/deltas")
+    # Totals that a lost writer left without a commit don't count.
+    docs.limit(1).selectExpr("source", "lang", "tokenizer_version", "1L n_docs", "99L n_tokens").write.parquet(f"{rollup.path}/totals/lost")
     assert rows(again.totals()) == rows(rollup.totals()) and tuple(again.totals().agg(F.sum("n_docs")).first()) == (3,)
+    # Of two commits of one version the first attempt by name counts; the other batch can be sent again.
+    spark.createDataFrame([(4, "four", "~")], "version bigint, batch_id string, attempt string").write.mode("append").parquet(f"{rollup.path}/commits")
+    spark.createDataFrame([(4, "other", "!")], "version bigint, batch_id string, attempt string").write.mode("append").parquet(f"{rollup.path}/commits")
+    rollup.totals().limit(0).write.parquet(f"{rollup.path}/totals/!")
+    rollup.totals().write.parquet(f"{rollup.path}/totals/~")
+    assert [r.batch_id for r in rollup.commits().filter("version = 4").collect()] == ["other"]
+    assert rollup.apply("four", inserted=docs) and not rollup.apply("other", inserted=docs)
+    assert rollup.totals().agg(F.sum("n_docs")).first()[0] == 4
+
+
+def test_a_commit_reads_the_last_totals_only(spark, documents):
+    rollup = TokenRollup(spark)
+    docs = count_tokens(documents(["a", "b"]), {"v": VERSIONS["byte_bpe_50k"]}, P.PATTERN)
+    for k in range(3):
+        rollup.apply(f"b{k}", inserted=docs)
+    assert len(rollup.totals().inputFiles()) >= 1 and all(f"/totals/{rollup._latest()[1]}" in f for f in rollup.totals().inputFiles())
+    assert rollup.totals().agg(F.sum("n_docs")).first()[0] == 6
 
 
 def test_rollup_on_odd_rows(spark, odd):
     rollup = TokenRollup(spark)
-    rollup.apply("all", inserted=count_tokens(odd))
-    assert rollup.totals().agg(F.sum("n_docs")).first()[0] == odd.count() * 3
-    assert rollup.totals().filter("lang is null").count() == 3
-    rollup.apply("gone", deleted=count_tokens(odd))
-    rollup.apply("none", inserted=count_tokens(odd.limit(0)))
+    counted = count_tokens(odd, VERSIONS, P.PATTERN)
+    rollup.apply("all", inserted=counted)
+    assert rollup.totals().agg(F.sum("n_docs")).first()[0] == odd.count() * 2
+    assert rollup.totals().filter("lang is null").count() == 2
+    rollup.apply("gone", deleted=counted)
+    rollup.apply("none", inserted=count_tokens(odd.limit(0), VERSIONS, P.PATTERN))
     assert rollup.totals().count() == 0
 
 
