@@ -50,6 +50,25 @@ def clock(seconds: Column | str) -> Column:
     return F.when(t.isNull(), F.lit(DASH)).when(h > 0, F.format_string("%d:%02d:%02d", h, m, r)).otherwise(F.format_string("%d:%02d", m, r))
 
 
+def clock_padded(seconds: Column | str) -> Column:
+    """'hh:mm:ss', half seconds to even; null for null."""
+    t = F.bround(col(seconds).cast("double")).cast("bigint")
+    return F.when(t.isNotNull(), F.format_string("%02d:%02d:%02d", F.floor(t / 3600).cast("bigint"), (F.floor(t / 60) % 60).cast("bigint"), t % 60))
+
+
+def duration_words(seconds: Column | str) -> Column:
+    """'40 s' (1 at least), '2 min', '1 h' or '1 h 20 min'; a dash for null."""
+    t = F.bround(col(seconds).cast("double")).cast("bigint")
+    h, m = F.floor(t / 3600).cast("bigint"), (F.floor(t / 60) % 60).cast("bigint")
+    return (
+        F.when(t.isNull(), F.lit(NONE_MARK))
+        .when(t < 60, F.format_string("%d s", F.greatest(F.lit(1).cast("bigint"), t)))
+        .when(h == 0, F.format_string("%d min", m))
+        .when(m == 0, F.format_string("%d h", h))
+        .otherwise(F.format_string("%d h %d min", h, m))
+    )
+
+
 def when_text(iso: Column | str) -> Column:
     """'dd/mm HH:MM' of an ISO time; '-' for anything else."""
     return F.coalesce(F.date_format(F.try_to_timestamp(col(iso)), "dd/MM HH:mm"), F.lit(DASH))

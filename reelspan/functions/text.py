@@ -25,6 +25,37 @@ def _folding() -> tuple[str, str]:
 _FROM, _TO = _folding()
 
 
+def strip(c: Column | str) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(col(c), "(?U)^\\s+|\\s+$", "")
+
+
+def _ascii_forms() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition has ASCII characters: those with one and theirs, and those with several."""
+    single, several = [], {}
+    for code in [*range(0x80, 0x10000), *range(0x1D400, 0x1D800)]:
+        if 0xD800 <= code < 0xE000:
+            continue
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            single.append((chr(code), plain))
+        elif plain:
+            several[chr(code)] = plain
+    return "".join(a for a, _ in single), "".join(b for _, b in single), several
+
+
+_ONE_FROM, _ONE_TO, _SEVERAL = _ascii_forms()
+
+
+def ascii_form(c: Column | str) -> Column:
+    """ASCII characters of a text's compatibility decomposition; what has none is dropped."""
+    plain = F.translate(col(c), _ONE_FROM, _ONE_TO)
+    forms = F.create_map(*[F.lit(x) for kv in _SEVERAL.items() for x in kv])
+    # Only texts that still hold such a character look characters up.
+    spelled = F.array_join(F.transform(F.split(plain, ""), lambda x: F.when(x.rlike("^[\\x00-\\x7F]"), x).otherwise(F.coalesce(forms[x], F.lit("")))), "")
+    return F.when(plain.rlike("[^\\x00-\\x7F]"), spelled).otherwise(plain)
+
+
 def fold(c: Column | str) -> Column:
     """Accents removed from Latin letters."""
     return F.translate(col(c), _FROM, _TO)
@@ -41,8 +72,7 @@ def token_count(c: Column | str) -> Column:
 
 def safe_stem(c: Column | str, longest: int = 80) -> Column:
     """A file stem of ASCII letters, digits, dots, underscores and hyphens; 'midia' when nothing is left."""
-    ascii_only = F.regexp_replace(fold(c), "[^\\x00-\\x7F]", "")
-    slug = F.regexp_replace(F.regexp_replace(ascii_only, "[^A-Za-z0-9._-]+", "_"), "^[._-]+|[._-]+$", "")
+    slug = F.regexp_replace(F.regexp_replace(ascii_form(c), "[^A-Za-z0-9._-]+", "_"), "^[._-]+|[._-]+$", "")
     return F.left(F.coalesce(F.nullif(slug, F.lit("")), F.lit("midia")), F.lit(longest))
 
 
@@ -53,30 +83,47 @@ def cut_middle(c: Column | str, width: int) -> Column:
     return F.when(F.length(c) <= width, c).otherwise(F.concat(F.left(c, F.lit(half)), F.lit("…"), F.right(c, F.lit(width - half - 1))))
 
 
-def wrap(c: Column | str, width: int | Column) -> Column:
+# Where a word may be broken: after a hyphen between letters, and on either side of a dash of several hyphens.
+_LETTER, _PUNCT = "[^\\d\\W]", "[\\w!\"'&.,?]"
+HYPHEN_BREAK = (
+    f"(?U)(?<={_LETTER}{{2}}-)(?={_LETTER}-?{_LETTER})|(?<={_LETTER}-{_PUNCT}-)(?={_LETTER}-?{_LETTER})|(?<={_PUNCT})(?=-{{2,}}\\w)|(?<={_PUNCT}-{{2,20}})(?=\\w)"
+)
+
+
+def wrap(c: Column | str, width: int | Column, hyphens: bool = False) -> Column:
     """Words of a text as lines of at most ``width`` characters; a longer word has a line of its own.
 
-    A fold over the words, whose state is the finished lines and the open one.
+    White space inside a line stays as wide as it is. With ``hyphens``, words may break after
+    a hyphen. A fold over the pieces, whose state is the finished lines and the open one.
     """
     width = F.lit(width) if isinstance(width, int) else width
-    words = F.filter(F.split(F.trim(col(c)), "\\s+"), lambda w: w != "")
+    items = F.regexp_extract_all(strip(c), F.lit("\\s*\\S+"), F.lit(0))
+
+    def pieces(item: Column) -> Column:
+        word = F.regexp_replace(item, "^\\s+", "")
+        gap = F.length(item) - F.length(word)
+        if not hyphens:
+            return F.array(F.struct(gap.alias("gap"), word.alias("w")))
+        return F.transform(F.split(word, HYPHEN_BREAK), lambda p, i: F.struct(F.when(i == 0, gap).otherwise(0).alias("gap"), p.alias("w")))
+
+    words = F.flatten(F.transform(items, pieces))
     zero = F.struct(F.array().cast("array<string>").alias("d"), F.lit("").alias("c"))
 
-    def step(z: Column, w: Column) -> Column:
-        fits = F.length(z.c) + 1 + F.length(w) <= width
+    def step(z: Column, x: Column) -> Column:
+        fits = F.length(z.c) + x.gap + F.length(x.w) <= width
         return (
-            F.when(z.c == "", F.struct(z.d.alias("d"), w.alias("c")))
-            .when(fits, F.struct(z.d.alias("d"), F.concat(z.c, F.lit(" "), w).alias("c")))
-            .otherwise(F.struct(F.concat(z.d, F.array(z.c)).alias("d"), w.alias("c")))
+            F.when(z.c == "", F.struct(z.d.alias("d"), x.w.alias("c")))
+            .when(fits, F.struct(z.d.alias("d"), F.concat(z.c, F.repeat(F.lit(" "), x.gap), x.w).alias("c")))
+            .otherwise(F.struct(F.concat(z.d, F.array(z.c)).alias("d"), x.w.alias("c")))
         )
 
     return F.aggregate(words, zero, step, lambda z: F.when(z.c == "", z.d).otherwise(F.concat(z.d, F.array(z.c))))
 
 
 def wrap_at_most(c: Column | str, width: int, lines: int | Column) -> Column:
-    """Wrapped lines, what is over ``lines`` joined into the last."""
+    """Lines wrapped with breaks at hyphens, what is over ``lines`` joined into the last."""
     lines = F.lit(lines) if isinstance(lines, int) else lines
-    w = wrap(c, width)
+    w = wrap(c, width, hyphens=True)
     return F.transform(
         F.array(w),
         lambda a: F.when(F.size(a) <= lines, a).otherwise(F.concat(F.slice(a, F.lit(1), lines - 1), F.array(F.array_join(F.slice(a, lines, F.size(a)), " ")))),
@@ -93,10 +140,10 @@ def wrap_indented(c: Column | str, width: int = 78, first: str = "", following:
 def json_block(raw: Column | str, schema: str) -> Column:
     """A JSON object, even with talk before or after it: the text itself, else from the first { to the last }."""
     raw = col(raw)
-    whole = lambda x: F.when(F.startswith(F.trim(x), F.lit("{")) & F.get_json_object(x, "$").isNotNull(), F.from_json(x, schema))
+    whole = lambda x: F.when(F.startswith(strip(x), F.lit("{")) & F.get_json_object(x, "$").isNotNull(), F.from_json(x, schema))
     return F.coalesce(whole(raw), whole(F.regexp_extract(raw, "(?s)\\{.*\\}", 0)))
 
 
 def clean_list(c: Column | str, limit: int = 12) -> Column:
     """Trimmed items without blanks, ``limit`` at most."""
-    return F.slice(F.filter(F.transform(col(c), lambda x: F.trim(x)), lambda x: x != ""), 1, limit)
+    return F.slice(F.filter(F.transform(col(c), strip), lambda x: x != ""), 1, limit)

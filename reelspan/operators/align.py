@@ -5,24 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspan.functions.text import strip
+from reelspan.schemas import WORDS
+
 MAX_SLACK_MS, MIN_LENGTH_MS = 2000, 80
 
 
 def normalise_segments(raw: DataFrame, rec: str = "rec_id") -> DataFrame:
-    """Raw segments (rec, ord, start, end in seconds, text, scores) as table rows: trimmed text, whole ms, ids from 0."""
-    ms = lambda c: F.bround(F.col(c) * 1000).cast("bigint")
+    """Raw segments (rec, ord, start, end in seconds, text, words, scores) as table rows: trimmed text, whole ms, ids from 0.
+
+    Words keep their order and text; their times become whole ms, their probability is rounded like the scores.
+    """
+    ms = lambda c: F.bround((F.col(c) if isinstance(c, str) else c) * 1000).cast("bigint")
     scores = [F.bround(F.col(c), 4).alias(c) for c in ("avg_logprob", "no_speech_prob", "compression_ratio") if c in raw.columns]
+    if "temperature" in raw.columns:
+        scores.append(F.col("temperature"))
+    if "words" in raw.columns:
+        word = lambda w: F.struct(w.word.alias("word"), ms(w.start).alias("st"), ms(w.end).alias("en"), F.bround(w.probability, 4).alias("probability"))
+        scores.append(F.coalesce(F.transform("words", word), F.array().cast(WORDS)).alias("words"))
     number = F.row_number().over(Window.partitionBy(rec).orderBy("ord")) - 1
-    return raw.select(rec, number.cast("bigint").alias("seg_id"), ms("start").alias("st"), ms("end").alias("en"), F.trim("text").alias("text"), *scores)
+    return raw.select(rec, number.cast("bigint").alias("seg_id"), ms("start").alias("st"), ms("end").alias("en"), strip("text").alias("text"), *scores)
 
 
 def from_windows(raw: DataFrame, rec: str = "rec_id") -> DataFrame:
     """Offsets inside a window (win_st, win_en, rel_st, rel_en in ms) as file times; blank texts are dropped."""
-    rows = raw.filter(F.trim("text") != "")
+    rows = raw.filter(strip("text") != "")
     st = F.col("win_st") + F.coalesce("rel_st", F.lit(0))
     en = F.col("win_st") + F.coalesce("rel_en", F.col("win_en") - F.col("win_st"))
     number = F.row_number().over(Window.partitionBy(rec).orderBy("win_st", "ord")) - 1
-    return rows.select(rec, number.cast("bigint").alias("seg_id"), st.alias("st"), en.alias("en"), F.trim("text").alias("text"))
+    return rows.select(rec, number.cast("bigint").alias("seg_id"), st.alias("st"), en.alias("en"), strip("text").alias("text"))
 
 
 def align_trim(segments: DataFrame, words: DataFrame, rec: str = "rec_id") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.functions.format import clock, when_text
-from reelspan.functions.text import cut_middle
+from reelspan.functions.format import clock, decimal_comma, when_text
+from reelspan.functions.text import cut_middle, strip
 
 KEPT, HIGH, LOW, LOW_COVERAGE = 60, -0.35, -0.60, 0.95
 
@@ -29,7 +29,7 @@ def entries_from_results(runs: DataFrame, coverage: DataFrame, segments: DataFra
 
 def entries_from_failures(failures: DataFrame) -> DataFrame:
     """History rows of failed runs (run_id, finished_at, input_path, message): the message's first line, or a default."""
-    detail = F.coalesce(F.nullif(F.split(F.trim("message"), "\n")[0], F.lit("")), F.lit("falha sem detalhe"))
+    detail = F.coalesce(F.nullif(F.split(strip("message"), "\n")[0], F.lit("")), F.lit("falha sem detalhe"))
     return failures.select("run_id", "finished_at", F.element_at(F.split("input_path", "[/\\\\]"), -1).alias("file_name"), "input_path", F.lit("error").alias("status"), detail.alias("detail"))
 
 
@@ -117,8 +117,23 @@ def stage_timings(events: DataFrame, job: str = "job") -> DataFrame:
     return events.groupBy(job, "stage").agg((F.max(ms) - F.min(ms)).alias("ms"), F.count("*").alias("n_events"))
 
 
+def stage_status(jobs: DataFrame, timings: DataFrame, failed: DataFrame, stages: tuple[str, ...], job: str = "job") -> DataFrame:
+    """(job, stage_no, stage, ms, status) of every stage of every job: 'ok', 'erro' where it failed, 'pulado' (0 ms) where it never ran.
+
+    ``failed`` has (job, stage) of stages that ended in an error.
+    """
+    every = jobs.select(job).distinct().select(job, F.posexplode(F.array(*[F.lit(s) for s in stages])).alias("stage_no", "stage"))
+    bad = failed.select(job, "stage").distinct().withColumn("_bad", F.lit(True))
+    rows = every.join(timings.select(job, "stage", "ms"), [job, "stage"], "left").join(bad, [job, "stage"], "left")
+    status = F.when(F.col("_bad"), "erro").when(F.col("ms").isNotNull(), "ok").otherwise("pulado")
+    return rows.select(job, "stage_no", "stage", F.coalesce("ms", F.lit(0)).cast("bigint").alias("ms"), status.alias("status"))
+
+
 def stage_rollup(timings: DataFrame) -> DataFrame:
-    return timings.groupBy("stage").agg(F.count("*").alias("jobs"), F.round(F.avg("ms"), 3).alias("mean_ms"), F.max("ms").alias("max_ms"))
+    """jobs, mean, greatest and 90th percentile (approximate) of the times of each stage."""
+    return timings.groupBy("stage").agg(
+        F.count("*").alias("jobs"), F.round(F.avg("ms"), 3).alias("mean_ms"), F.max("ms").alias("max_ms"), F.percentile_approx("ms", 0.9, 10_000).alias("p90_ms")
+    )
 
 
 def realtime_factor(duration: Column | str, elapsed: Column | str) -> Column:
@@ -148,6 +163,44 @@ def latest_file_lookup(files: DataFrame, history: DataFrame, order: str) -> Data
     return files.withColumn("base", base).join(latest, "base", "left").withColumn("name", F.coalesce("name", "base"))
 
 
+def files_with_report(files: DataFrame, kind: str = "left", suffix: str = ".report.txt") -> DataFrame:
+    """Files (path) with ``report_path`` where their base has a report among them; ``kind`` 'left_semi' keeps only such files."""
+    base = F.regexp_replace("path", r"\.(report|transcript)\.txt$|\.[^./]+$", "")
+    reports = files.filter(F.endswith("path", F.lit(suffix))).select(F.col("path").alias("report_path"), F.regexp_replace("path", r"\.report\.txt$", "").alias("_base")).distinct()
+    return files.withColumn("_base", base).join(reports, "_base", kind).drop("_base")
+
+
+def speech_after_vad(windows: DataFrame, rec: str = "rec_id") -> DataFrame:
+    """(rec, speech_seconds): summed length of the windows that speech detection left."""
+    return windows.groupBy(rec).agg(F.round(F.sum(F.greatest(F.lit(0), F.col("en") - F.col("st"))) / 1000.0, 3).alias("speech_seconds"))
+
+
+def job_cards(runs: DataFrame, coverage: DataFrame, segments: DataFrame, stats: DataFrame, rec: str = "rec_id") -> DataFrame:
+    """(rec, card): metrics of each finished run as text.
+
+    ``runs`` has duration and elapsed_seconds (seconds), realtime_factor, model, device, language and
+    partial_failures; ``coverage`` is that of coverage_summary, ``stats`` has the words of each recording.
+    """
+    counted = segments.groupBy(rec).agg(F.count("*").alias("_segments"), F.count_distinct("speaker").alias("_speakers"))
+    rows = runs.join(counted, rec, "left").join(stats.select(rec, "words"), rec, "left").join(coverage.select(rec, "analyzed", "ratio", "n_gaps", "gap_seconds"), rec, "left")
+    number = lambda c, d: decimal_comma(F.format_string(f"%.{d}f", F.coalesce(F.col(c).cast("double"), F.lit(0.0))))
+    pair = lambda label, value: F.concat(F.lit(f"  {label:<21}"), value)
+    lost = F.when(F.col("n_gaps") == 0, F.lit("nenhum trecho fora do silêncio")).otherwise(F.format_string("%d trecho(s) sem texto, %.0f s", "n_gaps", "gap_seconds"))
+    failures = F.transform("partial_failures", lambda x: F.concat(F.lit("  - "), x))
+    lines = F.concat(
+        F.array(
+            F.lit("RESUMO DO PROCESSAMENTO"), F.lit(""), pair("Duração do arquivo", F.concat(number("duration", 1), F.lit(" s"))),
+            pair("Tempo de trabalho", F.concat(number("elapsed_seconds", 1), F.lit(" s ("), number("realtime_factor", 2), F.lit("x tempo real)"))),
+            pair("Modelo", F.concat(F.coalesce("model", F.lit("-")), F.lit(" em "), F.coalesce("device", F.lit("-")))), pair("Idioma", F.coalesce("language", F.lit("-"))),
+            pair("Palavras", F.coalesce("words", F.lit(0)).cast("string")), pair("Trechos", F.coalesce("_segments", F.lit(0)).cast("string")),
+        ),
+        F.when(F.col("_speakers") > 0, F.array(pair("Falantes", F.col("_speakers").cast("string")))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("analyzed") & F.col("ratio").isNotNull(), F.array(pair("Cobertura", F.concat(F.format_string("%.1f%%  (", F.col("ratio") * 100), lost, F.lit(")"))))).otherwise(F.array().cast("array<string>")),
+        F.when(F.size("partial_failures") > 0, F.concat(F.array(F.lit(""), F.lit("AVISOS"), F.lit("")), failures)).otherwise(F.array().cast("array<string>")),
+    )
+    return rows.select(rec, F.array_join(lines, "\n").alias("card"))
+
+
 def formats_per_base(files: DataFrame) -> DataFrame:
     """Adds the number of files that share a base."""
     return files.withColumn("n_formats", F.count("*").over(Window.partitionBy("base")))

@@ -27,9 +27,10 @@ def stage_index(stage: Column | str) -> Column:
     return F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STAGES]), stage), F.lit(0)).cast("int") - 1
 
 
-def valid_rows(ledger: DataFrame, now: Column, ttl_days: int = TTL_DAYS) -> DataFrame:
-    """Rows of this format, no older than the time to live."""
-    return ledger.filter((F.col("format_version") == FORMAT_VERSION) & (F.col("saved_at") >= now - F.expr(f"interval {ttl_days} days")))
+def valid_rows(ledger: DataFrame, now: Column, ttl_days: int = TTL_DAYS, payload: str | None = None) -> DataFrame:
+    """Rows of this format, no older than the time to live, and, with ``payload``, whose saved JSON can be read."""
+    ok = (F.col("format_version") == FORMAT_VERSION) & (F.col("saved_at") >= now - F.expr(f"interval {ttl_days} days"))
+    return ledger.filter(ok & (F.try_parse_json(payload).isNotNull() if payload else F.lit(True)))
 
 
 def latest_rows(ledger: DataFrame, order: list[str]) -> DataFrame:
@@ -38,11 +39,13 @@ def latest_rows(ledger: DataFrame, order: list[str]) -> DataFrame:
     return ledger.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
-def resume_plan(jobs: DataFrame, ledger: DataFrame, order: list[str]) -> DataFrame:
+def resume_plan(jobs: DataFrame, ledger: DataFrame, order: list[str], now: Column | None = None, payload: str | None = None) -> DataFrame:
     """(job_key, done_through, stage, stage_no): stages still to run for each job (job_key, diarize_key).
 
-    A job whose saved diarization has another fingerprint goes back to 'align'.
+    A job whose saved diarization has another fingerprint goes back to 'align'. With ``now``, only
+    valid rows of the ledger count; a job without any starts over.
     """
+    ledger = ledger if now is None else valid_rows(ledger, now, payload=payload)
     saved = latest_rows(ledger, order).select("job_key", "stage", F.col("diarize_key").alias("_key"))
     rows = jobs.join(saved, "job_key", "left")
     stale = (F.col("stage") == "diarize") & (F.coalesce("_key", F.lit("")) != "") & (F.col("_key") != F.col("diarize_key"))
@@ -56,11 +59,26 @@ def purge(ledger: DataFrame, now: Column, ttl_days: int = TTL_DAYS) -> DataFrame
     return ledger.filter(F.col("saved_at") >= now - F.expr(f"interval {ttl_days} days"))
 
 
+def purged(ledger: DataFrame, now: Column, ttl_days: int = TTL_DAYS) -> DataFrame:
+    """(removed, kept): how many rows a purge takes away and leaves."""
+    old = F.col("saved_at") < now - F.expr(f"interval {ttl_days} days")
+    return ledger.agg(F.count_if(old).alias("removed"), F.count_if(~old).alias("kept"))
+
+
 def clear_done(ledger: DataFrame, completed: DataFrame) -> DataFrame:
     return ledger.join(completed.select("job_key").distinct(), "job_key", "left_anti")
 
 
-def interrupted(ledger: DataFrame, order: list[str]) -> DataFrame:
-    """Latest stage and attempts of every job that is still in the ledger."""
-    counted = ledger.groupBy("job_key").agg(F.count("*").alias("attempts"))
-    return latest_rows(ledger, order).select("job_key", "stage", "saved_at").join(counted, "job_key")
+def interrupted(ledger: DataFrame, order: list[str], attempts: DataFrame | None = None, sources: DataFrame | None = None, segments: DataFrame | None = None) -> DataFrame:
+    """(job_key, source, stage, saved_at, n_segments, attempts) of every job that is still in the ledger.
+
+    ``attempts`` (job_key) has a row per attempt, ``sources`` (job_key, source) the file's name, ``segments``
+    (job_key) the saved segments; what isn't given is null, or 0 for counts.
+    """
+    rows = latest_rows(ledger, order).select("job_key", "stage", "saved_at")
+    for table, name in ((attempts, "attempts"), (segments, "n_segments")):
+        counted = table.groupBy("job_key").agg(F.count("*").alias(name)) if table is not None else None
+        rows = rows.join(counted, "job_key", "left") if counted is not None else rows.withColumn(name, F.lit(None).cast("bigint"))
+        rows = rows.withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+    rows = rows.join(sources.select("job_key", "source"), "job_key", "left") if sources is not None else rows.withColumn("source", F.lit(None).cast("string"))
+    return rows.select("job_key", "source", "stage", "saved_at", "n_segments", "attempts")

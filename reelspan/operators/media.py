@@ -9,10 +9,10 @@ from reelspan.functions.tolerant import parse_rate, to_float, to_int
 from reelspan.schemas import PROBE_DOCUMENT
 
 # Transfer functions of HDR video, usual sample rates, file suffixes of video, limits.
-HDR = ("smpte2084", "arib-std-b67")
-USUAL_RATES = (8000, 11025, 16000, 22050, 24000, 32000, 44100, 48000, 96000)
-VIDEO_SUFFIXES = (".mp4", ".mov", ".mkv", ".avi", ".webm", ".m4v", ".wmv", ".flv", ".mpg", ".mpeg", ".3gp")
-LOW_VOLUME_DB, LOW_RATE, SILENT = -35.0, 16_000, 0.9
+HDR = ("smpte2084", "arib-std-b67", "smpte428", "bt2020-10", "bt2020-12")
+USUAL_RATES = (8000, 11025, 16000, 22050, 24000, 32000, 44100, 48000, 88200, 96000)
+VIDEO_SUFFIXES = (".mp4", ".mkv", ".webm", ".mov", ".avi", ".m4v", ".mpg", ".mpeg", ".wmv", ".ts")
+LOW_VOLUME_DB, LOW_RATE, SILENT = -38.0, 16_000, 0.9
 
 
 def probe_documents(raw: DataFrame, rec: str = "rec_id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions.format import srt_time, timestamp_ms
-from reelspan.functions.text import wrap_at_most
+from reelspan.functions.text import strip, wrap_at_most
 from reelspan.schemas import WORDS
 
 # Fixed values: (least, most ms of a cue, pause that may be joined, characters, lines) per density.
@@ -30,9 +30,9 @@ def resolve_density(name: str | None) -> str:
     return name if name in DENSITIES else DEFAULT_DENSITY
 
 
-def budget(speaker: Column, most: int) -> Column:
+def budget(speaker: Column, most: int | Column) -> Column:
     """Characters left beside the label '[speaker] ', 20 at least."""
-    return F.when(F.coalesce(speaker, F.lit("")) == "", F.lit(most)).otherwise(F.greatest(F.lit(20), most - (F.length(speaker) + 3)))
+    return F.when(F.coalesce(speaker, F.lit("")) == "", F.lit(most)).otherwise(F.greatest(F.lit(20), F.lit(most) - (F.length(speaker) + 3)))
 
 
 def null(kind: str) -> Column:
@@ -62,15 +62,15 @@ def cue(st: Column, en: Column, text: Column, words: Column) -> Column:
 
 
 def together(a: Column, b: Column, en: Column) -> Column:
-    return cue(a.st, en, F.trim(F.concat(a.text, F.lit(" "), b.text)), F.concat(a.words, b.words))
+    return cue(a.st, en, strip(F.concat(a.text, F.lit(" "), b.text)), F.concat(a.words, b.words))
 
 
-def split_by_words(c: Column, most_ms: int, room: Column) -> Column:
+def split_by_words(c: Column, most_ms: int | Column, room: Column) -> Column:
     """Pieces of a cue cut at word times; each starts with its first word and ends with its last."""
     zero = F.struct(empty(CUE).alias("d"), null(CUE).alias("c"), F.lit(0).alias("n"))
 
     def step(z: Column, w: Column) -> Column:
-        text = F.trim(w.word)
+        text = strip(w.word)
         size = F.length(text) + 1
         own = cue(w.st, w.en, text, F.array(w))
         full = (w.en - z.c.st > most_ms) | (z.n + size > room)
@@ -83,11 +83,11 @@ def split_by_words(c: Column, most_ms: int, room: Column) -> Column:
     return F.aggregate(c.words, zero, step, lambda z: F.concat(z.d, F.array(z.c)))
 
 
-def split_evenly(c: Column, most_ms: int, room: Column) -> Column:
+def split_evenly(c: Column, most_ms: int | Column, room: Column) -> Column:
     """Pieces of a cue without word times: by characters and by words at the cue's own pace, timed by words."""
-    words = F.filter(F.split(F.trim(c.text), "\\s+"), lambda w: w != "")
+    words = F.filter(F.split(strip(c.text), "\\s+"), lambda w: w != "")
     total, length = F.size(words), F.greatest(F.lit(0).cast("bigint"), c.en - c.st)
-    pace = F.when(length > 0, F.greatest(F.lit(1).cast("bigint"), F.floor(most_ms * total / length).cast("bigint"))).otherwise(total.cast("bigint"))
+    pace = F.when(length > 0, F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(most_ms) * total / length).cast("bigint"))).otherwise(total.cast("bigint"))
     group = "struct<n:int,size:int,text:string>"
     zero = F.struct(empty(group).alias("d"), null(group).alias("c"))
     as_group = lambda n, size, text: F.struct(n.alias("n"), size.alias("size"), text.alias("text")).cast(group)
@@ -119,36 +119,46 @@ def _until(c: Column, length: Column, used: Column, total: Column) -> Column:
     return F.when(used >= total, c.en).otherwise(c.st + F.floor(length * used / total).cast("bigint"))
 
 
-def build_cues(segments: DataFrame, density: str | None = None, rec: str = "rec_id") -> DataFrame:
+def density_values(density: str | Column | None) -> tuple[Column, ...]:
+    """The five settings of a density, or of a column of densities; unknown and null ones get the default's."""
+    if not isinstance(density, Column):
+        return tuple(F.lit(x) for x in DENSITIES[resolve_density(density)])
+    known = F.when(density.isin(*DENSITIES), density).otherwise(DEFAULT_DENSITY)
+    return tuple(F.create_map(*[F.lit(x) for name, values in DENSITIES.items() for x in (name, values[k])])[known] for k in range(5))
+
+
+def build_cues(segments: DataFrame, density: str | Column | None = None, rec: str = "rec_id") -> DataFrame:
     """Subtitle cues (rec, cue_no, st, en, text, speaker) of segments (rec, seg_id, st, en, text, speaker, words).
 
     Short neighbours are joined, long cues cut (at word times where there are any), and
     slivers given back to the cue before. ``words`` is an array in list order, or absent.
+    ``density`` may be a column of the segments that is the same for all of a recording.
     """
-    least_ms, most_ms, gap, chars, _ = DENSITIES[resolve_density(density)]
-    words = F.coalesce(F.filter("words", lambda w: F.trim(w.word) != ""), F.array().cast(WORDS)) if "words" in segments.columns else F.array().cast(WORDS)
+    name = density if isinstance(density, Column) else F.lit(resolve_density(density))
+    least_ms, most_ms, gap, chars, _ = density_values(F.col("_density") if isinstance(density, Column) else density)
+    words = F.coalesce(F.filter("words", lambda w: strip(w.word) != ""), F.array().cast(WORDS)) if "words" in segments.columns else F.array().cast(WORDS)
     speaker = F.col("speaker") if "speaker" in segments.columns else null("string")
-    rows = segments.filter(F.trim("text") != "").select(rec, "seg_id", "st", "en", F.trim("text").alias("text"), speaker.alias("speaker"), words.alias("words"))
+    rows = segments.filter(strip("text") != "").select(rec, "seg_id", "st", "en", strip("text").alias("text"), speaker.alias("speaker"), words.alias("words"), name.alias("_density"))
     rows = rows.withColumn("_end", F.greatest(F.col("en"), F.coalesce(F.array_max(F.transform("words", lambda w: w.en)), F.col("en"))))
     order = Window.partitionBy(rec).orderBy("seg_id")
     before = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(~F.col("speaker").eqNullSafe(F.lag("speaker").over(order)) | (F.col("st") > before + gap), 1).otherwise(0)
     cut = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = cut.groupBy(rec, "_island", "speaker").agg(
+    islands = cut.groupBy(rec, "_island", "speaker", "_density").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("seg_id", cue(F.col("st"), F.col("en"), F.col("text"), F.col("words")).alias("c")))), lambda x: x.c).alias("cues")
     )
     room = budget(F.col("speaker"), chars)
     length = lambda c: F.greatest(F.lit(0).cast("bigint"), c.en - c.st)
     short = lambda a, b: (length(a) < least_ms) & (b.st - a.en <= gap) & (b.en - a.st <= most_ms) & (F.length(a.text) + F.length(b.text) + 1 <= room)
     joined = islands.withColumn("cues", fold_rows(F.col("cues"), short, lambda a, b: together(a, b, b.en)))
-    one = joined.select(rec, "_island", "speaker", F.posexplode("cues").alias("_p", "c"))
+    one = joined.select(rec, "_island", "speaker", "_density", F.posexplode("cues").alias("_p", "c"))
     fits = (length(F.col("c")) <= most_ms) & (F.length("c.text") <= room)
     pieces = F.when(fits, F.array("c")).when(F.size("c.words") > 0, split_by_words(F.col("c"), most_ms, room)).otherwise(split_evenly(F.col("c"), most_ms, room))
     back = one.select(rec, "_island", "speaker", "_p", pieces.alias("pieces")).groupBy(rec, "_island", "speaker").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_p", "pieces"))), lambda x: x.pieces)).alias("cues")
     )
     sliver = lambda a, b: (length(b) < SLIVER_MS) & (b.st - a.en <= SLIVER_GAP_MS)
-    merged = fold_rows(F.filter("cues", lambda c: F.trim(c.text) != ""), sliver, lambda a, b: together(a, b, F.greatest(a.en, b.en)))
+    merged = fold_rows(F.filter("cues", lambda c: strip(c.text) != ""), sliver, lambda a, b: together(a, b, F.greatest(a.en, b.en)))
     final = back.select(rec, "_island", "speaker", F.posexplode(merged).alias("_p", "c"))
     number = F.row_number().over(Window.partitionBy(rec).orderBy("_island", "_p"))
     return final.select(rec, number.alias("cue_no"), F.col("c.st").alias("st"), F.col("c.en").alias("en"), F.col("c.text").alias("text"), "speaker")
@@ -157,7 +167,7 @@ def build_cues(segments: DataFrame, density: str | None = None, rec: str = "rec_
 def cue_blocks(cues: DataFrame, density: str | None = None, with_speaker: bool = True, vtt: bool = False) -> DataFrame:
     """Adds ``block``: number, times and wrapped text of each cue."""
     label = F.when(F.coalesce("speaker", F.lit("")) != "", F.concat(F.lit("["), F.col("speaker"), F.lit("] "))).otherwise(F.lit(""))
-    text = F.concat(label, F.trim("text")) if with_speaker else F.trim("text")
+    text = F.concat(label, strip("text")) if with_speaker else strip("text")
     lines = DENSITIES[resolve_density(density)][4]
     time = timestamp_ms if vtt else srt_time
     return cues.withColumn("_text", text).withColumn(
@@ -175,7 +185,7 @@ def subtitle_text(cues: DataFrame, density: str | None = None, with_speaker: boo
 
 def paragraphs(segments: DataFrame, gap_ms: int = 1500, most_chars: int = 700, rec: str = "rec_id") -> DataFrame:
     """(rec, par_no, st, en, text): running text, broken at long pauses or once a paragraph has over ``most_chars``."""
-    rows = segments.filter(F.trim("text") != "").select(rec, "seg_id", "st", "en", F.trim("text").alias("text"))
+    rows = segments.filter(strip("text") != "").select(rec, "seg_id", "st", "en", strip("text").alias("text"))
     order = Window.partitionBy(rec).orderBy("seg_id")
     new = F.when(F.col("st") - F.lag("en").over(order) > gap_ms, 1).otherwise(0)
     cut = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -205,7 +215,7 @@ def text_chunks(texts: DataFrame, size: int = 9000, key: str = "rec_id", text: s
         tail = F.substring(F.col(text), z["at"] + half + 1, end - z["at"] - half)
         back = F.instr(F.reverse(tail), " .")
         cut = F.when((end < length) & (back > 0), end - back).otherwise(end)
-        piece = F.trim(F.substring(F.col(text), z["at"] + 1, cut - z["at"]))
+        piece = strip(F.substring(F.col(text), z["at"] + 1, cut - z["at"]))
         return F.when(z["at"] >= length, z).otherwise(F.struct(F.concat(z.d, F.array(piece)).alias("d"), cut.alias("at")))
 
     steps = F.sequence(F.lit(1), F.ceil(2 * length / size).cast("int") + 1)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan import schemas
-from reelspan.functions.text import safe_stem
+from reelspan.functions.text import safe_stem, strip
 from reelspan.functions.tolerant import clamp
 
 FRAME_MS = 20
@@ -76,7 +76,7 @@ def read_progress(spark: SparkSession, folder: str, schema: str = schemas.PROGRE
     reader = spark.readStream if stream else spark.read
     parsed = reader.text(folder).select(F.from_json("value", schema).alias("e"), "value")
     first = schema.split()[0]
-    return parsed.filter((F.trim("value") != "") & F.col(f"e.{first}").isNotNull()).select("e.*")
+    return parsed.filter((strip("value") != "") & F.col(f"e.{first}").isNotNull()).select("e.*")
 
 
 def download_state(events: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def wav_frames(files: DataFrame, frame_ms: int = FRAME_MS) -> DataFrame:
 
 
 def wav_durations(files: DataFrame) -> DataFrame:
-    """(rec_id, duration_s) from the headers of files (path, content); null for what isn't PCM."""
+    """(rec_id, duration_s) from the first 4 KB of files (path, content), which hold the header; null for what isn't PCM."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -139,4 +139,4 @@ def wav_durations(files: DataFrame) -> DataFrame:
                     out.append(None)
             yield pd.DataFrame({"rec_id": batch["path"], "duration_s": pd.Series(out, dtype="float64")})
 
-    return files.select("path", "content").mapInPandas(run, "rec_id string, duration_s double")
+    return files.select("path", F.substring("content", 1, 4096).alias("content")).mapInPandas(run, "rec_id string, duration_s double")

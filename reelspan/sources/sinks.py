@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.functions.text import safe_stem, wrap
 from reelspan.operators.history import KEPT, retain
+from reelspan.operators.intervals import coverage_summary
 from reelspan.operators.packing import paragraphs
+from reelspan.operators.speakers import speaker_stats
+from reelspan.operators.textstats import joined_text, text_counts, top_words
+from reelspan.schemas import WORDS
 
 SCHEMA_VERSION, WIDTH = 1, 78
 
@@ -19,14 +24,40 @@ def output_path(folder: Column | str, name: Column | str, suffix: str) -> Column
 
 
 def result_rows(recordings: DataFrame, segments: DataFrame, rec: str = "rec_id") -> DataFrame:
-    """One document per recording with its segments in order (seconds), stamped with the schema version."""
-    s = lambda c: F.col(c) / 1000.0
-    parts = segments.groupBy(rec).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("seg_id").alias("id"), s("st").alias("start"), s("en").alias("end"), "text", "speaker"))).alias("segments")
-    )
+    """One document per recording with its segments in order (seconds), their words and scores, stamped with the schema version.
+
+    ``recordings`` brings the other blocks of the document (coverage, stats, speakers, ...) as
+    columns of one row per recording; a column that segments lack is null in the document.
+    """
+    s = lambda c: (F.col(c) if isinstance(c, str) else c) / 1000.0
+    has = lambda c, kind: F.col(c) if c in segments.columns else F.lit(None).cast(kind)
+    scores = [has(c, "double").alias(c) for c in ("avg_logprob", "no_speech_prob", "compression_ratio", "temperature")]
+    words = F.transform(has("words", WORDS), lambda w: F.struct(s(w.st).alias("start"), s(w.en).alias("end"), w.word.alias("word"), w.probability.alias("probability")))
+    item = F.struct(F.col("seg_id").alias("id"), s("st").alias("start"), s("en").alias("end"), F.col("text"), has("speaker", "string").alias("speaker"), *scores, words.alias("words"))
+    parts = segments.groupBy(rec).agg(F.sort_array(F.collect_list(item)).alias("segments"))
     return recordings.join(parts, rec, "left").select(F.lit(SCHEMA_VERSION).alias("schema_version"), *[c for c in recordings.columns], "segments")
 
 
+def document_blocks(segments: DataFrame, silences: DataFrame, recordings: DataFrame, rec: str = "rec_id") -> DataFrame:
+    """Recordings (rec, duration in ms, language) with the blocks of a document that follow from their segments: coverage, stats, speakers, diarization and text."""
+    covered = coverage_summary(segments, silences, recordings, rec=rec)
+    pairs = F.transform("gaps", lambda g: F.array(g.st, g.en))
+    coverage = covered.select(rec, F.struct("analyzed", "covered_seconds", "ratio", "silence_seconds", "gap_seconds", pairs.alias("gaps"), "low_coverage", "reason").alias("coverage"))
+    text = joined_text(segments, rec)
+    known = text.join(recordings.select(rec, (F.col("duration") / 1000.0).alias("_s"), F.coalesce("language", F.lit("")).alias("lang")), rec)
+    top = top_words(known, key=rec).groupBy(rec).agg(F.sort_array(F.collect_list(F.struct("rank", "word", "count"))).alias("_top"))
+    counts = text_counts(known, rec, "text", "_s").join(top, rec, "left")
+    top_words_ = F.transform(F.coalesce("_top", F.array().cast("array<struct<rank:int,word:string,count:bigint>>")), lambda t: F.struct(t.word.alias("word"), t["count"].alias("count")))
+    stats = counts.select(rec, F.struct("words", "unique_words", "characters", "characters_no_spaces", "words_per_minute", top_words_.alias("top_words")).alias("stats"))
+    spoken = speaker_stats(segments, rec).groupBy(rec).agg(F.sort_array(F.collect_list(F.struct("rank", "speaker", "seconds", "ratio", "segments"))).alias("_s"))
+    speakers = spoken.select(rec, F.transform("_s", lambda x: F.struct(x.speaker.alias("speaker"), x.seconds.alias("seconds"), x.ratio.alias("ratio"), x.segments.alias("segments"))).alias("speakers"))
+    rows = recordings
+    for part in (coverage, stats, speakers, text):
+        rows = rows.join(part, rec, "left")
+    found = F.coalesce(F.size("speakers"), F.lit(0)) > 0
+    return rows.withColumn("diarization", F.struct(found.alias("available"), F.when(found, F.size("speakers")).otherwise(0).cast("bigint").alias("speaker_count")))
+
+
 def write_documents(rows: DataFrame, path: str, rec: str = "rec_id") -> None:
     """JSON documents in one folder per recording."""
     rows.withColumn("_rec", F.col(rec)).repartition(rec).write.mode("overwrite").partitionBy("_rec").json(path)
@@ -44,9 +75,29 @@ def plain_transcripts(segments: DataFrame, width: int = WIDTH, rec: str = "rec_i
     return joined.select(rec, F.concat(F.array_join(F.transform("p", lambda x: x.lines), "\n\n"), F.lit("\n")).alias("content"))
 
 
-def append_history(history: DataFrame, rows: DataFrame, path: str, keep: int = KEPT) -> None:
-    """Write the newest ``keep`` rows of both to a new version of the history at ``path``."""
-    retain(history.unionByName(rows, allowMissingColumns=True), keep).drop("place").coalesce(1).write.mode("overwrite").parquet(path)
+def latest_history(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of the history at ``path``; None where there is none yet."""
+    try:
+        versions = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    last = versions.agg(F.max("version")).first()[0]
+    return None if last is None else versions.filter(F.col("version") == last).drop("version")
+
+
+def append_history(rows: DataFrame, path: str, keep: int = KEPT) -> None:
+    """Write the newest ``keep`` rows of the history at ``path`` and ``rows`` as its next version.
+
+    Versions are folders of their own, so nothing is overwritten while it is read, and a write
+    that breaks off leaves the last version as it was.
+    """
+    spark = rows.sparkSession
+    before = latest_history(spark, path)
+    last = -1 if before is None else spark.read.parquet(path).agg(F.max("version")).first()[0]
+    every = rows if before is None else before.unionByName(rows, allowMissingColumns=True)
+    retain(every, keep).drop("place").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={last + 1}")
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:

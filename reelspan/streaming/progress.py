@@ -46,7 +46,7 @@ def stalled_sessions(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def stall_sessions_batch(events: DataFrame, order: list[str]) -> DataFrame:
-    """(job, session_no, first_ms, last_ms, n_events): the same sessions over a finished log."""
+    """(job, session_no, first_ms, last_ms, n_events): sessions of a finished log, those that ended well among them."""
     w = Window.partitionBy("job").orderBy("ts", *order)
     limit = F.when(F.lag("stage").over(w) == "asr", STALL_ASR_S * 1000).otherwise(STALL_S * 1000)
     new = F.when(millis("ts") - F.lag(millis("ts")).over(w) > limit, 1).otherwise(0)
@@ -54,6 +54,30 @@ def stall_sessions_batch(events: DataFrame, order: list[str]) -> DataFrame:
     return cut.groupBy("job", "session_no").agg(F.min(millis("ts")).alias("first_ms"), F.max(millis("ts")).alias("last_ms"), F.count("*").alias("n_events"))
 
 
+def stalled_sessions_batch(events: DataFrame, order: list[str]) -> DataFrame:
+    """(job, session_no, first_ms, last_ms, n_events, limit_ms): sessions of a finished log (job, ts, t, stage) that ended in a stall.
+
+    A session is over once the next event is later than its stage allows, or no event follows; it is no
+    stall if it holds 'done' or 'error'. While a job is paused its clock stands still: time from
+    'pause' to 'resume' (or to the job's last event) doesn't count.
+    """
+    w = Window.partitionBy("job").orderBy("ts", *order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    # Rows 'pause' and 'resume' are marks; whether a row lies in a pause is known from the last mark before it.
+    mark = F.last(F.when(F.col("t").isin("pause", "resume"), F.col("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    waited = F.when(mark.eqNullSafe(F.lit("pause")), 0).otherwise(millis("ts") - F.lag(millis("ts")).over(w))
+    rows = events.withColumn("_waited", waited).withColumn("_stage", F.last(F.when(F.col("t") == "progress", F.col("stage")), ignorenulls=True).over(so_far))
+    limit = F.when(F.col("_stage") == "asr", STALL_ASR_S * 1000).otherwise(STALL_S * 1000)
+    rows = rows.withColumn("_limit", limit)
+    new = F.when(F.col("_waited") > F.lag("_limit").over(w), 1).otherwise(0)
+    cut = rows.withColumn("_new", new).withColumn("session_no", F.sum("_new").over(so_far))
+    sessions = cut.groupBy("job", "session_no").agg(
+        F.min(millis("ts")).alias("first_ms"), F.max(millis("ts")).alias("last_ms"), F.count("*").alias("n_events"),
+        F.max_by("_limit", F.struct("ts", *order)).cast("bigint").alias("limit_ms"), F.max(F.col("t").isin("done", "error")).alias("_ended"),
+    )
+    return sessions.filter("not _ended").drop("_ended")
+
+
 def stage_changes(events: DataFrame, order: list[str]) -> DataFrame:
     """Only the events whose stage differs from the one before."""
     w = Window.partitionBy("job").orderBy("ts", *order)
@@ -85,6 +109,7 @@ def overall_fraction(stage: Column | str = "stage", fraction: Column | str = "fr
 
 def watch_results(spark, folder: str, each: Callable[[DataFrame, int], None], checkpoint: str):
     """Take in new result documents of a folder, once each; ``each`` gets every batch and its number."""
-    docs = spark.readStream.schema(RESULT_DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
-    docs = docs.withColumn("rec_id", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"(\.data)?\.json$", "")).withColumn("readable", F.lit(True))
+    reader = spark.readStream.schema(RESULT_DOCUMENT + ", _bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    docs = reader.json(folder).withColumn("rec_id", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"(\.data)?\.json$", ""))
+    docs = docs.withColumn("readable", F.col("_bad").isNull() | F.col("segments").isNotNull()).drop("_bad")
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
