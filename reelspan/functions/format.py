@@ -26,6 +26,11 @@ def srt_time(ms: Column | str) -> Column:
     return F.replace(timestamp_ms(ms), F.lit("."), F.lit(","))
 
 
+def fixed(c: Column, decimals: int) -> Column:
+    """A number with so many decimals, half of the last one to even."""
+    return F.format_string(f"%.{decimals}f", F.bround(c.cast("double"), decimals))
+
+
 def decimal_comma(c: Column) -> Column:
     return F.replace(c, F.lit("."), F.lit(","))
 
@@ -37,7 +42,7 @@ def duration_human(seconds: Column | str) -> Column:
     h, m, r = F.floor(whole / 3600).cast("bigint"), (F.floor(whole / 60) % 60).cast("bigint"), whole % 60
     return (
         F.when(s.isNull(), F.lit(UNKNOWN))
-        .when(s < 60, decimal_comma(F.format_string("%.1f s", s)))
+        .when(s < 60, F.concat(decimal_comma(fixed(s, 1)), F.lit(" s")))
         .when(h > 0, F.format_string("%dh %02dmin %02ds", h, m, r))
         .otherwise(F.format_string("%dmin %02ds", m, r))
     )
@@ -83,14 +88,14 @@ def human_size(size: Column | str, decimals: int = 2) -> Column:
     b = col(size).cast("double")
     out = F.when(b < 1024, F.format_string("%d B", col(size).cast("bigint")))
     for k, unit in enumerate(SIZE_UNITS, 1):
-        text = decimal_comma(F.format_string(f"%.{decimals}f {unit}", b / float(1024**k)))
+        text = F.concat(decimal_comma(fixed(b / float(1024**k), decimals)), F.lit(f" {unit}"))
         out = out.when(b < float(1024 ** (k + 1)), text) if unit != SIZE_UNITS[-1] else out.otherwise(text)
     return F.when(b.isNull(), F.lit(None)).otherwise(out)
 
 
 def float_text(c: Column | str, suffix: str = "", decimals: int = 2) -> Column:
     c = col(c).cast("double")
-    return F.when(c.isNull(), F.lit(NONE_MARK)).otherwise(F.concat(decimal_comma(F.format_string(f"%.{decimals}f", c)), F.lit(suffix)))
+    return F.when(c.isNull(), F.lit(NONE_MARK)).otherwise(F.concat(decimal_comma(fixed(c, decimals)), F.lit(suffix)))
 
 
 def thousands(c: Column | str) -> Column:
@@ -101,7 +106,7 @@ def thousands(c: Column | str) -> Column:
 def bitrate(c: Column | str) -> Column:
     c = col(c)
     return F.when(F.coalesce(c, F.lit(0)) == 0, F.lit(NONE_MARK)).otherwise(
-        F.concat(thousands(c), F.lit(" bps ("), F.format_string("%.0f", c / 1000.0), F.lit(" kbps)"))
+        F.concat(thousands(c), F.lit(" bps ("), fixed(c / 1000.0, 0), F.lit(" kbps)"))
     )
 
 
@@ -116,7 +121,7 @@ def download_label(status: Column | str, done: Column | str, total: Column | str
     giga = float(1024**3)
     done, total = col(done), col(total)
     known = done.isNotNull() & (total > 0)
-    text = decimal_comma(F.format_string("%s — %.1f / %.1f GB (%.0f%%)", col(status), done / giga, total / giga, done / total * 100))
+    text = F.concat(col(status), F.lit(" — "), decimal_comma(fixed(done / giga, 1)), F.lit(" / "), decimal_comma(fixed(total / giga, 1)), F.lit(" GB ("), fixed(done / total * 100, 0), F.lit("%)"))
     return F.when(known, text).otherwise(F.coalesce(F.nullif(col(status), F.lit("")), F.lit("baixando")))
 
 

@@ -68,7 +68,7 @@ def display_rows(history: DataFrame) -> DataFrame:
     """Cells of the history table; unknown values and rows of failed runs show '-'."""
     ok = F.col("status") == "ok"
     cell = lambda value, known=None: F.when(ok & (known if known is not None else F.lit(True)), value).otherwise(F.lit("-"))
-    gaps = F.when(F.coalesce("gaps", F.lit(0)) == 0, F.lit("nenhum")).otherwise(F.format_string("%d (%.0fs)", "gaps", "gap_seconds"))
+    gaps = F.when(F.coalesce("gaps", F.lit(0)) == 0, F.lit("nenhum")).otherwise(F.format_string("%d (%.0fs)", "gaps", F.bround(F.col("gap_seconds").cast("double"))))
     has = F.col("coverage").isNotNull()
     cells = [
         when_text("finished_at"),
@@ -185,7 +185,7 @@ def job_cards(runs: DataFrame, coverage: DataFrame, segments: DataFrame, stats:
     rows = runs.join(counted, rec, "left").join(stats.select(rec, "words"), rec, "left").join(coverage.select(rec, "analyzed", "ratio", "n_gaps", "gap_seconds"), rec, "left")
     number = lambda c, d: decimal_comma(F.format_string(f"%.{d}f", F.coalesce(F.col(c).cast("double"), F.lit(0.0))))
     pair = lambda label, value: F.concat(F.lit(f"  {label:<21}"), value)
-    lost = F.when(F.col("n_gaps") == 0, F.lit("nenhum trecho fora do silêncio")).otherwise(F.format_string("%d trecho(s) sem texto, %.0f s", "n_gaps", "gap_seconds"))
+    lost = F.when(F.col("n_gaps") == 0, F.lit("nenhum trecho fora do silêncio")).otherwise(F.format_string("%d trecho(s) sem texto, %.0f s", "n_gaps", F.bround(F.col("gap_seconds").cast("double"))))
     failures = F.transform("partial_failures", lambda x: F.concat(F.lit("  - "), x))
     lines = F.concat(
         F.array(

@@ -32,6 +32,13 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return docs.withColumn("rec_id", base).withColumn("readable", F.col("_bad").isNull() | F.col("segments").isNotNull()).drop("_bad")
 
 
+def parse_results(raw: DataFrame, rec: str = "rec_id") -> DataFrame:
+    """The same from rows (rec, raw) of JSON text, as a stream or table of documents brings them."""
+    parsed = F.from_json("raw", schemas.RESULT_DOCUMENT + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = raw.select(F.col(rec).alias("rec_id"), F.explode(F.array(parsed)).alias("d"))
+    return rows.select("rec_id", "d.*").withColumn("readable", F.col("_bad").isNull() | F.col("segments").isNotNull()).drop("_bad")
+
+
 def result_segments(results: DataFrame) -> DataFrame:
     """Segments table of result documents, in milliseconds."""
     ms = lambda c: F.bround(c * 1000).cast("bigint")
@@ -73,8 +80,12 @@ def file_identity(spark: SparkSession, folder: str, glob: str = "*") -> DataFram
 
 def read_progress(spark: SparkSession, folder: str, schema: str = schemas.PROGRESS_EVENT, stream: bool = False) -> DataFrame:
     """JSON lines as events; blank and malformed lines are skipped."""
-    reader = spark.readStream if stream else spark.read
-    parsed = reader.text(folder).select(F.from_json("value", schema).alias("e"), "value")
+    return parse_progress((spark.readStream if stream else spark.read).text(folder), schema)
+
+
+def parse_progress(lines: DataFrame, schema: str = schemas.PROGRESS_EVENT) -> DataFrame:
+    """The same from rows (value) of text."""
+    parsed = lines.select(F.from_json("value", schema).alias("e"), "value")
     first = schema.split()[0]
     return parsed.filter((strip("value") != "") & F.col(f"e.{first}").isNotNull()).select("e.*")
 
