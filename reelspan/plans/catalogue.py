@@ -11,6 +11,7 @@ from reelspan.functions.format import clock, duration_human, human_size, srt_tim
 from reelspan.functions.text import TOKEN, cut_middle, safe_stem, wrap
 from reelspan.functions.tolerant import parse_rate, to_float, to_int
 from reelspan.operators import align, history, intervals, ledger, media, packing, report, speakers, textstats
+from reelspan.plans import cue_sql
 from reelspan.plans.views import (
     DAY, bench_li, chunk_emb, hist_ord, inv_pages, ledger_ev, prog_ev, rec_ev, seg_conv, seg_ev, seg_words, sil_ev, table, turn_ev, with_views, word_conv,
 )
@@ -164,6 +165,7 @@ def _cues(density: str):
 
 for _name, _density in (("cues_short", "curta"), ("cues_balanced", "equilibrada"), ("cues_long", "longa")):
     QUERIES[_name] = _cues(_density)
+    ORACLES[_name] = cue_sql.cues(_density)
 
 
 @query(with_views(f"SELECT rec_id, CAST(sum(len(regexp_extract_all(text, '{TOKEN_SQL}'))) AS BIGINT) AS n_tokens FROM seg_conv WHERE seg_id%2=0 GROUP BY rec_id", "seg_conv"))
@@ -180,12 +182,12 @@ def cue_token_invariance_all(spark, d):
     return cues.groupBy("rec_id").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).cast("bigint").alias("n_tokens"))
 
 
-@query()
+@query(cue_sql.subtitles("equilibrada"))
 def srt_text(spark, d):
     return packing.subtitle_text(packing.build_cues(seg_words(spark, d)))
 
 
-@query()
+@query(cue_sql.subtitles("longa", vtt=True))
 def vtt_text(spark, d):
     return packing.subtitle_text(packing.build_cues(seg_words(spark, d), "longa"), "longa", vtt=True)
 
@@ -199,7 +201,7 @@ def paragraphs(spark, d):
     return packing.paragraphs(seg_conv(spark, d))
 
 
-@query()
+@query(cue_sql.WRAP_LINES)
 def wrap_lines(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(wrap("text", 42), "\n").alias("wrapped"))
 
@@ -214,7 +216,7 @@ def text_chunks(spark, d):
     return packing.text_chunks(table(spark, d, "documents"), key="doc_id")
 
 
-@query()
+@query(cue_sql.PACK_WINDOWS)
 def pack_windows(spark, d):
     return packing.pack_windows(intervals.merge_spans(seg_ev(spark, d)))
 
@@ -258,12 +260,12 @@ def joined_text(spark, d):
     return textstats.joined_text(seg_conv(spark, d))
 
 
-@query()
+@query(cue_sql.MAP_PROMPTS)
 def map_prompts(spark, d):
     return textstats.map_prompts(table(spark, d, "documents"), key="doc_id")
 
 
-@query()
+@query(cue_sql.SUMMARIES)
 def summaries(spark, d):
     """Map-reduce of the documents with a stand-in model: a column that quotes the prompt's last sentence."""
     answer = lambda p: F.to_json(F.struct(F.right(p, F.lit(80)).alias("resumo"), F.to_json(F.array(F.left(p, F.lit(20)))).alias("topicos")))
