@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import plain_columns, sub_batches
+from reelspan.llm.common import materialise, plain_columns, sub_batches
+from reelspan.llm.ngram_join import perhaps_among
 
 STEPS = 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -150,12 +151,17 @@ class ByteGRU:
 def sample_windows(docs: DataFrame, allowed: Column, per_language: int, per_document: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, bytes]]:
     """(language, window) of a bounded sample, the same for the same rows.
 
-    Documents are taken by a hash of their id, at most ``per_language`` of each language;
-    windows by equal spacing over the whole of each text.
+    Ids are taken first, by a hash, at most ``per_language`` of each language; only their texts
+    travel, one text for an id that repeats. Windows are equally spaced over the whole of each
+    text. Rows without an id are not sampled.
     """
-    rows = plain_columns(docs.filter(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), (id_col, text_col, lang_col))
+    rows = plain_columns(docs.filter(allowed & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), (id_col, text_col, lang_col))
+    rows = rows.withColumn(lang_col, F.col(lang_col).cast("string"))
     by_hash = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), id_col)
-    taken = rows.withColumn("_place", F.row_number().over(by_hash)).filter(F.col("_place") <= per_language)
+    ids = rows.select(id_col, lang_col).withColumn("_place", F.row_number().over(by_hash)).filter(F.col("_place") <= per_language)
+    ids = materialise(ids.groupBy(id_col).agg(F.min(F.struct("_place", lang_col)).alias("_l")).select(id_col, f"_l.{lang_col}", "_l._place"), "sampled")
+    texts = perhaps_among(rows.select(id_col, text_col), ids, id_col, text_col).join(ids, id_col)
+    taken = texts.groupBy(id_col, lang_col, "_place").agg(F.min_by(text_col, F.struct(F.xxhash64(text_col), F.col(text_col))).alias(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +181,7 @@ def sample_windows(docs: DataFrame, allowed: Column, per_language: int, per_docu
                 names=["lang", "place", "at", "data"],
             )
 
-    found = taken.withColumn(lang_col, F.col(lang_col).cast("string")).select(id_col, text_col, lang_col, "_place")
+    found = taken.select(id_col, text_col, lang_col, "_place")
     # per_language * per_document windows of STEPS bytes for each language.
     return [(r.lang, bytes(r.data)) for r in found.mapInArrow(run, "lang string, place int, at int, data binary").orderBy("lang", "place", "at", "data").collect()]
 

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.llm.common import materialise, plain_columns, sub_batches
@@ -307,29 +307,34 @@ def train_toxicity(
     allowed: Column,
     positives: int = 1500,
     negatives: int = 3000,
+    most_chars: int = 32_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     label_col: str = "toxic",
 ) -> ToxicityModel | None:
-    """Fit on a bounded sample of labelled rows, at most so many of each label, taken by a hash of the id.
+    """Fit on a bounded sample of labelled rows, at most so many of each label and so many characters for each, taken by a hash of the id.
 
-    ``allowed`` is a condition on the id. Labels without a document don't count. The cuts are then set
+    ``allowed`` is a condition on the id. Labels without a document don't count; an id with several
+    labels has the greatest, one with several texts is fitted on one of them. The cuts are then set
     on all labelled rows. Languages only name the groups whose cuts are set. None when
     nothing is labelled; with one label only, every text gets that label's side of the cut.
     """
     by_hash = F.xxhash64(F.col(id_col).cast("string"), F.lit("toxicity"))
-    known = plain_columns(labels, (id_col, label_col)).filter(allowed & F.col(label_col).isin(0, 1)).dropDuplicates([id_col])
+    known = plain_columns(labels, (id_col, label_col)).filter(allowed & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias(label_col))
     present = plain_columns(docs, (id_col,)).distinct()
     known = materialise(known.join(present, id_col, "left_semi"), "labelled")
     taken = None
     for value, most in ((1, positives), (0, negatives)):
         some = known.filter(F.col(label_col) == value).orderBy(by_hash, id_col).limit(most)
         taken = some if taken is None else taken.unionByName(some)
-    # positives + negatives rows at most
+    # positives + negatives rows and twice most_chars characters at most
     wanted = plain_columns(docs, (id_col, text_col, lang_col)).withColumn(lang_col, F.col(lang_col).cast("string"))
-    rows = wanted.join(F.broadcast(taken), id_col).collect()
-    rows = sorted(rows, key=lambda r: (str(r[0]), r[1] or ""))
+    one = F.min_by(F.struct(text_col, lang_col), F.struct(F.xxhash64(text_col), F.col(text_col), F.col(lang_col))).alias("_row")
+    single = wanted.join(F.broadcast(taken), id_col).groupBy(id_col, label_col).agg(one).select(id_col, f"_row.{text_col}", f"_row.{lang_col}", label_col)
+    so_far = Window.partitionBy(label_col).orderBy(by_hash, id_col).rowsBetween(Window.unboundedPreceding, 0)
+    fitting = single.withColumn("_chars", F.sum(F.coalesce(F.length(text_col), F.lit(0))).over(so_far)).filter(F.col("_chars") <= most_chars).drop("_chars")
+    rows = sorted(fitting.collect(), key=lambda r: (str(r[0]), r[1] or ""))
     if not rows:
         return None
     langs, y, corpus = [r[2] for r in rows], np.array([r[3] for r in rows]), Corpus()
