@@ -1,31 +1,38 @@
 """License templates found in texts, on DataFrame functions alone.
 
-A template and a text are sequences of word shingles (words: runs of a-z and 0-9 of the
-lower-cased text). Each template has a scale s, the least of SCALES that holds its words,
-and is looked for in windows of 1.5 s words that start every s / 2 words, so that a whole
-copy lies inside some window. A window retrieves the templates of its scale with which it
-shares a MinHash band; then the template's shingles are looked up in the window exactly.
-
-Bands are single hashes. A window of 1.5 s words that holds 80 % of a template of more than
-s / 1.5 words resembles it by J > 0.25, so BANDS = 64 bands miss it with a probability of
-(1 - J) ^ 64 < 1e-8 at most. The hash under which a band of a window equals a template's
-is a hash of a shared shingle; so windows without any shingle of a template are passed over
-before hashing, and texts without any of the templates' rare words before cutting them into
-words. Both tests only drop what no band can retrieve.
+Templates and texts are sequences of word shingles (words: runs of a-z and 0-9 of the
+lower-cased text; a template of fewer than SHINGLE words is one shingle). MinHash bands over
+overlapping windows retrieve templates, then their shingles are looked up exactly.
+
+Retrieval. A window is ``w`` consecutive shingles; a band's value is the least hash of its
+shingles under the band's seed. Templates have a window at every shingle, texts one at every
+``step``-th, and a band in which both have the same value retrieves the template there. If
+80 % of a template's n shingles lie in a text, m = n - 0.8 n are missing, and a break between
+two runs of it costs at least SHINGLE - 1 of them, so some run has R = (n - m) / (m // 4 + 1)
+shingles in a row. With w + step - 1 <= R a window of the text lies inside that run whole: it
+equals a window of the template and collides in every band with probability 1. A window
+that a change cuts into (similarity J) is retrieved besides with probability 1 - (1 - J) ^ BANDS.
+
+Verification. A template of n words has a scale s, the first of 6, 9, 14, 21, ... (each half as
+much again) that holds it. Its shingles are looked up in the windows of 1.5 s words that start
+every s / 2 words and hold a retrieved window, so that a whole copy lies inside some window.
+Templates of more than PART words are cut into equal parts, each with windows of its own.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.llm.common import plain_columns
 
-SHINGLE, BANDS = 5, 64
-SCALES = (6, 9, 14, 21, 32, 48, 72, 108, 162)
+#: Words of a shingle, bands of a window (those of one shingle need one), words of a part of a template.
+SHINGLE, BANDS, PART = 5, 2, 160
+#: Runs for which windows are laid out: (w, step) with w + step - 1 shingles each.
+RUNS = {1: (1, 1), 2: (1, 2), 4: (2, 3), 8: (4, 5)}
 
 # Names and wordings of license notices.
 TEMPLATES = {
@@ -54,79 +61,100 @@ def words_in(text: str) -> list[str]:
 
 
 def scale_of(words: int) -> int:
-    return next(s for s in SCALES if words <= s)
+    """Least of 6, 9, 14, 21, 32, ... that is no smaller."""
+    scale = 6
+    while scale < words:
+        scale += (scale + 1) // 2
+    return scale
 
 
-def shingles_of(words: list[str], width: int = SHINGLE) -> list[str]:
-    """A template's shingles; one with fewer words has its whole sequence."""
-    width = min(width, len(words))
-    return list(dict.fromkeys(" ".join(words[i : i + width]) for i in range(len(words) - width + 1)))
+def shingle_list(words: list[str]) -> list[str]:
+    """A template's shingles in order; one with fewer words has its whole sequence."""
+    width = min(SHINGLE, len(words))
+    return [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
 
 
-def rare_words(templates: dict[str, str]) -> list[str]:
-    """Words of which every template shingle holds one, the longest of each; few cover many."""
-    left = [set(s.split()) for t in templates.values() for s in shingles_of(words_in(t))]
-    chosen = []
-    while left:
-        seen = Counter(w for s in left for w in s if len(w) == max(map(len, s)))
-        word = max(seen, key=lambda w: (seen[w], len(w), w))
-        chosen.append(word)
-        left = [s for s in left if word not in s]
-    return chosen
+def shingles_of(words: list[str]) -> list[str]:
+    return list(dict.fromkeys(shingle_list(words)))
 
 
-def held(column: Column) -> Column:
-    """One row per row, holding the value of ``column``: an expression put to many uses is then worked out once."""
-    return F.explode(F.array(column))
-
-
-def hashes(words: str, width: int) -> Column:
-    """Hash of the ``width`` words from every position; empty where there are fewer words."""
-    at = lambda i: F.xxhash64(*[F.element_at(words, (i + k).cast("int")) for k in range(1, width + 1)])
-    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), at)).otherwise(F.array().cast("array<bigint>"))
+def sure_run(shingles: int, percent: int) -> int:
+    """Shingles in a row that any text has which holds ``percent`` of so many; the greatest of RUNS up to that."""
+    missing = shingles - -(-shingles * percent // 100)
+    run = -(-(shingles - missing) // (missing // (SHINGLE - 1) + 1))
+    return max(r for r in RUNS if r <= max(1, run))
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(license, width, scale, shingles): one row per template, shingles as hashes."""
-    rows = [
-        F.struct(
-            F.lit(name).alias("license"),
-            F.lit(min(SHINGLE, len(words_in(t)))).alias("width"),
-            F.lit(scale_of(len(words_in(t)))).alias("scale"),
-            F.array(*[F.xxhash64(*[F.lit(w) for w in s.split()]) for s in shingles_of(words_in(t))]).alias("shingles"),
-        )
-        for name, t in templates.items()
-    ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+def parts_of(words: list[str]) -> list[list[str]]:
+    """A template's words in equal parts of at most PART."""
+    n = -(-len(words) // PART)
+    return [words[len(words) * k // n : len(words) * (k + 1) // n] for k in range(n)]
 
 
-def band_values(shingles: str | Column) -> Column:
-    """MinHash of a set of hashes in every band."""
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, b))))
+def held(column: Column) -> Column:
+    """One row per row, holding the value of ``column``: an expression put to many uses is then worked out once."""
+    return F.explode(F.array(column))
 
 
-def hit_windows(h: str, width: int, scale: int, wanted: list[str]) -> Column:
-    """Windows (scale, width, start, own) of one scale that hold any of the wanted shingles; own is their distinct hashes."""
-    known = F.array(*[F.xxhash64(*[F.lit(x) for x in s.split()]) for s in dict.fromkeys(wanted)])
-    step, size = scale // 2, scale + scale // 2
-    # A window that holds the shingle at position p starts at a multiple of step from p - (size - width) to p.
-    at = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda p: F.array_contains(known, F.element_at(h, (p + 1).cast("int"))))
-    first = lambda p: F.greatest(F.lit(0), F.ceil((p - (size - width)) / step).cast("int"))
-    starts = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(first(p), F.floor(p / step).cast("int")))))
+def shingle_hashes(words: str, width: int) -> Column:
+    """Hashes of the ``width`` word hashes from every position on; empty where there are fewer words."""
+    at = lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(width)])
+    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), at)).otherwise(F.array().cast("array<bigint>"))
 
-    def window(k: Column) -> Column:
-        own = F.array_distinct(F.slice(h, k * step + 1, F.lit(size - width + 1)))
-        return F.struct(F.lit(scale).alias("scale"), F.lit(width).alias("width"), (k * step).alias("start"), own.alias("own"))
 
-    none = F.array().cast("array<struct<scale:int,width:int,start:int,own:array<bigint>>>")
-    return F.when((F.size(h) > 0) & F.arrays_overlap(h, known), F.transform(starts, window)).otherwise(none)
+def band_value(shingles: list[Column], band: int) -> Column:
+    """Least hash of a window's shingles under a band's seed; a single shingle stands for itself."""
+    return F.least(*[F.xxhash64(x, F.lit(len(shingles)), F.lit(band)) for x in shingles]) if len(shingles) > 1 else shingles[0]
+
+
+def bands_of(w: int) -> range:
+    return range(BANDS if w > 1 else 1)
+
+
+def template_tables(spark: SparkSession, templates: dict[str, str], percent: int) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """(value, license, part, whole, width, w, scale, shingles): a row per band of every window of the templates; and the steps at which windows (width, w) of texts start."""
+    rows, kinds = [], {}
+    for name, text in templates.items():
+        parts = parts_of(words_in(text))
+        whole = sum(len(shingles_of(p)) for p in parts)
+        for k, words in enumerate(parts):
+            width, own = min(SHINGLE, len(words)), shingles_of(words)
+            run = sure_run(len(own), percent)
+            w, step = RUNS[run]
+            kinds[width, w] = min(step, kinds.get((width, w), step))
+            # Word sequences as arrays, hashed by Spark as texts are.
+            row = {"license": name, "part": k, "whole": whole, "width": width, "w": w, "scale": scale_of(len(words)), "listed": shingle_list(words), "own": own}
+            rows.append(row)
+    kind = "array<struct<license:string,part:int,whole:int,width:int,w:int,scale:int,listed:array<string>,own:array<string>>>"
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))  # as long as the list of templates
+
+    def hashed(shingle: Column) -> Column:
+        words = F.transform(F.split(shingle, " "), lambda x: F.xxhash64(x))
+        return F.when(F.size(words) == 1, F.xxhash64(F.get(words, F.lit(0)))).otherwise(combined(words))
+
+    def combined(words: Column) -> Column:
+        out = F.lit(None).cast("bigint")
+        for n in range(2, SHINGLE + 1):
+            out = F.when(F.size(words) == n, F.xxhash64(*[F.get(words, F.lit(i)) for i in range(n)])).otherwise(out)
+        return out
+
+    table = table.withColumn("listed", F.transform("listed", hashed)).withColumn("shingles", F.transform("own", hashed)).drop("own")
+    starts = table.withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("listed") - F.col("w")))))
+    values = []
+    for w in sorted({w for _, w in kinds}):
+        window = [F.get("listed", F.col("at") + i) for i in range(w)]
+        values += [F.when(F.col("w") == w, band_value(window, band)) for band in bands_of(w)]
+    banded = starts.withColumn("value", F.explode(F.array(*values))).filter("value is not null")
+    return banded.select("value", "license", "part", "whole", "width", "w", "scale", "shingles").distinct(), kinds
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Templates of which at least ``percent`` of the shingles lie in one window of a text.
 
     Returns one row per (``id_col``, license): shared_shingles, the most in any window,
-    template_shingles, and first_word, the start of the first such window. Texts without a
+    template_shingles, and first_word, the start of the first such window. A template in
+    parts is found if the parts that are found hold ``percent`` of its shingles; its shared
+    shingles are theirs together, and first_word is that of the first part found. Texts without a
     match have no row. A null or empty text has no words; a template of fewer than SHINGLE
     words must be there whole. Rows that repeat an id are scanned each and reported
     together. Other columns are ignored. No rows give no rows.
@@ -136,28 +164,39 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, perc
     if not templates:
         kind = docs.schema[id_col].dataType.simpleString()
         return spark.createDataFrame([], f"`{id_col}` {kind}, license string, shared_shingles bigint, template_shingles bigint, first_word bigint")
-    table = template_table(spark, templates)  # as long as the list of templates
-    bands = table.select("license", "width", "scale", "shingles", F.posexplode(band_values("shingles")).alias("band", "value"))
-    low = plain_columns(docs, (id_col, text_col)).select(id_col, F.lower(text_col).alias("low"))
-    rare = F.lit(False)
-    for word in rare_words(templates):
-        rare = rare | F.contains(F.col("low"), F.lit(word))
-    words = low.filter(rare).select(id_col, held(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0))).alias("words"))
-    by_width: dict[int, dict[int, list[str]]] = {}
-    for t in templates.values():
-        w = words_in(t)
-        by_width.setdefault(min(SHINGLE, len(w)), {}).setdefault(scale_of(len(w)), []).extend(shingles_of(w))
-    hashed, windows = words, []
-    for width, by_scale in sorted(by_width.items()):
-        hashed = hashed.withColumn(f"h{width}", held(hashes("words", width)))
-        for scale, wanted in sorted(by_scale.items()):
-            windows.append(hit_windows(f"h{width}", width, scale, wanted))
-    found = hashed.select(id_col, F.inline(F.flatten(F.array(*windows))))
-    banded = found.select(id_col, "start", "own", "scale", "width", F.posexplode(band_values("own")).alias("band", "value"))
-    retrieved = banded.join(F.broadcast(bands), ["scale", "width", "band", "value"])
-    # Exact check of what the bands retrieved; a pair met in several bands is grouped away.
-    checked = retrieved.withColumn("shared", F.size(F.array_intersect("own", "shingles")).cast("long")).filter(F.col("shared") * 100 >= F.size("shingles") * percent)
-    best = checked.groupBy(id_col, "license").agg(
-        F.max(F.struct(F.col("shared"), (-F.col("start")).alias("back"))).alias("best"), F.first(F.size("shingles")).cast("long").alias("template_shingles")
+    table, kinds = template_tables(spark, templates, percent)
+    rows = plain_columns(docs, (id_col, text_col)).select(F.col(f"`{id_col}`").alias("id"), F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
+    hashed = rows.select("id", held(F.transform("words", lambda w: F.xxhash64(w))).alias("wh"))
+    widths = sorted({width for width, _ in kinds})
+    for width in widths:
+        hashed = hashed.withColumn(f"h{width}", held(shingle_hashes("wh", width)))
+
+    def windows_of(width: int, w: int, step: int, band: int) -> Column:
+        """(p, value) of every window of a text in one band."""
+        h = f"h{width}"
+        starts = F.sequence(F.lit(0), F.size(h) - w, F.lit(step))
+        value = lambda p: band_value([F.get(F.col(h), p + i) for i in range(w)], band)
+        made = F.arrays_zip(starts.alias("p"), F.col(h).alias("value")) if w == step == 1 else F.transform(starts, lambda p: F.struct(p.alias("p"), value(p).alias("value")))
+        return F.when(F.size(h) >= w, made).otherwise(F.array().cast("array<struct<p:int,value:bigint>>"))
+
+    every = [windows_of(width, w, step, band) for (width, w), step in sorted(kinds.items()) for band in bands_of(w)]
+    # Held first: rows of probes are then made by generated code, which doesn't copy a text's arrays to each.
+    probes = hashed.withColumn("probes", held(F.concat(*every))).select("id", *[f"h{width}" for width in widths], F.inline("probes"))
+    # The table has a few rows for every shingle of the templates.
+    retrieved = probes.join(F.broadcast(table), "value")
+    # Starts k * (scale div 2) of the windows that hold the retrieved one.
+    step, size = F.expr("scale div 2"), F.expr("scale + scale div 2")
+    first = F.greatest(F.lit(0), F.ceil((F.col("p") + F.col("w") - 1 - (size - F.col("width"))) / step)).cast("int")
+    windows = retrieved.withColumn("start", F.explode(F.transform(F.sequence(first, F.expr("p div (scale div 2)").cast("int")), lambda k: (k * step).cast("int"))))
+    own_shingles = F.lit(None).cast("array<bigint>")
+    for width in widths:
+        own_shingles = F.when(F.col("width") == width, F.slice(f"h{width}", F.col("start") + 1, (size - width + 1).cast("int"))).otherwise(own_shingles)
+    # Exact check of what the bands retrieved; a window met several times is grouped away.
+    checked = windows.select(
+        "id", "license", "part", "whole", "start", F.size("shingles").cast("long").alias("of"), F.size(F.array_intersect(own_shingles, "shingles")).cast("long").alias("shared")
+    ).filter(F.col("shared") * 100 >= F.col("of") * percent)
+    best = checked.groupBy("id", "license", "part").agg(F.max(F.struct(F.col("shared"), (-F.col("start")).alias("back"))).alias("best"), F.first("of").alias("of"), F.first("whole").alias("whole"))
+    found = best.groupBy("id", "license").agg(
+        F.sum("best.shared").alias("shared_shingles"), F.sum("of").alias("_of"), F.first("whole").cast("long").alias("template_shingles"), F.min_by(-F.col("best.back"), "part").cast("long").alias("first_word")
     )
-    return best.select(id_col, "license", F.col("best.shared").alias("shared_shingles"), "template_shingles", (-F.col("best.back")).cast("long").alias("first_word"))
+    return found.filter(F.col("_of") * 100 >= F.col("template_shingles") * percent).select(F.col("id").alias(id_col), "license", "shared_shingles", "template_shingles", "first_word")

@@ -8,7 +8,7 @@ import tiktoken
 from llm_helpers import rows
 from pyspark.sql import functions as F
 
-from reelspan.llm.license_scan import TEMPLATES, rare_words, scale_of, scan_licenses, shingles_of, words_in
+from reelspan.llm.license_scan import RUNS, TEMPLATES, parts_of, scale_of, scan_licenses, shingle_list, shingles_of, sure_run, words_in
 from reelspan.llm.quality_rules import apply_quality_rules, host_verdicts, measure
 from reelspan.llm.sharding import fill, shard_documents
 from reelspan.llm.token_counts import TokenRollup, count_tokens
@@ -155,9 +155,37 @@ def test_licenses_equal_plain_windows(documents):
         assert got.get(i, {}) == plain_licenses(t)
 
 
-def test_rare_words_cover_every_shingle():
-    chosen = set(rare_words(TEMPLATES))
-    assert all(chosen & set(s.split()) for t in TEMPLATES.values() for s in shingles_of(words_in(t)))
+def test_runs_are_sure():
+    """Whatever the damage that leaves 80 % of the shingles, a run of the promised length is left."""
+    rng = random.Random(8)
+    for n in range(1, 200):
+        run = sure_run(n, 80)
+        assert run in RUNS and sum(RUNS[run]) - 1 <= run
+        for _ in range(40):
+            lost, left = set(), n - -(-n * 80 // 100)
+            while left >= 4 and rng.random() < 0.9:
+                at = rng.randrange(n)
+                lost |= set(range(at, min(n, at + 4)))
+                left = n - -(-n * 80 // 100) - len(lost)
+            if n - len(lost) < -(-n * 80 // 100):
+                continue
+            longest = max(len(x) for x in "".join(" " if i in lost else "x" for i in range(n)).split(" "))
+            assert longest >= run
+
+
+def test_a_long_template_is_found_in_parts(documents):
+    words = [f"w{i}" for i in range(700)]
+    long, short = " ".join(words), "All rights reserved."
+    assert [len(p) for p in parts_of(words)] == [140] * 5 and scale_of(140) == 162
+    broken = words[:]
+    for i in range(0, 700, 60):
+        broken[i] = "changed"
+    texts = ["x y z " * 30 + long + " tail", " ".join(broken), " ".join(words[:300]), "pad " + " ".join(words[140:]), "nothing here", None]
+    got = {(r.doc_id, r.license): (r.shared_shingles, r.template_shingles) for r in scan_licenses(documents(texts), {"long": long, "short": short}).collect()}
+    total = sum(len(shingles_of(p)) for p in parts_of(words))
+    assert total == 5 * 136 and len(shingle_list(words)) == 696
+    assert got[0, "long"] == (total, total) and got[3, "long"] == (4 * 136, total) and got[1, "long"][0] >= 0.8 * total
+    assert set(got) == {(0, "long"), (1, "long"), (3, "long")}
 
 
 def test_licenses_on_odd_rows(odd, spark):
