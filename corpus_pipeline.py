@@ -17,12 +17,13 @@ from reelspan.llm.quality_rules import apply_quality_rules
 from reelspan.llm.toxicity import score_toxicity, train_toxicity
 
 
-#: Name of a whole row where it stands for its id.
-WHOLE = "_whole_row"
+#: Name of a whole row where it stands for its id, and rows that go to Python at a time: a batch holds them and their texts twice.
+WHOLE, BATCH_ROWS = "_whole_row", 500
 
 
 def whole(docs: DataFrame) -> DataFrame:
     """(WHOLE, text, source): an operator that returns the id of a row so returns the row itself."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(WHOLE), "text", "source")
 
 

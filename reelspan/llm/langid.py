@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import materialise, plain_columns, sub_batches
+from reelspan.llm.common import lean, materialise, plain_columns, sub_batches
 from reelspan.llm.ngram_join import perhaps_among
 
 STEPS = 64
@@ -183,7 +183,7 @@ def sample_windows(docs: DataFrame, allowed: Column, per_language: int, per_docu
 
     found = taken.select(id_col, text_col, lang_col, "_place")
     # per_language * per_document windows of STEPS bytes for each language.
-    return [(r.lang, bytes(r.data)) for r in found.mapInArrow(run, "lang string, place int, at int, data binary").orderBy("lang", "place", "at", "data").collect()]
+    return [(r.lang, bytes(r.data)) for r in found.mapInArrow(lean(run), "lang string, place int, at int, data binary").orderBy("lang", "place", "at", "data").collect()]
 
 
 def train_language_model(
@@ -235,4 +235,4 @@ def predict_language(docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return plain_columns(docs, (id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return plain_columns(docs, (id_col, text_col)).mapInArrow(lean(run), f"`{id_col}` {kind}, lang_pred string, score double")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import materialise, plain_columns
+from reelspan.llm.common import lean, materialise, plain_columns
 from reelspan.llm.components import connected_components
 
 #: Groups of the count vectors, sizes of one size class (greatest over least), points of a block and of a tree node.
@@ -236,7 +236,7 @@ def describe(docs: DataFrame, words: int, id_col: str) -> DataFrame:
             yield batch([id_col, "n_shingles", "sid", "counts"], b.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(counts, pa.binary()))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.mapInArrow(run, f"`{id_col}` {kind}, n_shingles bigint, sid bigint, counts binary")
+    return docs.mapInArrow(lean(run), f"`{id_col}` {kind}, n_shingles bigint, sid bigint, counts binary")
 
 
 def cell_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -263,7 +263,7 @@ def cell_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             if names:
                 yield batch(["cell", "sid"], pa.array(np.concatenate(names)), pa.array(np.concatenate(sids)))
 
-    return docs.mapInArrow(run, "cell bigint, sid bigint")
+    return docs.mapInArrow(lean(run), "cell bigint, sid bigint")
 
 
 def id_bits(ids: DataFrame, column: str) -> np.ndarray:
@@ -288,7 +288,7 @@ def perhaps_among(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -
 
     at = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).alias("_at")
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col, at).mapInArrow(run, f"`{id_col}` {kind}, `{text_col}` string")
+    return docs.select(id_col, text_col, at).mapInArrow(lean(run), f"`{id_col}` {kind}, `{text_col}` string")
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
@@ -303,7 +303,7 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
                 own.append(set_id(h) == sid)  # rows that repeat an id may have another text
             yield batch(["sid", "hashes"], b.column(1), pa.array(sets, pa.binary())).filter(pa.array(own, pa.bool_()))
 
-    return docs.mapInArrow(run, "sid bigint, hashes binary")
+    return docs.mapInArrow(lean(run), "sid bigint, hashes binary")
 
 
 # -- cells ----------------------------------------------------------------------------
@@ -371,7 +371,7 @@ def shared_cells(rows: DataFrame) -> DataFrame:
             yield batch(["cell", "sid"], pa.array(out[0][:, 0]), pa.array(out[0][:, 1]))
 
     sorted_rows = rows.repartition("cell").sortWithinPartitions("cell", "sid")
-    return sorted_rows.mapInArrow(run, "cell bigint, sid bigint").distinct()
+    return sorted_rows.mapInArrow(lean(run), "cell bigint, sid bigint").distinct()
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
@@ -406,7 +406,7 @@ def first_pairs(placed: DataFrame, num: int, den: int) -> DataFrame:
 
     # The cell's least member comes first in every block, being the least of all.
     rows = placed.select("cell", "block", "sid", "counts").repartition("cell", "block").sortWithinPartitions("cell", "block", "sid")
-    pairs = rows.mapInArrow(run, "a bigint, b bigint")
+    pairs = rows.mapInArrow(lean(run), "a bigint, b bigint")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -456,7 +456,7 @@ def second_pairs(placed: DataFrame, num: int, den: int) -> DataFrame:
             yield here, gathered
 
     rows = members.unionByName(travel).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind", "sid")
-    pairs = rows.mapInArrow(run, "a bigint, b bigint")
+    pairs = rows.mapInArrow(lean(run), "a bigint, b bigint")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -474,7 +474,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     # The member's set joins first; a leader with many followers then meets them in a join that can be split.
     of_b = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("set_b"))
     of_a = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("set_a"))
-    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

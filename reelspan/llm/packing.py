@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import materialise, plain_columns, sub_batches
+from reelspan.llm.common import lean, materialise, plain_columns, sub_batches
 from reelspan.llm.text_chunks import ChunkMemo
 
 PIECES_SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -146,7 +146,7 @@ def cut_documents(docs: DataFrame, path: str, pattern: str, capacity: int, end_i
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return plain_columns(docs, (id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, {PIECES_SCHEMA}")
+    return plain_columns(docs, (id_col, text_col)).mapInArrow(lean(run), f"`{id_col}` {kind}, {PIECES_SCHEMA}")
 
 
 def fill_sequences(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:

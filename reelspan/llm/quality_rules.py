@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import materialise, plain_columns
+from reelspan.llm.common import lean, materialise, plain_columns
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\v\f\r"
@@ -71,7 +71,7 @@ def measure_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = plain_columns(docs, (id_col, text_col, host_col)).withColumn(host_col, F.col(host_col).cast("string"))
-    return wanted.mapInArrow(run, f"`{id_col}` {kind}, host string, " + ", ".join(f"{f} bigint" for f in FEATURES))
+    return wanted.mapInArrow(lean(run), f"`{id_col}` {kind}, host string, " + ", ".join(f"{f} bigint" for f in FEATURES))
 
 
 def host_verdicts(checked: DataFrame, limit: float = 0.5) -> DataFrame:

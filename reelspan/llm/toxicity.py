@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import materialise, plain_columns, sub_batches
+from reelspan.llm.common import lean, materialise, plain_columns, sub_batches
 from reelspan.llm.ngram_join import perhaps_among
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -371,7 +371,7 @@ def response_counts(docs: DataFrame, known: DataFrame, taken: DataFrame, model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(guess), pa.array(bins)], names=[id_col, "guess", "bin"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = perhaps_among(docs, known, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, guess bigint, bin bigint")
+    scored = perhaps_among(docs, known, id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, guess bigint, bin bigint")
     fitted = F.broadcast(taken.select(id_col, F.lit(1).alias("fitted")))
     rows = scored.join(known, id_col).join(fitted, id_col, "left")
     label, was = F.col(label_col).cast("long").alias("label"), F.coalesce("fitted", F.lit(0)).alias("fitted")
@@ -400,4 +400,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return plain_columns(docs, (id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return plain_columns(docs, (id_col, text_col)).mapInArrow(lean(run), f"`{id_col}` {kind}, score double, predicted int")
