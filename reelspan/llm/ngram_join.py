@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.llm.common import lean, materialise, plain_columns
@@ -268,27 +268,33 @@ def cell_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 def id_bits(ids: DataFrame, column: str) -> np.ndarray:
     """Bitmap of the hashes of some ids: FILTER_BITS bits, however many ids there are."""
-    at = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    pages = ids.select(at.alias("at")).groupBy(F.expr("at div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    pages = ids.select(bit_of(column).alias("at")).groupBy(F.expr("at div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
     out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     for r in pages.collect():  # FILTER_BITS / 32768 pages at most
         out[r.page * 4096 : (r.page + 1) * 4096] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
     return out
 
 
+def bit_of(column: str) -> Column:
+    """Place of an id in the bitmap of id_bits."""
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def with_bit(b: pa.RecordBatch, at: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    """Rows of a batch whose bit (at ``at``) is set."""
+    return b.filter(pa.array(((bits[at >> 3] >> (at & 7)) & 1).astype(bool)))
+
+
 def perhaps_among(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows whose id is among ``ids``, and a few others, without a shuffle of the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(id_bits(ids, id_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.asarray(b.column(2))
-            keep = (shared.value[at >> 3] >> (at & 7)) & 1
-            yield b.filter(pa.array(keep.astype(bool))).select([0, 1])
+            yield with_bit(b, np.asarray(b.column(2)), shared.value).select([0, 1])
 
-    at = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).alias("_at")
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col, at).mapInArrow(lean(run), f"`{id_col}` {kind}, `{text_col}` string")
+    return docs.select(id_col, text_col, bit_of(id_col).alias("_at")).mapInArrow(lean(run), f"`{id_col}` {kind}, `{text_col}` string")
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:

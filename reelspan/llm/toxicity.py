@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.llm.common import lean, materialise, plain_columns, sub_batches
-from reelspan.llm.ngram_join import perhaps_among
+from reelspan.llm.ngram_join import bit_of, id_bits, with_bit
 
 WORD = re.compile(r"[^\W\d_]+")
 TABLE = 1 << 17
@@ -358,11 +358,13 @@ def response_counts(docs: DataFrame, known: DataFrame, taken: DataFrame, model:
 
     A row per combination that occurs, whatever the number of texts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Labelled texts are picked by a bitmap in the same Python task that scores them.
+    shared, bits = docs.sparkSession.sparkContext.broadcast(model), docs.sparkSession.sparkContext.broadcast(id_bits(known, id_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
+            batch = with_bit(batch, np.asarray(batch.column(2)), bits.value)
             texts = batch.column(1).to_pylist()
             response, guess = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
             for a, b in sub_batches(texts):
@@ -371,7 +373,7 @@ def response_counts(docs: DataFrame, known: DataFrame, taken: DataFrame, model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(guess), pa.array(bins)], names=[id_col, "guess", "bin"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = perhaps_among(docs, known, id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, guess bigint, bin bigint")
+    scored = docs.select(id_col, text_col, bit_of(id_col).alias("_at")).mapInArrow(lean(run), f"`{id_col}` {kind}, guess bigint, bin bigint")
     fitted = F.broadcast(taken.select(id_col, F.lit(1).alias("fitted")))
     rows = scored.join(known, id_col).join(fitted, id_col, "left")
     label, was = F.col(label_col).cast("long").alias("label"), F.coalesce("fitted", F.lit(0)).alias("fitted")
