@@ -17,7 +17,7 @@ COLUMNS = (("QUANDO", 11), ("ARQUIVO", 30), ("DURAÇÃO", 8), ("MODELO", 16), ("
 def confidence_label(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     word = F.when(c >= HIGH, "alta").when(c >= LOW, "média").otherwise("baixa")
-    return F.when(c.isNull(), F.lit("desconhec.")).otherwise(F.format_string("%s %.2f", word, c))
+    return F.when(c.isNull(), F.lit("desconhec.")).otherwise(F.format_string("%s %.2f", word, F.bround(c, 2)))
 
 
 def entries_from_results(runs: DataFrame, coverage: DataFrame, segments: DataFrame, rec: str = "rec_id") -> DataFrame:
@@ -52,7 +52,7 @@ def needs_attention(history: DataFrame) -> DataFrame:
     """Runs with an error, failures or low coverage, and why."""
     bad = F.coalesce(F.col("coverage") < LOW_COVERAGE, F.lit(False))
     reason = (
-        F.when(F.col("status") == "error", "error").when(bad, F.format_string("coverage %.1f%%, %d s", F.col("coverage") * 100, F.col("gap_seconds").cast("bigint"))).otherwise(F.format_string("%d failures", F.col("failures")))
+        F.when(F.col("status") == "error", "error").when(bad, F.format_string("coverage %.1f%%, %d s", F.bround(F.col("coverage") * 100, 1), F.col("gap_seconds").cast("bigint"))).otherwise(F.format_string("%d failures", F.col("failures")))
     )
     rows = history.filter((F.col("status") == "error") | (F.col("failures") > 0) | bad)
     return rows.select("run_id", "status", reason.alias("reason"), confidence_label("confidence").alias("confidence_label"))
@@ -76,8 +76,8 @@ def display_rows(history: DataFrame) -> DataFrame:
         cell(clock("duration")),
         cell(cut_middle(F.coalesce(F.nullif("model", F.lit("")), F.lit("-")), 16)),
         cell(F.left(F.coalesce(F.nullif("device", F.lit("")), F.lit("-")), F.lit(6))),
-        cell(F.format_string("%.1fx", "realtime_factor"), F.col("realtime_factor").isNotNull()),
-        F.when(ok, F.when(has, F.format_string("%.1f%%", F.col("coverage") * 100)).otherwise("-")).otherwise("-"),
+        cell(F.format_string("%.1fx", F.bround("realtime_factor", 1)), F.col("realtime_factor").isNotNull()),
+        F.when(ok, F.when(has, F.format_string("%.1f%%", F.bround(F.col("coverage") * 100, 1))).otherwise("-")).otherwise("-"),
         cell(gaps, has),
         F.when(ok, cell(F.col("failures").cast("string"), F.coalesce("failures", F.lit(0)) > 0)).otherwise(F.lit("ERRO")),
         cell(F.when(F.col("summarized"), "sim").otherwise("não")),
@@ -195,7 +195,7 @@ def job_cards(runs: DataFrame, coverage: DataFrame, segments: DataFrame, stats:
             pair("Palavras", F.coalesce("words", F.lit(0)).cast("string")), pair("Trechos", F.coalesce("_segments", F.lit(0)).cast("string")),
         ),
         F.when(F.col("_speakers") > 0, F.array(pair("Falantes", F.col("_speakers").cast("string")))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("analyzed") & F.col("ratio").isNotNull(), F.array(pair("Cobertura", F.concat(F.format_string("%.1f%%  (", F.col("ratio") * 100), lost, F.lit(")"))))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("analyzed") & F.col("ratio").isNotNull(), F.array(pair("Cobertura", F.concat(F.format_string("%.1f%%  (", F.bround(F.col("ratio") * 100, 1)), lost, F.lit(")"))))).otherwise(F.array().cast("array<string>")),
         F.when(F.size("partial_failures") > 0, F.concat(F.array(F.lit(""), F.lit("AVISOS"), F.lit("")), failures)).otherwise(F.array().cast("array<string>")),
     )
     return rows.select(rec, F.array_join(lines, "\n").alias("card"))
