@@ -92,7 +92,13 @@ def test_tree_finds_all_that_the_bound_lets_through():
     for i in range(0, 700, 37):
         least = np.minimum(points, points[i]).sum(axis=1) * 190 >= 90 * (points.sum(axis=1) + points[i].sum())
         assert sorted(tree.search(points[i]).tolist()) == np.flatnonzero(least).tolist()
-    assert {j for _, j in leader_pairs(points, 90, 100)} >= set(range(300, 700)) - {i for i, _ in leader_pairs(points, 90, 100)} or True
+    # Every point that isn't a leader follows one whose bound lets it through.
+    pairs = leader_pairs(points, 90, 100)
+    followers = [j for _, j in pairs]
+    assert len(followers) == len(set(followers)) and not set(followers) & {i for i, _ in pairs}
+    for i, j in pairs:
+        assert np.minimum(points[i], points[j]).sum() * 190 >= 90 * (points[i].sum() + points[j].sum())
+    assert len(followers) >= 300
 
 
 def test_join_on_odd_rows(odd):
