@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from reelspan.llm.common import plain_columns, sub_batches
+from reelspan.llm.common import kept, lean, plain_columns, sub_batches
 from reelspan.llm.text_chunks import KEPT_CHARS, ChunkMemo
 
 #: Matches longer than this many bytes are merged one by one.
@@ -223,14 +223,9 @@ class Codec:
         return out
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each Python worker and vocabulary."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return kept("codec", (path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,7 +252,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return plain_columns(docs, (id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids array<int>, decoded binary")
+    return plain_columns(docs, (id_col, text_col)).mapInArrow(lean(run, "codec"), f"`{id_col}` {kind}, n_tokens bigint, ids array<int>, decoded binary")
 
 
 def digest_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,4 +277,4 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return plain_columns(docs, (id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return plain_columns(docs, (id_col, text_col)).mapInArrow(lean(run, "codec"), f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -8,12 +8,15 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Kept = TypeVar("Kept")
+
 #: A sub-batch closes once it holds this many characters, so that the Python
 #: objects made from one Arrow batch stay bounded whatever the batch holds.
 SUB_BATCH_CHARS = 1_000_000
@@ -59,15 +62,42 @@ def sub_batches(texts: list[str | None], limit: int = SUB_BATCH_CHARS) -> Iterat
         yield start, len(texts)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, with what it freed given back to the system at its end: Python workers live on from task to task."""
+#: What this Python worker keeps from task to task, by the kind of task that uses it.
+_kept: dict[str, dict] = {}
+
+
+def kept(kind: str, key: Hashable, make: Callable[[], Kept]) -> Kept:
+    """The object under ``key``, made when a worker first needs it; a task of another kind drops it."""
+    held = _kept.setdefault(kind, {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def give_back() -> None:
+    """Give freed memory back to the system: Python workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def drop_kept(but: str | None) -> None:
+    """Drop what tasks of other kinds than ``but`` have left in this worker."""
+    others = [kind for kind in _kept if kind != but]
+    for kind in others:
+        del _kept[kind]
+    if others:
+        give_back()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with freed memory given back at its end; at its start all goes that ``kept`` holds for other kinds than ``keeps``."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept(keeps)
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
     return inner
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import lean, materialise, plain_columns, sub_batches
+from reelspan.llm.common import kept, lean, materialise, plain_columns, sub_batches
 from reelspan.llm.text_chunks import ChunkMemo
 
 PIECES_SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -95,14 +95,9 @@ class IdEncoder:
         return [self._whole(texts[i]) if i in whole else b"".join(p) for i, p in enumerate(parts)]
 
 
-_encoders: dict[tuple[str, str], IdEncoder] = {}
-
-
 def encoder(path: str, pattern: str) -> IdEncoder:
     """One encoder for each Python worker and vocabulary."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = IdEncoder(path, pattern)
-    return _encoders[path, pattern]
+    return kept("encoder", (path, pattern), lambda: IdEncoder(path, pattern))
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -146,7 +141,7 @@ def cut_documents(docs: DataFrame, path: str, pattern: str, capacity: int, end_i
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return plain_columns(docs, (id_col, text_col)).mapInArrow(lean(run), f"`{id_col}` {kind}, {PIECES_SCHEMA}")
+    return plain_columns(docs, (id_col, text_col)).mapInArrow(lean(run, "encoder"), f"`{id_col}` {kind}, {PIECES_SCHEMA}")
 
 
 def fill_sequences(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import lean, plain_columns, shared_dir, sub_batches
+from reelspan.llm.common import kept, lean, plain_columns, shared_dir, sub_batches
 from reelspan.llm.text_chunks import ChunkMemo
 
 KEYS = ("source", "lang", "tokenizer_version")
@@ -51,14 +51,9 @@ class Counter:
         return [list(column) for column in zip(*sums)] if sums else [[] for _ in self.encodings]
 
 
-_counters: dict[tuple, Counter] = {}
-
-
 def counter(paths: tuple[str, ...], pattern: str) -> Counter:
     """One counter for each Python worker and set of vocabularies."""
-    if (paths, pattern) not in _counters:
-        _counters[paths, pattern] = Counter(paths, pattern)
-    return _counters[paths, pattern]
+    return kept("counter", (paths, pattern), lambda: Counter(paths, pattern))
 
 
 def count_tokens(
@@ -85,7 +80,7 @@ def count_tokens(
     rows = plain_columns(docs, (id_col, text_col, source_col, lang_col))
     rows = rows.select(id_col, F.col(text_col).cast("string").alias("_text"), F.col(source_col).cast("string").alias("_source"), F.col(lang_col).cast("string").alias("_lang"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, source string, lang string, tokenizer_version string, n_tokens bigint")
+    return rows.mapInArrow(lean(run, "counter"), f"`{id_col}` {kind}, source string, lang string, tokenizer_version string, n_tokens bigint")
 
 
 class TokenRollup:
