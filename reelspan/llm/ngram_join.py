@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import lean, materialise, plain_columns
+from reelspan.llm.common import lean, materialise, plain_columns, sub_batches
 from reelspan.llm.components import connected_components
 
 #: Groups of the count vectors, sizes of one size class (greatest over least), points of a block and of a tree node.
@@ -297,19 +297,18 @@ def perhaps_among(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -
     return docs.select(id_col, text_col, bit_of(id_col).alias("_at")).mapInArrow(lean(run), f"`{id_col}` {kind}, `{text_col}` string")
 
 
-def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """(sid, hashes) of the given documents (text, sid)."""
+def set_rows(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(sid, hashes) of the documents whose id is among ``ids``, and of a few others, in one pass that moves no text."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_bits(ids, id_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets, own = [], []
-            for text, sid in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = shingle_hashes(text, words)
-                sets.append(h.tobytes())
-                own.append(set_id(h) == sid)  # rows that repeat an id may have another text
-            yield batch(["sid", "hashes"], b.column(1), pa.array(sets, pa.binary())).filter(pa.array(own, pa.bool_()))
+            texts = with_bit(b, np.asarray(b.column(1)), shared.value).column(0).to_pylist()
+            for start, end in sub_batches(texts):
+                sets = [h for h in (shingle_hashes(t, words) for t in texts[start:end]) if len(h)]
+                yield batch(["sid", "hashes"], pa.array([set_id(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary()))
 
-    return docs.mapInArrow(lean(run), "sid bigint, hashes binary")
+    return docs.select(text_col, bit_of(id_col).alias("_at")).mapInArrow(lean(run), "sid bigint, hashes binary")
 
 
 # -- cells ----------------------------------------------------------------------------
@@ -491,8 +490,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     fewer words than a shingle has one shingle, its whole sequence; one with no words, or a null
     text, has none and is linked with nothing. component_id is the least id reachable by
     links, the row's own included; equal sets are linked. Rows that repeat an id are each linked
-    by their own text. A row whose id is null gets the least id of the rows with an equal set, and
-    their links, if there are any. Other columns are ignored. No rows give no rows. Shingles
+    by their own text. A row whose id is null is linked like any other, and its component_id is null
+    only if no row with an id is reachable. Other columns are ignored. No rows give no rows. Shingles
     and sets are told apart by 64-bit hashes.
     """
     source = plain_columns(docs, (id_col, text_col))
@@ -504,11 +503,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     points = materialise(firsts.join(wanted, "sid", "left_semi"), "points")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        """The sets of the paired documents; only their texts travel."""
-        ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        named = materialise(points.select(id_col, "sid").join(ends, "sid", "left_semi"), "named")
-        texts = perhaps_among(source, named, id_col, text_col).join(named, id_col).select(text_col, "sid")
-        return materialise(set_rows(texts, words).dropDuplicates(["sid"]), "sets")
+        """The sets that are paired; a set comes from the document of least id that has it."""
+        ends = materialise(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "ends")
+        named = points.join(ends, "sid", "left_semi").select(id_col)
+        # The semi-join drops what the bitmap let through in vain.
+        own = set_rows(source, named, words, id_col, text_col).join(ends, "sid", "left_semi")
+        return materialise(own.dropDuplicates(["sid"]), "sets")
 
     def with_counts(rows: DataFrame) -> DataFrame:
         return rows.join(points.select("sid", "counts"), "sid")
