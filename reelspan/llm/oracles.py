@@ -129,6 +129,61 @@ verdicts AS (SELECT source, (f + m * k) / (n + k) <= 0.5 AS host_ok FROM hosts,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_ok, true) AS kept FROM b LEFT JOIN verdicts USING (source)
 """
 
+
+
+def _framed(column: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({column} AS VARCHAR))) || ':' || {column}, '-')"
+
+
+# Nodes of hosts' trees and of the tree of roots, run by run; proofs by lists of a run's other digests.
+MERKLE = f"""
+WITH RECURSIVE l AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce('=' || source, '') AS tree, sha256({' || '.join(map(_framed, ('doc_id', 'source', 'lang', 'n_chars', 'text')))}) AS leaf,
+    {' || '.join(map(_framed, ('doc_id', 'source', 'lang', 'n_chars')))} || {_framed(f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')")} AS changed FROM documents
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM l
+), nodes AS (
+  SELECT tree, 0 AS level, i, n, leaf AS d FROM ranked
+  UNION ALL
+  SELECT tree, level + 1, i // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, level, i // 16, n
+), subroots AS (
+  SELECT tree, d, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, i, n, d FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 16, n
+), every AS (
+  SELECT tree, level, i, n, d FROM nodes UNION ALL SELECT NULL, level, i, n, d FROM tops
+), families AS (
+  SELECT tree, level, i // 16 AS parent, list(d ORDER BY i) AS ds FROM every WHERE n > 1 GROUP BY ALL
+), depth AS (SELECT tree, max(level) AS depth FROM every GROUP BY tree),
+below AS (SELECT k, f.level AS lv, (r.i >> (4 * f.level)) % 16 AS place, ds FROM ranked r JOIN families f ON f.tree = r.tree AND f.parent = r.i >> (4 * f.level + 4)),
+above AS (
+  SELECT k, depth + f.level AS lv, (s.i >> (4 * f.level)) % 16 AS place, ds FROM ranked r JOIN depth USING (tree) JOIN subroots s USING (tree)
+  JOIN families f ON f.tree IS NULL AND f.parent = s.i >> (4 * f.level + 4)
+), steps AS (
+  SELECT k, list({{'a': array_to_string(ds[1 : place], ''), 'b': array_to_string(ds[place + 2 : len(ds)], '')}} ORDER BY lv) AS steps FROM (SELECT * FROM below UNION ALL SELECT * FROM above) GROUP BY k
+), folding AS (
+  SELECT k, coalesce(steps, []) AS steps, CASE WHEN crc % 5 = 0 THEN sha256(changed) ELSE leaf END AS d, 1 AS lv FROM ranked LEFT JOIN steps USING (k) LEFT JOIN ({{crc}}) c USING (doc_id)
+  UNION ALL
+  SELECT k, steps, sha256(steps[lv].a || d || steps[lv].b), lv + 1 FROM folding WHERE lv <= len(steps)
+), folded AS (SELECT k, arg_max(d, lv) AS folded_root, sha256(array_to_string(list_transform(any_value(steps), lambda x: x.a || x.b), '')) AS proof_sha256 FROM folding GROUP BY k)
+SELECT doc_id, leaf, s.d AS subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM ranked JOIN folded USING (k) JOIN subroots s USING (tree) CROSS JOIN (SELECT d AS root FROM tops WHERE n = 1)
+"""
+# crc32 of the decimal id: bytes one by one through the table of the reflected polynomial.
+CRC = """
+WITH RECURSIVE t AS (
+  SELECT i, CAST(i AS BIGINT) AS c, 0 AS r FROM range(256) x(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, r + 1 FROM t WHERE r < 8
+), lookup AS (SELECT i, c FROM t WHERE r = 8),
+run AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, CAST(4294967295 AS BIGINT) AS c, CAST(1 AS BIGINT) AS lv FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL SELECT doc_id, s, xor(run.c >> 8, lookup.c), lv + 1 FROM run JOIN lookup ON lookup.i = xor(run.c & 255, CAST(ascii(s[lv]) AS BIGINT)) WHERE lv <= length(s)
+) SELECT doc_id, xor(arg_max(c, lv), 4294967295) AS crc FROM run GROUP BY doc_id
+"""
+MERKLE = MERKLE.replace("{crc}", CRC)
+
 ORACLES: dict[str, str] = {
     "op3_ngram_join": NGRAM_JOIN,
     "op4_topk_search": TOPK,
@@ -136,4 +191,5 @@ ORACLES: dict[str, str] = {
     "op6_license_scan": _licenses(),
     "op7_quality_rules": QUALITY,
     "op8_byte_bpe": BYTE_BPE,
+    "op11_merkle_manifest": MERKLE,
 }

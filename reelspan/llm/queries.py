@@ -129,3 +129,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelspan.llm.license_scan import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelspan.llm.merkle import prove_documents
+
+    return prove_documents(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
