@@ -184,6 +184,28 @@ run AS (
 """
 MERKLE = MERKLE.replace("{crc}", CRC)
 
+
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds written out, all distances in each; lists of integers."""
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), vec_id, e) - 1 AS c, e FROM v QUALIFY c < {k})",
+    ]
+    for n in range(rounds + 1):
+        square = "list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, min(c) AS c, any_value(d) AS d FROM (SELECT r, c, {square} AS d FROM v, c{n} c) s WHERE true GROUP BY r, d QUALIFY row_number() OVER (PARTITION BY r ORDER BY d) = 1)")
+        if n < rounds:
+            mean = f"SELECT c, list(CAST(floor(s / m) AS BIGINT) ORDER BY i) AS e FROM (SELECT c, i, sum(x) AS s, count(*) AS m FROM (SELECT c, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM a{n} JOIN v USING (r)) GROUP BY c, i) GROUP BY c"
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(m.e, c{n}.e) AS e FROM c{n} LEFT JOIN ({mean}) m USING (c))")
+    return f"""
+WITH {', '.join(parts)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} ON c{rounds}.c = a.c
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_ngram_join": NGRAM_JOIN,
     "op4_topk_search": TOPK,
@@ -192,4 +214,5 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": QUALITY,
     "op8_byte_bpe": BYTE_BPE,
     "op11_merkle_manifest": MERKLE,
+    "op13_va_clusters": _clusters(),
 }

@@ -136,3 +136,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelspan.llm.merkle import prove_documents
 
     return prove_documents(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+@query
+def op13_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelspan.llm.va_clusters import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), F.sha2(F.concat(F.lit("2:"), F.col("id").cast("string")), 256))
