@@ -206,6 +206,58 @@ FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} ON c{rounds}.c = a.c
 """
 
 
+
+def _placed(rows: str, by: str, subject: str, pattern: str) -> str:
+    """(by, i, h, start) of a pattern's matches in the texts of ``rows``: gaps and matches before each, summed."""
+    cut = f"SELECT {by}, regexp_extract_all({subject}, {text(pattern)}) AS m, string_split_regex({subject}, {text(pattern)}) AS g FROM {rows}"
+    each = f"SELECT {by}, generate_subscripts(m, 1) AS i, unnest(m) AS h, unnest(g[1 : len(m)]) AS gap FROM ({cut}) WHERE len(m) > 0"
+    return f"""SELECT {by}, i, h, CAST(sum(length(gap)) OVER w + coalesce(sum(length(h)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+FROM ({each}) WINDOW w AS (PARTITION BY {by} ORDER BY i)"""
+
+
+def _personal_data() -> str:
+    """The patterns in their plain form; contexts of terms counted over all words of all texts."""
+    digits = "regexp_replace(h, '[^0-9]', '', 'g')"
+    luhn = f"list_sum([CASE WHEN i % 2 = 1 THEN x ELSE 2 * x - CASE WHEN x > 4 THEN 9 ELSE 0 END END for x, i in [CAST(c AS INTEGER) for c in string_split(reverse({digits}), '')]]) % 10 = 0"
+    kinds = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "lower(h)", "true"),
+        (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "h", "len(list_filter(string_split(h, '.'), lambda x: coalesce(TRY_CAST(x AS HUGEINT), 999) > 255)) = 0"),
+        (r"[0-9](?:[\x20-]?[0-9])+", digits, f"length({digits}) BETWEEN 13 AND 19 AND {luhn}"),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", digits, f"length({digits}) BETWEEN 9 AND 15"),
+    ]
+    spans = " UNION ALL ".join(
+        f"SELECT r, {k} AS kind, start, start + length(h) AS stop, '{k}:' || {entity} AS entity FROM ({_placed('d', 'r', 't', pattern)}) WHERE {valid}" for k, (pattern, entity, valid) in enumerate(kinds)
+    )
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS MATERIALIZED ({spans}),
+ordered AS (SELECT *, row_number() OVER o AS i, count(*) OVER (PARTITION BY r) AS k, max(stop) OVER (o ROWS UNBOUNDED PRECEDING) AS so_far FROM spans WINDOW o AS (PARTITION BY r ORDER BY start, stop, entity)),
+cuts AS (
+  SELECT r, coalesce(lag(so_far) OVER o, 0) AS a, start AS b, lag(entity) OVER o AS before, entity AS after FROM ordered WINDOW o AS (PARTITION BY r ORDER BY i)
+  UNION ALL SELECT r, so_far, length(t), entity, NULL FROM ordered JOIN d USING (r) WHERE i = k
+  UNION ALL SELECT r, 0, length(t), NULL, NULL FROM d WHERE r NOT IN (SELECT r FROM spans)
+), parts AS MATERIALIZED (SELECT row_number() OVER () AS c, r, a, before, after, substring(t, a + 1, b - a) AS s FROM cuts JOIN d USING (r) WHERE a < b),
+words AS MATERIALIZED (
+  SELECT c, i, h, start, lower(h) AS term, coalesce(lag(h) OVER o, '') AS p, coalesce(lead(h) OVER o, '') AS q, count(*) OVER (PARTITION BY c) AS n
+  FROM ({_placed('parts', 'c', 's', "[" + chr(92) + "p{L}" + chr(92) + "p{N}][" + chr(92) + "p{L}" + chr(92) + "p{N}_'-]*")}) WINDOW o AS (PARTITION BY c ORDER BY i)
+), near AS (
+  SELECT before AS entity, term, p, q FROM words JOIN parts USING (c) WHERE before IS NOT NULL AND i <= 8
+  UNION SELECT after, term, p, q FROM words JOIN parts USING (c) WHERE after IS NOT NULL AND i > n - 8
+), beside AS (SELECT entity, term, count(*) AS n FROM near GROUP BY ALL),
+everywhere AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT term, p, q FROM words) GROUP BY term),
+terms AS (SELECT term, b.n AS near, e.n AS n FROM (SELECT term, max(n) AS n FROM beside GROUP BY term) b JOIN everywhere e USING (term) WHERE 2 * b.n > e.n + 1),
+every AS (
+  SELECT r, kind, start, stop FROM spans
+  UNION ALL SELECT r, CASE WHEN 10 * near >= 9 * (terms.n + 1) THEN 4 ELSE 5 END, a + start, a + start + length(h) FROM words JOIN terms USING (term) JOIN parts USING (c)
+), named AS (SELECT r, kind, start, ['email', 'ip', 'card', 'phone', 'removed', 'generalised'][kind + 1] || ':' || start || ':' || stop AS x FROM every),
+joined AS (
+  SELECT r, string_agg(x, ',' ORDER BY kind, start) AS spans, string_agg(x, ',' ORDER BY kind, start) FILTER (kind < 4) AS base, {', '.join(f"count(*) FILTER (kind = {k}) AS n{k}" for k in range(4))} FROM named GROUP BY r
+)
+SELECT doc_id, {', '.join(f"CAST(coalesce(n{k}, 0) AS BIGINT) AS n_{name}" for k, name in enumerate(('email', 'ip', 'card', 'phone')))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN joined USING (r)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_ngram_join": NGRAM_JOIN,
     "op4_topk_search": TOPK,
@@ -214,5 +266,6 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": QUALITY,
     "op8_byte_bpe": BYTE_BPE,
     "op11_merkle_manifest": MERKLE,
+    "op12_sanitise": _personal_data(),
     "op13_va_clusters": _clusters(),
 }

@@ -143,3 +143,10 @@ def op13_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelspan.llm.va_clusters import cluster_vectors
 
     return cluster_vectors(table(spark, sf_dir, "embeddings"), F.sha2(F.concat(F.lit("2:"), F.col("id").cast("string")), 256))
+
+
+@query
+def op12_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelspan.llm.pii import span_digests
+
+    return span_digests(table(spark, sf_dir, "documents"))
