@@ -8,11 +8,12 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Kept = TypeVar("Kept")
@@ -44,6 +45,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(rows: DataFrame, order: Sequence[Column], within: str = "tree") -> DataFrame:
+    """``rows`` with lo = hi = rank among those of equal ``within`` (never null), from 0, and n, their number.
+
+    Rows are dealt by range, so a group of any size spreads; ranks are places in a part plus the
+    rows of the parts before. ``order`` sorts null first; rows that it doesn't tell apart must be equal.
+    """
+    sorted_by = [F.col(within).asc(), *[c.asc_nulls_first() for c in order]]
+    # The row number lets rows that are equal throughout fall into several parts.
+    dealt = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*sorted_by, F.col("_row"))
+    dealt = materialise(dealt.withColumn("_part", F.spark_partition_id()).drop("_row"), "ranked")
+    # A row for each part that a group lies in.
+    sizes = dealt.groupBy(within, "_part").agg(F.count("*").alias("_n"))
+    of_group = Window.partitionBy(within).orderBy("_part")
+    before = F.coalesce(F.sum("_n").over(of_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(within, "_part", before.alias("_before"), F.sum("_n").over(Window.partitionBy(within)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(within, "_part").orderBy(*[c.asc_nulls_first() for c in order])) - 1
+    numbered = dealt.withColumn("_place", place).join(sizes, [within, "_part"]).withColumn("lo", (F.col("_place") + F.col("_before")).cast("bigint"))
+    return numbered.withColumn("hi", F.col("lo")).drop("_part", "_place", "_before")
+
+
 def crc_bucket(column: Column | str, buckets: int) -> Column:
     """crc32 of a value's text, modulo ``buckets``; null goes to bucket 0."""
     column = F.col(column) if isinstance(column, str) else column
@@ -62,6 +83,18 @@ def sub_batches(texts: list[str | None], limit: int = SUB_BATCH_CHARS) -> Iterat
         yield start, len(texts)
 
 
+def sub_arrays(texts: pa.Array, limit: int = SUB_BATCH_CHARS) -> Iterator[tuple[int, int]]:
+    """``sub_batches`` of a text column by its bytes, without making any text a Python object."""
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()):
+        size += n + 16
+        if size >= limit:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 #: What this Python worker keeps from task to task, by the kind of task that uses it.
 _kept: dict[str, dict] = {}
 
@@ -102,6 +135,18 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ke
     return inner
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, at most so many rows at a time go to Python; what stays lazy beyond it goes by the session's own setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def plain_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Only the named columns, so that extra columns of the input can't clash with ours."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

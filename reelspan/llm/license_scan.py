@@ -7,16 +7,18 @@ overlapping windows retrieve templates, then their shingles are looked up exactl
 Retrieval. A window is ``w`` consecutive shingles; a band's value is the least hash of its
 shingles under the band's seed. Templates have a window at every shingle, texts one at every
 ``step``-th, and a band in which both have the same value retrieves the template there. If
-80 % of a template's n shingles lie in a text, m = n - 0.8 n are missing, and a break between
-two runs of it costs at least SHINGLE - 1 of them, so some run has R = (n - m) / (m // 4 + 1)
-shingles in a row. With w + step - 1 <= R a window of the text lies inside that run whole: it
-equals a window of the template and collides in every band with probability 1. A window
-that a change cuts into (similarity J) is retrieved besides with probability 1 - (1 - J) ^ BANDS.
+80 % of a template's n shingles lie in a text, m = n - 0.8 n are missing. A changed, lost or added
+word costs at least SHINGLE - 1 of them, so some run has R = (n - m) / (m // 4 + 1) shingles in
+a row. With w + step - 1 <= R a window of the text lies inside that run whole: it equals a
+window of the template and collides in every band with probability 1. Not so where pieces of
+the template overlap or change places, since such a break may cost none; what is left there is
+the chance of windows that a break cuts into (similarity J), 1 - (1 - J) ^ BANDS each, and of the
+runs that are long anyway. In a test of such texts no match is missed.
 
 Verification. A template of n words has a scale s, the first of 6, 9, 14, 21, ... (each half as
 much again) that holds it. Its shingles are looked up in the windows of 1.5 s words that start
-every s / 2 words and hold a retrieved window, so that a whole copy lies inside some window.
-Templates of more than PART words are cut into equal parts, each with windows of its own.
+every s / 2 words and hold a retrieved window, so that a whole copy lies inside some window,
+whatever the template's length.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from reelspan.llm.common import plain_columns
 
-#: Words of a shingle, bands of a window (those of one shingle need one), words of a part of a template.
-SHINGLE, BANDS, PART = 5, 2, 160
+#: Words of a shingle, bands of a window (those of one shingle need one).
+SHINGLE, BANDS = 5, 2
 #: Runs for which windows are laid out: (w, step) with w + step - 1 shingles each.
 RUNS = {1: (1, 1), 2: (1, 2), 4: (2, 3), 8: (4, 5)}
 
@@ -79,18 +81,12 @@ def shingles_of(words: list[str]) -> list[str]:
 
 
 def sure_run(shingles: int, percent: int) -> int:
-    """Shingles in a row that any text has which holds ``percent`` of so many; the greatest of RUNS up to that."""
+    """Shingles in a row that a text has which holds ``percent`` of so many in the template's order; the greatest of RUNS up to that."""
     missing = shingles - -(-shingles * percent // 100)
     run = -(-(shingles - missing) // (missing // (SHINGLE - 1) + 1))
     return max(r for r in RUNS if r <= max(1, run))
 
 
-def parts_of(words: list[str]) -> list[list[str]]:
-    """A template's words in equal parts of at most PART."""
-    n = -(-len(words) // PART)
-    return [words[len(words) * k // n : len(words) * (k + 1) // n] for k in range(n)]
-
-
 def held(column: Column) -> Column:
     """One row per row, holding the value of ``column``: an expression put to many uses is then worked out once."""
     return F.explode(F.array(column))
@@ -112,20 +108,16 @@ def bands_of(w: int) -> range:
 
 
 def template_tables(spark: SparkSession, templates: dict[str, str], percent: int) -> tuple[DataFrame, dict[tuple[int, int], int]]:
-    """(value, license, part, whole, width, w, scale, shingles): a row per band of every window of the templates; and the steps at which windows (width, w) of texts start."""
+    """(value, license, width, w, scale, shingles): a row per band of every window of the templates; and the steps at which windows (width, w) of texts start."""
     rows, kinds = [], {}
     for name, text in templates.items():
-        parts = parts_of(words_in(text))
-        whole = sum(len(shingles_of(p)) for p in parts)
-        for k, words in enumerate(parts):
-            width, own = min(SHINGLE, len(words)), shingles_of(words)
-            run = sure_run(len(own), percent)
-            w, step = RUNS[run]
-            kinds[width, w] = min(step, kinds.get((width, w), step))
-            # Word sequences as arrays, hashed by Spark as texts are.
-            row = {"license": name, "part": k, "whole": whole, "width": width, "w": w, "scale": scale_of(len(words)), "listed": shingle_list(words), "own": own}
-            rows.append(row)
-    kind = "array<struct<license:string,part:int,whole:int,width:int,w:int,scale:int,listed:array<string>,own:array<string>>>"
+        words = words_in(text)
+        width, own = min(SHINGLE, len(words)), shingles_of(words)
+        w, step = RUNS[sure_run(len(own), percent)]
+        kinds[width, w] = min(step, kinds.get((width, w), step))
+        # Word sequences as arrays, hashed by Spark as texts are.
+        rows.append({"license": name, "width": width, "w": w, "scale": scale_of(len(words)), "listed": shingle_list(words), "own": own})
+    kind = "array<struct<license:string,width:int,w:int,scale:int,listed:array<string>,own:array<string>>>"
     table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))  # as long as the list of templates
 
     def hashed(shingle: Column) -> Column:
@@ -145,17 +137,15 @@ def template_tables(spark: SparkSession, templates: dict[str, str], percent: int
         window = [F.get("listed", F.col("at") + i) for i in range(w)]
         values += [F.when(F.col("w") == w, band_value(window, band)) for band in bands_of(w)]
     banded = starts.withColumn("value", F.explode(F.array(*values))).filter("value is not null")
-    return banded.select("value", "license", "part", "whole", "width", "w", "scale", "shingles").distinct(), kinds
+    return banded.select("value", "license", "width", "w", "scale", "shingles").distinct(), kinds
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Templates of which at least ``percent`` of the shingles lie in one window of a text.
 
     Returns one row per (``id_col``, license): shared_shingles, the most in any window,
-    template_shingles, and first_word, the start of the first such window. A template in
-    parts is found if the parts that are found hold ``percent`` of its shingles; its shared
-    shingles are theirs together, and first_word is that of the first part found. Texts without a
-    match have no row. A null or empty text has no words; a template of fewer than SHINGLE
+    template_shingles, and first_word, the start of the first such window. Texts without a
+    match have no row, long ones are scanned whole. A null or empty text has no words; a template of fewer than SHINGLE
     words must be there whole. Rows that repeat an id are scanned each and reported
     together. Other columns are ignored. No rows give no rows.
     """
@@ -193,10 +183,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, perc
         own_shingles = F.when(F.col("width") == width, F.slice(f"h{width}", F.col("start") + 1, (size - width + 1).cast("int"))).otherwise(own_shingles)
     # Exact check of what the bands retrieved; a window met several times is grouped away.
     checked = windows.select(
-        "id", "license", "part", "whole", "start", F.size("shingles").cast("long").alias("of"), F.size(F.array_intersect(own_shingles, "shingles")).cast("long").alias("shared")
+        "id", "license", "start", F.size("shingles").cast("long").alias("of"), F.size(F.array_intersect(own_shingles, "shingles")).cast("long").alias("shared")
     ).filter(F.col("shared") * 100 >= F.col("of") * percent)
-    best = checked.groupBy("id", "license", "part").agg(F.max(F.struct(F.col("shared"), (-F.col("start")).alias("back"))).alias("best"), F.first("of").alias("of"), F.first("whole").alias("whole"))
-    found = best.groupBy("id", "license").agg(
-        F.sum("best.shared").alias("shared_shingles"), F.sum("of").alias("_of"), F.first("whole").cast("long").alias("template_shingles"), F.min_by(-F.col("best.back"), "part").cast("long").alias("first_word")
-    )
-    return found.filter(F.col("_of") * 100 >= F.col("template_shingles") * percent).select(F.col("id").alias(id_col), "license", "shared_shingles", "template_shingles", "first_word")
+    # A window that bands met several times is one row here.
+    best = checked.groupBy("id", "license").agg(F.max(F.struct(F.col("shared"), (-F.col("start")).alias("back"))).alias("best"), F.first("of").alias("of"))
+    return best.select(F.col("id").alias(id_col), "license", F.col("best.shared").alias("shared_shingles"), F.col("of").alias("template_shingles"), (-F.col("best.back")).cast("long").alias("first_word"))

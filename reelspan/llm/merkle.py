@@ -18,10 +18,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import materialise
+from reelspan.llm.common import materialise, ranked
 
 FAN = 16
 #: Steps from a node up to the root: what stands left and right of it under each ancestor.
@@ -60,26 +60,6 @@ def siblings_digest(path: Column) -> Column:
     return sha(F.array_join(F.transform(path, lambda x: F.concat(x.left, x.right)), ""))
 
 
-def ranked(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """``rows`` (tree and others) with lo = hi = rank within the tree, from 0, and n, the tree's rows.
-
-    Rows are dealt by range, so a tree of any size spreads; ranks are places in a part plus the
-    rows of the parts before. ``order`` sorts null first; rows that it doesn't tell apart must be equal.
-    """
-    sorted_by = [F.col("tree").asc(), *[c.asc_nulls_first() for c in order]]
-    # The row number lets rows that are equal throughout fall into several parts.
-    dealt = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*sorted_by, F.col("_row"))
-    dealt = materialise(dealt.withColumn("_part", F.spark_partition_id()).drop("_row"), "merkle-parts")
-    # A row for each part that a tree lies in.
-    sizes = dealt.groupBy("tree", "_part").agg(F.count("*").alias("_n"))
-    of_tree = Window.partitionBy("tree").orderBy("_part")
-    before = F.coalesce(F.sum("_n").over(of_tree.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("tree", "_part", before.alias("_before"), F.sum("_n").over(Window.partitionBy("tree")).alias("n"))
-    place = F.row_number().over(Window.partitionBy("tree", "_part").orderBy(*[c.asc_nulls_first() for c in order])) - 1
-    numbered = dealt.withColumn("_place", place).join(sizes, ["tree", "_part"]).withColumn("lo", (F.col("_place") + F.col("_before")).cast("bigint"))
-    return numbered.withColumn("hi", F.col("lo")).drop("_part", "_place", "_before")
-
-
 @dataclass
 class Forest:
     """Levels above the leaves, each (tree, lo, hi, n, digest, children), and the roots (tree, digest)."""

@@ -6,28 +6,31 @@ clockwise, so equal texts start together. A shard has room for its exact share o
 rows: documents that find it full go on clockwise to the next shard with room, which
 makes the counts at most one apart and moves only what overflows.
 
-A text that makes up more than 1/(8 x shards) of the rows would weigh down its cell, so its
-copies are dealt by document id instead; there are fewer than 8 x shards such texts. The
-filling is worked out from the number of documents per cell, a table of fixed size.
+Rows of a cell stand in order of their texts, so a group of equal texts is cut only where it meets
+a full shard. Ranks within cells come from a range partitioning, whatever part of the rows
+one text has. The filling is worked out from the number of documents per cell, a table of
+fixed size.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import materialise, plain_columns
+from reelspan.llm.common import materialise, plain_columns, ranked
 
 PLAN_SCHEMA = "array<struct<c:int,lo:bigint,hi:bigint,shard:int,base:bigint>>"
 
 
 def ring_nodes(spark: SparkSession, shards: int, virtual_nodes: int, cells: int) -> list[tuple[int, int]]:
-    """(cell, shard) of every virtual node in clockwise order; on one cell the lowest shard comes first."""
-    nodes = spark.range(shards * virtual_nodes).select(
-        F.pmod(F.xxhash64(F.lit("node"), F.col("id")), F.lit(cells)).alias("cell"), (F.col("id") % shards).alias("shard")
-    )
+    """(cell, shard) of every virtual node in clockwise order; on one cell the lowest shard comes first.
+
+    A node's place depends on its shard and its number alone, so one more shard leaves all others where they are.
+    """
+    shard, number = F.expr(f"id div {virtual_nodes}"), F.col("id") % virtual_nodes
+    nodes = spark.range(shards * virtual_nodes).select(F.pmod(F.xxhash64(F.lit("node"), shard, number), F.lit(cells)).alias("cell"), shard.alias("shard"))
     return sorted((r.cell, r.shard) for r in nodes.collect())
 
 
@@ -74,8 +77,8 @@ def shard_documents(
     Returns ``id_col``, size (UTF-8 bytes of the text, none for null, plus 16), text_crc32
     (0 for null), law ('rows': shard sizes in rows differ by one at most), shard, slot (gapless
     from 0 in each shard) and grown_shard (null under this law). Null ids and repeated rows
-    are placed like any other; rows that are equal throughout may swap slots. Other columns
-    are ignored. No rows give no rows.
+    are placed like any other; rows that are equal throughout may swap slots. Rows of null texts
+    go by their id. Texts are hashed whole. Other columns are ignored. No rows give no rows.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
@@ -85,22 +88,16 @@ def shard_documents(
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
         F.when(text.isNull(), F.xxhash64(F.lit("id"), id_col)).otherwise(F.xxhash64(text)).alias("_key"),
     )
-    rows = materialise(rows, "shard-rows")
-    total = rows.count()
-    # Fewer than 8 * shards keys can pass, by counting.
-    hot = rows.groupBy("_key").count().filter(F.col("count") * (8 * shards) > total).select("_key", F.lit(True).alias("_hot"))
-    placed = rows.join(F.broadcast(hot), "_key", "left").withColumn(
-        "_key", F.when(F.col("_hot"), F.xxhash64(F.col("_key"), F.col(id_col))).otherwise(F.col("_key"))
-    )
-    placed = placed.withColumn("_cell", F.pmod(F.col("_key"), F.lit(cells)).cast("int")).drop("_hot")
+    placed = materialise(rows.withColumn("_cell", F.pmod(F.col("_key"), F.lit(cells)).cast("int")), "shard-rows")
     counts = {r._cell: r.n for r in placed.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
     plan = fill(counts, ring_nodes(spark, shards, virtual_nodes, cells), shards, cells)
     text_of_plan = json.dumps([dict(zip(("c", "lo", "hi", "shard", "base"), s)) for s in plan], separators=(",", ":"))
     # At most one row per cell and one more per walk on: a table of fixed size.
     segments = spark.range(1).select(F.inline(F.from_json(F.lit(text_of_plan), PLAN_SCHEMA)))
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy("_key", id_col, "text_crc32", "size")) - 1)
+    order = [F.col(c) for c in ("_key", "text_crc32", "size", f"`{id_col}`")]
+    ordered = ranked(placed, order, "_cell").select(F.col(f"`{id_col}`"), "size", "text_crc32", "_cell", F.col("lo").alias("_rank"))
     inside = (F.col("_cell") == F.col("c")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))
-    return ranked.join(F.broadcast(segments), inside).select(
+    return ordered.join(F.broadcast(segments), inside).select(
         id_col,
         "size",
         "text_crc32",
