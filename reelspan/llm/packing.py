@@ -156,7 +156,9 @@ def fill_sequences(pieces: DataFrame, capacity: int, id_col: str = "doc_id") ->
         "_class",
         F.greatest(F.lit(1), F.expr(f"count div greatest({BUCKET_PIECES}, {BUCKET_SEQUENCES} * _class)")).alias("_buckets"),
     )
-    dealt = sized.join(F.broadcast(buckets), "_class").withColumn("_hash", F.xxhash64(id_col, "start"))
+    # By the row number where there is one, so that pieces of one id, or of none, fall into all buckets.
+    number = [c for c in ("_row",) if c in pieces.columns]
+    dealt = sized.join(F.broadcast(buckets), "_class").withColumn("_hash", F.xxhash64(id_col, "start", *number))
     dealt = dealt.withColumn("_bucket", F.pmod(F.col("_hash"), F.col("_buckets")))
     group = Window.partitionBy("_class", "_bucket")
     ranked = dealt.withColumn("_rank", F.row_number().over(group.orderBy("_hash", id_col, "start")) - 1)
@@ -179,6 +181,6 @@ def pack_documents(
     packed as often as they occur; ties in the order within a bucket are between equal
     rows. Other columns of the input are ignored. No rows give no rows.
     """
-    pieces = materialise(cut_documents(docs, path, pattern, capacity, end_id, id_col, text_col), "pieces")
+    pieces = materialise(cut_documents(docs, path, pattern, capacity, end_id, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     placed = fill_sequences(pieces, capacity, id_col)
     return placed.select(id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -108,3 +108,14 @@ def test_packing_odd_rows(odd):
     assert rows(packed.filter("doc_id = 1"), "start", "length", "doc_tokens") == [(0, 1, 1)]
     assert packed.filter("doc_id = 4 and start = 0").count() == 2 and packed.filter("doc_id is null").count() == 1
     assert pack_documents(odd.limit(0), JSON, P.PATTERN).count() == 0
+
+
+def test_pieces_of_one_id_fall_into_all_buckets(spark):
+    from reelspan.llm.packing import fill_sequences
+
+    pieces = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "0L AS start", "100L AS length", "id AS _row")
+    out = fill_sequences(pieces, 1024).selectExpr("(sequence_id >> 20) & 2147483647 AS bucket", "sequence_id", "offset").cache()
+    per = [r[1] for r in out.groupBy("bucket").count().collect()]
+    assert len(per) >= 20 and max(per) < 3 * 20_000 / len(per)
+    assert out.groupBy("sequence_id").agg({"offset": "max"}).filter("`max(offset)` > 900").count() == 0
+    out.unpersist()
