@@ -29,10 +29,12 @@ RESULT_SCHEMA = "query_id bigint, vec_id bigint, score bigint"
 
 
 def exact_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Integer inner products; in floating point where every partial sum is exact in it."""
+    """Integer inner products; in floating point where every partial sum is exact in it. An error where one could pass 64 bits."""
     widest = np.abs(queries).max(initial=0).astype(float) * np.abs(vectors).max(initial=0).astype(float) * queries.shape[1]
     if widest < 2.0**52:
         return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
+    if widest >= 2.0**63:
+        raise ValueError("components are too large: an inner product could pass 64 bits")
     return queries @ vectors.T
 
 
@@ -134,8 +136,8 @@ def topk_inner_products(
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id. Rows whose id is
     null, or whose vector is null, empty, or holds null or non-finite components, take no part.
     Vectors meet only vectors of their own dimension. Rows that repeat an id are candidates
-    each but make one query, and no row with a query's id is a result of it. Other columns
-    are ignored. No rows, or no queries, give no rows.
+    each but make one query, and no row with a query's id is a result of it. Components so large that
+    a product could pass 64 bits raise an error. Other columns are ignored. No rows, or no queries, give no rows.
     """
     spark = vectors.sparkSession
     rows = materialise(integer_vectors(vectors, is_query, scale, id_col, vector_col), "vectors")

@@ -155,3 +155,14 @@ def test_topk_ties_and_repeats(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)] + [(7, [1.0, 2.0])], "vec_id bigint, embedding array<float>")
     out = rows(topk_inner_products(df, F.col("vec_id") == 7, k=3), "query_id", "rank", "vec_id")
     assert out == [(7, 1, 0), (7, 2, 1), (7, 3, 2)]
+
+
+def test_products_that_could_wrap_are_an_error():
+    import numpy as np
+
+    from reelspan.llm.topk_search import exact_products
+
+    wide = np.array([[1 << 30, -(1 << 30)]])
+    assert exact_products(wide, wide)[0, 0] == 1 << 61
+    with pytest.raises(ValueError, match="too large"):
+        exact_products(wide << 10, wide << 10)
