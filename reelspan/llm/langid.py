@@ -196,7 +196,12 @@ def train_language_model(
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> ByteGRU | None:
-    """Fit on at most ``per_language`` documents of each language among the rows that are ``allowed``; None without any."""
+    """Fit on at most ``per_language`` documents of each language among the rows that are ``allowed``; None without any.
+
+    Documents are taken by a hash of the id (ties by the id), windows equally spaced over each whole text.
+    Rows with a null id, text or language, and texts without a letter, teach nothing; an id that repeats
+    counts once, with its text of least hash and, if it has several languages, one of them. Other columns are ignored.
+    """
     sample = sample_windows(docs, allowed, per_language, per_document, id_col, text_col, lang_col)
     if not sample:
         return None

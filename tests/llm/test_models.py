@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelspan.llm.common import crc_bucket
 from reelspan.llm.langid import STEPS, ByteGRU, predict_language, train_language_model
-from reelspan.llm.toxicity import best_cut, score_toxicity, train_toxicity
+from reelspan.llm.toxicity import EMBED, FILTERS, TABLE, WIDTHS, Scorer, ToxicityModel, best_cut, features, score_toxicity, train_toxicity, words_of
 
 TONGUES = {"en": ["the", "thing", "other", "with", "whole", "that"], "de": ["schön", "über", "nicht", "größe", "straße", "und"], "fr": ["être", "château", "leçon", "aux", "où", "les"]}
 
@@ -102,3 +102,74 @@ def test_toxicity_on_odd_rows(spark, odd):
 def test_best_cut():
     cut = best_cut(np.array([5.0, 4.0, 1.0, 0.0]), np.array([1, 1, 0, 0]))
     assert 1 < cut < 4
+
+
+def plain_response(model, text):
+    """Hashed embeddings, every window of every filter, the greatest response, a rectifier and the output unit, in loops."""
+    words = words_of(text)
+    vectors = [sum(model.embedding[b].astype(float) for b in features(w)) for w in words]
+    pooled = []
+    for width, f in zip(WIDTHS, model.filters):
+        for k in range(FILTERS):
+            best = 0.0 if not words else max(
+                sum(vectors[i + j] @ f[j, :, k].astype(float) for j in range(width) if i + j < len(words)) for i in range(len(words))
+            )
+            pooled.append(best)
+    hidden = [max(0.0, p + float(b)) for p, b in zip(pooled, model.bias)]
+    return sum(h * float(o) for h, o in zip(hidden, model.output)) + float(model.offset)
+
+
+def plain_guess(model, text):
+    votes = np.zeros(len(model.languages))
+    for w in words_of(text):
+        votes += model.language_table[features(w)[0]]
+    return int(votes.argmax()) if words_of(text) else -1
+
+
+def test_scorer_equals_a_plain_forward_pass():
+    rng, model = np.random.default_rng(1), ToxicityModel()
+    model.bias, model.output, model.offset = rng.normal(size=len(model.bias)) * 0.1, rng.normal(size=len(model.output)), np.float32(0.3)
+    model.languages, model.language_table = ["en", "fr"], rng.normal(size=(TABLE, 2)).astype(np.float32)
+    model.cuts, model.cut = {"en": 0.2, "fr": -0.1}, 0.05
+    assert model.embedding.shape == (TABLE, EMBED)
+    words = [f"{a}{b}word" for a in "abcdefghij" for b in "uvwxyz"] + ["as", "über", "l"]
+    pick = random.Random(2)
+    texts = [None, "", "12 !?", "one", "two words", *[" ".join(pick.choice(words) for _ in range(pick.randrange(1, 40))) for _ in range(60)]]
+    scorer = Scorer(model)
+    response, guess = scorer.respond([words_of(t) for t in texts])
+    assert guess.tolist() == [plain_guess(model, t) for t in texts]
+    assert np.allclose(response, [plain_response(model, t) for t in texts], atol=1e-4)
+    cuts = [model.cuts[model.languages[g]] if g >= 0 else model.cut for g in guess]
+    assert np.allclose(scorer.scores([words_of(t) for t in texts]), [1 / (1 + np.exp(c - r)) for r, c in zip(response, cuts)], atol=1e-6)
+
+
+def plain_pooled(net, raw):
+    """Every window read byte by byte in both directions; the mean of the labels of all bytes that aren't NUL."""
+    k, w, total = net.units, {n: v.astype(float) for n, v in net.w.items()}, np.zeros(len(net.languages))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for a in range(0, len(raw), STEPS):
+        window = raw[a : a + STEPS].ljust(STEPS, b"\0")
+        states = []
+        for d, order in enumerate((range(STEPS), range(STEPS - 1, -1, -1))):
+            h, seen = np.zeros(k), {}
+            for t in order:
+                x, g = w["x"][d][:, window[t]], w["u"][d] @ h
+                z, r = sigmoid(x[:k] + g[:k]), sigmoid(x[k : 2 * k] + g[k : 2 * k])
+                n = np.tanh(x[2 * k :] + r * (g[2 * k :] + w["b"][d][:, 0]))
+                h = (1 - z) * n + z * h
+                seen[t] = h
+            states.append(seen)
+        for t in range(STEPS):
+            if window[t]:
+                e = np.exp(w["o"][0] @ states[0][t] + w["o"][1] @ states[1][t] + w["c"][:, 0])
+                total += e / e.sum()
+    return total / total.sum()
+
+
+def test_pooled_labels_equal_a_plain_loop():
+    net = ByteGRU(["a", "b", "c"], units=4)
+    net.w["c"] += np.array([[0.2], [0.0], [-0.3]], np.float32)
+    rng = random.Random(5)
+    texts = [bytes(rng.randrange(1, 256) for _ in range(n)) for n in (1, 5, STEPS - 1, STEPS, STEPS + 1, 3 * STEPS + 7)] + [b"nul\0inside", "größe".encode()]
+    assert np.allclose(net.pooled(texts), [plain_pooled(net, t) for t in texts], atol=1e-5)
+    assert np.allclose(net.pooled(texts, width=2), net.pooled(texts), atol=1e-6)
