@@ -57,20 +57,25 @@ def measure(text: str) -> tuple[int, int, int, int, int]:
     )
 
 
-def measure_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per document: ``id_col``, host (text, may be null) and FEATURES; null texts have no words."""
+def measure_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", inside: bool = False) -> DataFrame:
+    """One row per document: ``id_col``, host (text, may be null) and FEATURES; null texts have no words.
+
+    ``inside``: text and host are fields of the struct ``id_col``, so a whole row goes along and its text is sent once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure(t or "") for t in batch.column(1).to_pylist()]
-            values = np.array(rows, dtype=np.int64).reshape(len(rows), len(FEATURES))
+            texts, hosts = (batch.column(0).field(text_col), batch.column(0).field(host_col).cast("string")) if inside else (batch.column(1), batch.column(2))
+            values = np.empty((len(texts), len(FEATURES)), dtype=np.int64)
+            for i, t in enumerate(texts):
+                values[i] = measure(t.as_py() or "")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *[pa.array(values[:, k]) for k in range(len(FEATURES))]],
+                [batch.column(0), hosts, *[pa.array(values[:, k]) for k in range(len(FEATURES))]],
                 names=[id_col, "host", *FEATURES],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    wanted = plain_columns(docs, (id_col, text_col, host_col)).withColumn(host_col, F.col(host_col).cast("string"))
+    wanted = plain_columns(docs, (id_col,)) if inside else plain_columns(docs, (id_col, text_col, host_col)).withColumn(host_col, F.col(host_col).cast("string"))
     return wanted.mapInArrow(lean(run), f"`{id_col}` {kind}, host string, " + ", ".join(f"{f} bigint" for f in FEATURES))
 
 
@@ -102,7 +107,7 @@ def host_verdicts(checked: DataFrame, limit: float = 0.5) -> DataFrame:
 
 
 def apply_quality_rules(
-    docs: DataFrame, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
+    docs: DataFrame, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", inside: bool = False
 ) -> DataFrame:
     """Judge every document by its own text and by its host.
 
@@ -110,18 +115,19 @@ def apply_quality_rules(
     repeated 8-word windows), kept and host_rate. A document counts against its host when it
     fails so, or when symbols make up more than a tenth of its word characters. kept is false
     if base_failed or if the host's shrunk rate of failures is over ``limit``. A null text
-    has no words and fails; a null host has no verdict. Repeated rows count each; other
-    columns are ignored; no rows give no rows.
+    has no words and fails; a null host has no verdict. Long texts are taken whole, one at a time.
+    Repeated rows count each; other columns are ignored; no rows give no rows. ``inside``: text
+    and host are fields of the struct ``id_col``.
     """
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    measured = materialise(measure_documents(docs, id_col, text_col, host_col).withColumn("base_failed", base), "quality")
+    measured = materialise(measure_documents(docs, id_col, text_col, host_col, inside).withColumn("base_failed", base), "quality")
     failed = F.col("base_failed") | (10 * F.col("n_symbols") > F.col("word_chars"))
     hosts = materialise(host_verdicts(measured.select("host", failed.alias("failed")), limit).select("host", "shrunk_rate", "host_ok"), "hosts")
     if hosts.count() <= BROADCAST_HOSTS:
         judged = measured.join(F.broadcast(hosts), "host", "left")
     else:  # a hot host's documents are dealt over SALTS keys
         salted = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        judged = measured.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, ["host", "_salt"], "left")
+        judged = measured.withColumn("_salt", F.pmod(F.xxhash64(id_col, *FEATURES), F.lit(SALTS)).cast("int")).join(salted, ["host", "_salt"], "left")
     return judged.select(
         id_col,
         *FEATURES,

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import lean, materialise, plain_columns, sub_batches
+from reelspan.llm.common import lean, materialise, plain_columns, sub_arrays
 from reelspan.llm.ngram_join import bit_of, id_bits, with_bit
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -216,7 +216,7 @@ def best_cut(response: np.ndarray, labels: np.ndarray, weights: np.ndarray | Non
 class Scorer:
     """Applies a model; what each distinct word adds to every filter is kept, up to a bound."""
 
-    CAP = 150_000
+    CAP = 60_000
 
     def __init__(self, model: ToxicityModel):
         self.model = model
@@ -290,7 +290,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(response - cuts[guess], -30, 30)))
 
 
-def word_batches(docs: list[list[str]], limit: int = 150_000) -> Iterator[tuple[int, int]]:
+def word_batches(docs: list[list[str]], limit: int = 50_000) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, words in enumerate(docs):
         size += len(words) + 2
@@ -365,10 +365,10 @@ def response_counts(docs: DataFrame, known: DataFrame, taken: DataFrame, model:
         scorer = Scorer(shared.value)
         for batch in batches:
             batch = with_bit(batch, np.asarray(batch.column(2)), bits.value)
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             response, guess = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-            for a, b in sub_batches(texts):
-                response[a:b], guess[a:b] = scorer.respond([words_of(t) for t in texts[a:b]])
+            for a, b in sub_arrays(texts):
+                response[a:b], guess[a:b] = scorer.respond([words_of(t) for t in texts.slice(a, b - a).to_pylist()])
             bins = np.floor(np.clip(response, -MOST_RESPONSE, MOST_RESPONSE) * BINS).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(guess), pa.array(bins)], names=[id_col, "guess", "bin"])
 
@@ -380,9 +380,11 @@ def response_counts(docs: DataFrame, known: DataFrame, taken: DataFrame, model:
     return [tuple(r) for r in rows.groupBy("guess", label, "bin", was).count().select("guess", "label", "bin", "fitted", "count").collect()]
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text", inside: bool = False) -> DataFrame:
     """(``id_col``, score, predicted) for every row, from its whole text.
 
+    ``inside``: the text is a field of the struct ``id_col``, so a whole row goes along and its text is sent once.
+
     A null or wordless text has the response of a blank text; without a model the score is 0.
     Repeated rows get equal scores; columns other than the two named are ignored; no rows give
     no rows.
@@ -392,14 +394,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).field(text_col) if inside else batch.column(1)
             scores = np.zeros(len(texts))
-            for a, b in sub_batches(texts):
+            for a, b in sub_arrays(texts):
                 if scorer:
-                    scores[a:b] = scorer.scores([words_of(t) for t in texts[a:b]])
+                    scores[a:b] = scorer.scores([words_of(t) for t in texts.slice(a, b - a).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"]
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return plain_columns(docs, (id_col, text_col)).mapInArrow(lean(run), f"`{id_col}` {kind}, score double, predicted int")
+    wanted = plain_columns(docs, (id_col,) if inside else (id_col, text_col))
+    return wanted.mapInArrow(lean(run), f"`{id_col}` {kind}, score double, predicted int")

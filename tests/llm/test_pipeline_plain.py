@@ -80,8 +80,8 @@ def fixture():
 
 
 def test_run_equals_the_plain_version(spark, tmp_path, monkeypatch):
-    def verdicts(docs, model, id_col="doc_id", text_col="text"):
-        return docs.selectExpr(id_col, "0D AS score", "int(text like '% bad%') AS predicted")
+    def verdicts(docs, model, id_col="doc_id", text_col="text", inside=False):
+        return docs.selectExpr(id_col, "0D AS score", f"int({id_col}.text like '% bad%') AS predicted")
 
     monkeypatch.setattr(corpus_pipeline, "train_toxicity", lambda docs, labels, allowed: ToxicityModel())
     monkeypatch.setattr(corpus_pipeline, "score_toxicity", verdicts)

@@ -31,8 +31,8 @@ def test_toxic_rows_go_one_by_one(spark, monkeypatch):
     def toxic_if_bad(docs, labels, allowed):
         return ToxicityModel()
 
-    def verdicts(docs, model, id_col="doc_id", text_col="text"):
-        return docs.selectExpr(id_col, "0D AS score", "int(text like '%bad%') AS predicted")
+    def verdicts(docs, model, id_col="doc_id", text_col="text", inside=False):
+        return docs.selectExpr(id_col, "0D AS score", f"int({id_col}.text like '%bad%') AS predicted")
 
     monkeypatch.setattr(corpus_pipeline, "train_toxicity", toxic_if_bad)
     monkeypatch.setattr(corpus_pipeline, "score_toxicity", verdicts)
