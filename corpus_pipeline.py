@@ -10,21 +10,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import crc_bucket, materialise
+from reelspan.llm.common import crc_bucket, materialise, small_batches
 from reelspan.llm.ngram_join import jaccard_components
 from reelspan.llm.packing import pack_documents
 from reelspan.llm.quality_rules import apply_quality_rules
 from reelspan.llm.toxicity import score_toxicity, train_toxicity
 
 
-#: Name of a whole row where it stands for its id, and rows that go to Python at a time: a batch holds them and their texts twice.
+#: Name of a whole row where it stands for its id, and rows that go to Python at a time within a stage.
 WHOLE, BATCH_ROWS = "_whole_row", 500
 
 
 def whole(docs: DataFrame) -> DataFrame:
-    """(WHOLE, text, source): an operator that returns the id of a row so returns the row itself."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(WHOLE), "text", "source")
+    """Rows as one struct: an operator that reads the text inside and returns the id of a row so returns the row itself."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(WHOLE))
 
 
 def free_name(docs: DataFrame, name: str) -> str:
@@ -40,7 +39,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null, empty or blank text fails (it has under 20 words); a null source belongs to no host and is
     judged by its own rules alone. Equal rows get equal verdicts and all stay or all go.
     """
-    return apply_quality_rules(whole(docs), id_col=WHOLE).filter("kept").select(f"{WHOLE}.*")
+    with small_batches(spark, BATCH_ROWS):
+        return apply_quality_rules(whole(docs), id_col=WHOLE, inside=True).filter("kept").select(f"{WHOLE}.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without any label nothing goes.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = train_toxicity(docs, labels, crc_bucket("doc_id", 5) != 0)
-    return score_toxicity(whole(docs), model, id_col=WHOLE).filter("predicted = 0").select(f"{WHOLE}.*")
+    with small_batches(spark, BATCH_ROWS):
+        model = train_toxicity(docs, labels, crc_bucket("doc_id", 5) != 0)
+    # The rows go through Python once, by the session's own batches, and need no shuffle.
+    return score_toxicity(whole(docs), model, id_col=WHOLE, inside=True).filter("predicted = 0").select(f"{WHOLE}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     row = free_name(docs, "_row_number")
     # Written once, so that every use of a row finds the same number.
     numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    joined = jaccard_components(numbered, words=5, num=80, den=100, id_col=row).select(F.col(row).alias("_r"), "component_id")
+    with small_batches(spark, BATCH_ROWS):
+        joined = jaccard_components(numbered, words=5, num=80, den=100, id_col=row).select(F.col(row).alias("_r"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"), F.col(row).alias("d"))
     first = joined.join(numbered.select(F.col(row).alias("_r"), order.alias("_order")), "_r").groupBy("component_id").agg(F.min("_order").alias("_order"))
     return numbered.join(first.select(F.col("_order.d").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -76,7 +79,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is one piece of one token; equal rows are packed each; ties in the order
     within a sequence are between equal pieces. Only doc_id and text are used.
     """
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    with small_batches(spark, BATCH_ROWS):
+        return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 STAGES = [("quality_rules", quality), ("toxicity", toxicity), ("ngram_join", near_duplicates), ("packing", packing)]
