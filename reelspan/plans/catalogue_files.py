@@ -292,11 +292,15 @@ def interrupted_jobs(spark, d):
 _KIND = "CASE WHEN seq%40=0 THEN 'done' WHEN seq%17=0 THEN 'pause' WHEN seq%17=3 THEN 'resume' ELSE 'progress' END"
 
 
-@query(with_views(f"""SELECT job, CAST(sn AS BIGINT) AS session_no, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS n_events, CAST(arg_max(lim,(ts,seq)) AS BIGINT) AS limit_ms FROM (
+STALLED = f"""SELECT job, CAST(sn AS BIGINT) AS session_no, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS n_events, CAST(arg_max(lim,(ts,seq)) AS BIGINT) AS limit_ms FROM (
 SELECT *, sum(nw) OVER (PARTITION BY job ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS sn FROM (SELECT *, CASE WHEN waited > lag(lim) OVER (PARTITION BY job ORDER BY ts, seq) THEN 1 ELSE 0 END AS nw FROM (
 SELECT *, CASE WHEN last_value(CASE WHEN t='progress' THEN stage END IGNORE NULLS) OVER (PARTITION BY job ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)='asr' THEN 900000 ELSE 300000 END AS lim,
-CASE WHEN last_value(CASE WHEN t IN ('pause','resume') THEN t END IGNORE NULLS) OVER (PARTITION BY job ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)='pause' THEN 0 ELSE ms-lag(ms) OVER (PARTITION BY job ORDER BY ts, seq) END AS waited
-FROM (SELECT *, epoch_us(ts)//1000 AS ms, {_KIND} AS t FROM prog_ev)))) GROUP BY job, sn HAVING NOT bool_or(t IN ('done','error'))""", "prog_ev"))
+CASE WHEN last_value(CASE WHEN t IN ('pause','resume') THEN t END IGNORE NULLS) OVER (PARTITION BY job ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)='pause' THEN 0 ELSE ms-lag(ms) OVER (PARTITION BY job ORDER BY ts, seq) END AS waited,
+coalesce(last_value(CASE WHEN t IN ('pause','resume') THEN t END IGNORE NULLS) OVER (PARTITION BY job ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)='pause', false) AS paused
+FROM (SELECT *, epoch_us(ts)//1000 AS ms, {_KIND} AS t FROM prog_ev)))) GROUP BY job, sn HAVING NOT bool_or(t IN ('done','error')) AND NOT arg_max(paused,(ts,seq))"""
+
+
+@query(with_views(STALLED, "prog_ev"))
 def stalled_jobs(spark, d):
     """Sessions that ended in a stall; pauses don't count, sessions that ended well are none."""
     return progress.stalled_sessions_batch(prog_ev(spark, d).withColumn("t", F.expr(_KIND)), ["seq"])

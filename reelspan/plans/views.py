@@ -77,9 +77,10 @@ def bench_li(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_linestatus").alias("engine"), F.col("l_quantity").cast("double").alias("speed"), F.col("l_shipdate").alias("measured_at"), "l_orderkey", "l_linenumber")
 
 
-def prog_ev(spark: SparkSession, d: str) -> DataFrame:
+def prog_ev(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    """Events as progress of jobs; ``events``: the same table read in another way."""
     stage = F.create_map(*[F.lit(x) for kv in STAGE_OF.items() for x in kv])[F.col("event_type")]
-    return table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), "ts", stage.alias("stage"), (F.col("value") / 500).alias("fraction"))
+    return (table(spark, d, "events") if events is None else events).select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), "ts", stage.alias("stage"), (F.col("value") / 500).alias("fraction"))
 
 
 def ledger_ev(spark: SparkSession, d: str) -> DataFrame:

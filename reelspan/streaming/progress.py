@@ -59,14 +59,15 @@ def stalled_sessions_batch(events: DataFrame, order: list[str]) -> DataFrame:
 
     A session is over once the next event is later than its stage allows, or no event follows; it is no
     stall if it holds 'done' or 'error'. While a job is paused its clock stands still: time from
-    'pause' to 'resume' (or to the job's last event) doesn't count.
+    'pause' to 'resume' (or to the job's last event) doesn't count, and a job that stays paused has not stalled.
     """
     w = Window.partitionBy("job").orderBy("ts", *order)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     # Rows 'pause' and 'resume' are marks; whether a row lies in a pause is known from the last mark before it.
     mark = F.last(F.when(F.col("t").isin("pause", "resume"), F.col("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     waited = F.when(mark.eqNullSafe(F.lit("pause")), 0).otherwise(millis("ts") - F.lag(millis("ts")).over(w))
-    rows = events.withColumn("_waited", waited).withColumn("_stage", F.last(F.when(F.col("t") == "progress", F.col("stage")), ignorenulls=True).over(so_far))
+    paused = F.last(F.when(F.col("t").isin("pause", "resume"), F.col("t")), ignorenulls=True).over(so_far).eqNullSafe(F.lit("pause"))
+    rows = events.withColumn("_waited", waited).withColumn("_paused", paused).withColumn("_stage", F.last(F.when(F.col("t") == "progress", F.col("stage")), ignorenulls=True).over(so_far))
     limit = F.when(F.col("_stage") == "asr", STALL_ASR_S * 1000).otherwise(STALL_S * 1000)
     rows = rows.withColumn("_limit", limit)
     new = F.when(F.col("_waited") > F.lag("_limit").over(w), 1).otherwise(0)
@@ -74,8 +75,9 @@ def stalled_sessions_batch(events: DataFrame, order: list[str]) -> DataFrame:
     sessions = cut.groupBy("job", "session_no").agg(
         F.min(millis("ts")).alias("first_ms"), F.max(millis("ts")).alias("last_ms"), F.count("*").alias("n_events"),
         F.max_by("_limit", F.struct("ts", *order)).cast("bigint").alias("limit_ms"), F.max(F.col("t").isin("done", "error")).alias("_ended"),
+        F.max_by("_paused", F.struct("ts", *order)).alias("_paused"),
     )
-    return sessions.filter("not _ended").drop("_ended")
+    return sessions.filter("not _ended and not _paused").drop("_ended", "_paused")
 
 
 def stage_changes(events: DataFrame, order: list[str]) -> DataFrame:
