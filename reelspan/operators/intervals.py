@@ -10,6 +10,8 @@ from reelspan.functions.tolerant import span_length
 MIN_GAP_MS, SILENT_SHARE, LOW_COVERAGE = 1500, 0.60, 0.95
 #: Recordings whose timelines are long are cut into bins of this width for interval joins.
 BIN_MS = 30_000
+#: Width of the bins of a sweep, from one to the next of which sums are carried.
+SWEEP_MS = 600_000
 
 
 def merge_spans(spans: DataFrame, rec: str = "rec_id") -> DataFrame:
@@ -41,34 +43,60 @@ def _binned(df: DataFrame, bin_ms: int) -> DataFrame:
     return df.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, last))))
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, bin_ms: int | None = BIN_MS, rec: str = "rec_id") -> DataFrame:
+def overlap_pairs(left: DataFrame, right: DataFrame, bin_ms: int = BIN_MS, rec: str = "rec_id") -> DataFrame:
     """Pairs of overlapping spans, with their shared milliseconds as ``overlap``; right columns are prefixed r_.
 
-    With bins, both sides meet on (recording, bin), so the work of a long recording spreads
+    Both sides meet on (recording, bin), so the work of a long recording spreads
     over as many keys as it has bins, and a pair counts in the first bin that both touch.
     """
     right = right.select(F.col(rec), *[F.col(c).alias(f"r_{c}") for c in right.columns if c != rec])
     meets = (F.col("st") < F.col("r_en")) & (F.col("r_st") < F.col("en"))
     shared = F.least("en", "r_en") - F.greatest("st", "r_st")
-    if bin_ms is None:
-        return left.join(right, rec).filter(meets).withColumn("overlap", shared)
     rights = _binned(right.withColumnsRenamed({"r_st": "st", "r_en": "en"}).filter("en > st"), bin_ms)
     rights = rights.withColumnsRenamed({"st": "r_st", "en": "r_en", "_first": "_r_first"})
     pairs = _binned(left.filter("en > st"), bin_ms).join(rights, [rec, "_bin"])
     return pairs.filter(meets & (F.col("_bin") == F.greatest("_first", "_r_first"))).withColumn("overlap", shared).drop("_bin", "_first", "_r_first")
 
 
-def overlap_ms(spans: DataFrame, others: DataFrame, key: str, bin_ms: int | None = BIN_MS, rec: str = "rec_id") -> DataFrame:
-    """Spans (rec, ``key``, st, en) with the summed overlap with ``others``; 0 where there is none."""
-    summed = overlap_pairs(spans.select(rec, key, "st", "en"), others.select(rec, "st", "en"), bin_ms, rec)
-    summed = summed.groupBy(rec, key).agg(F.sum("overlap").alias("overlap"))
+def measure_until(points: DataFrame, spans: DataFrame, bin_ms: int = SWEEP_MS, rec: str = "rec_id") -> DataFrame:
+    """``points`` (rec, t, others) with ``measure``: the summed length of the spans of the recording before t, overlaps counted each.
+
+    A sweep over the sorted union of starts, ends and points: with k spans open at t, whose starts sum
+    to a and ends of closed ones to b, the measure is k t - a + b. Sums run within bins of time and
+    carry on from bin to bin, so a long recording spreads over as many keys as it has bins.
+    """
+    others = [c for c in points.columns if c not in (rec, "t")]
+    real = spans.filter("en > st")
+    none = [F.lit(None).cast(points.schema[c].dataType).alias(c) for c in others]
+    edges = [real.select(F.col(rec), F.col(at).alias("t"), F.lit(n).cast("bigint").alias("_n"), (F.col(at) * n).alias("_sum"), F.lit(False).alias("_point"), *none) for at, n in (("st", 1), ("en", -1))]
+    zero = F.lit(0).cast("bigint")
+    union = points.select(rec, "t", zero.alias("_n"), zero.alias("_sum"), F.lit(True).alias("_point"), *others).unionByName(edges[0]).unionByName(edges[1])
+    union = union.withColumn("_bin", F.expr(f"t div {bin_ms}"))
+    # A row for each bin in which a span starts or ends.
+    totals = edges[0].unionByName(edges[1]).groupBy(rec, F.expr(f"t div {bin_ms}").alias("_bin")).agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"))
+    marks = totals.unionByName(points.select(rec, F.expr(f"t div {bin_ms}").alias("_bin"), zero.alias("_n"), zero.alias("_sum")).distinct()).groupBy(rec, "_bin").agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"))
+    earlier = Window.partitionBy(rec).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select(rec, "_bin", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_carry{c}") for c in ("_n", "_sum")])
+    # Edges at t itself add nothing, so ties may stand in any order.
+    so_far = Window.partitionBy(rec, "_bin").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    run = union.select("*", F.sum("_n").over(so_far).alias("_k"), F.sum("_sum").over(so_far).alias("_a")).filter("_point").join(carried, [rec, "_bin"])
+    return run.select(rec, "t", *others, ((F.col("_k") + F.col("_carry_n")) * F.col("t") - F.col("_a") - F.col("_carry_sum")).alias("measure"))
+
+
+def overlap_ms(spans: DataFrame, others: DataFrame, key: str, bin_ms: int = SWEEP_MS, rec: str = "rec_id") -> DataFrame:
+    """Spans (rec, ``key``, st, en) with the summed overlap with ``others``; 0 where there is none, or a span is empty.
+
+    What lies before a span's end less what lies before its start; no pairs are formed.
+    """
+    ends = spans.filter("en > st").select(rec, F.col(key).alias("_key"), F.inline(F.array(F.struct(F.col("st").alias("t"), F.lit(-1).alias("_sign")), F.struct(F.col("en").alias("t"), F.lit(1).alias("_sign")))))
+    summed = measure_until(ends, others.select(rec, "st", "en"), bin_ms, rec).groupBy(rec, F.col("_key").alias(key)).agg(F.sum(F.col("measure") * F.col("_sign")).alias("overlap"))
     return spans.join(summed, [rec, key], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)).cast("bigint"))
 
 
 def unspoken_gaps(segments: DataFrame, silences: DataFrame, recordings: DataFrame, min_gap: int = MIN_GAP_MS, rec: str = "rec_id") -> DataFrame:
     """Gaps between segments that are long enough and not mostly silence (under 60 %)."""
     gaps = gap_complement(merge_spans(segments, rec), recordings, min_gap, rec).withColumn("gap_st", F.col("st"))
-    measured = overlap_ms(gaps, silences, "gap_st", None, rec)
+    measured = overlap_ms(gaps, silences, "gap_st", rec=rec)
     return measured.filter(10 * F.col("overlap") < int(SILENT_SHARE * 10) * (F.col("en") - F.col("st"))).select(rec, "st", "en")
 
 

@@ -2,7 +2,8 @@
 
 These folds look back on their own decisions. Each recording is first cut into islands at
 places where the fold starts afresh anyway (a change of speaker, a long pause), so that
-the arrays which the higher-order functions fold stay short.
+the arrays which the higher-order functions fold stay short. Islands of paragraphs and windows
+that are long all the same (``FOLD_ROWS``) are segmented by search and pointer doubling instead.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from reelspan.functions.format import srt_time, timestamp_ms
 from reelspan.functions.text import strip, wrap_at_most
+from reelspan.operators.greedy import next_beyond, numbered_segments, reached
 from reelspan.schemas import WORDS
+from reelspan.shared import materialise
 
 # Fixed values: (least, most ms of a cue, pause that may be joined, characters, lines) per density.
 DENSITIES = {
@@ -22,6 +25,8 @@ DENSITIES = {
 }
 DEFAULT_DENSITY = "equilibrada"
 SLIVER_MS, SLIVER_GAP_MS, LINE = 400, 800, 42
+#: Rows of an island up to which its fold may sit in one row.
+FOLD_ROWS = 4096
 CUE = f"struct<st:bigint,en:bigint,text:string,words:{WORDS}>"
 PIECE = "struct<st:bigint,en:bigint,text:string>"
 
@@ -183,23 +188,51 @@ def subtitle_text(cues: DataFrame, density: str | None = None, with_speaker: boo
     return blocks.select(rec, F.size("b").alias("n_cues"), (F.concat(F.lit("WEBVTT\n\n"), body) if vtt else body).alias("content"))
 
 
+def by_length(islands: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of islands of at most FOLD_ROWS rows, and those of longer ones, None without any."""
+    sized = islands.withColumn("_rows", F.count("*").over(Window.partitionBy(*group)))
+    most = islands.groupBy(*group).count().agg(F.max("count")).first()[0]
+    if (most or 0) <= FOLD_ROWS:
+        return islands, None
+    return sized.filter(F.col("_rows") <= FOLD_ROWS).drop("_rows"), sized.filter(F.col("_rows") > FOLD_ROWS).drop("_rows")
+
+
+def greedy_rows(rows: DataFrame, group: list[str], at: str, reach: str, limit: str, on: int) -> DataFrame:
+    """``rows`` with ``_seg`` (the ``at`` of its segment's first row): a segment's next starts ``on`` rows after the first whose ``reach`` is over its first row's ``limit``."""
+    last = rows.groupBy(*group).agg(F.max(at).alias("_last"), F.min(at).alias("_first"))
+    jumps = next_beyond(rows, group, at, reach, limit).join(last, group).withColumn("nxt", F.col("nxt") + on)
+    jumps = jumps.select(*group, at, F.when(F.col("nxt") <= F.col("_last"), F.col("nxt")).alias("nxt"))
+    return numbered_segments(rows, group, at, reached(jumps, last.select(*group, F.col("_first").alias(at)), group, at))
+
+
 def paragraphs(segments: DataFrame, gap_ms: int = 1500, most_chars: int = 700, rec: str = "rec_id") -> DataFrame:
     """(rec, par_no, st, en, text): running text, broken at long pauses or once a paragraph has over ``most_chars``."""
     rows = segments.filter(strip("text") != "").select(rec, "seg_id", "st", "en", strip("text").alias("text"))
     order = Window.partitionBy(rec).orderBy("seg_id")
     new = F.when(F.col("st") - F.lag("en").over(order) > gap_ms, 1).otherwise(0)
-    cut = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    group = [rec, "_island"]
+    short, long = by_length(cut, group)
     kind = "struct<st:bigint,en:bigint,text:string,n:int>"
     piece = lambda st, en, text, n: F.struct(st.alias("st"), en.alias("en"), text.alias("text"), n.alias("n")).cast(kind)
-    islands = cut.groupBy(rec, "_island").agg(
+    islands = short.groupBy(*group).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("seg_id", "st", "en", "text"))), lambda x: piece(x.st, x.en, x.text, F.length(x.text))
         ).alias("parts")
     )
     folded = fold_rows(F.col("parts"), lambda a, b: a.n <= most_chars, lambda a, b: piece(a.st, b.en, F.concat(a.text, F.lit(" "), b.text), a.n + b.n), kind)
-    rows = islands.select(rec, "_island", F.posexplode(folded).alias("_p", "p"))
+    rows = islands.select(*group, F.posexplode(folded).alias("_p", "p")).select(*group, F.col("_p").cast("bigint").alias("_p"), "p.st", "p.en", "p.text")
+    if long is not None:
+        within = Window.partitionBy(*group).orderBy("seg_id")
+        sums = long.withColumn("_at", F.row_number().over(within).cast("bigint")).withColumn("_reach", F.sum(F.length("text")).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+        # A paragraph ends with the row that takes it over the limit.
+        sums = materialise(sums.withColumn("_limit", F.col("_reach") - F.length("text") + most_chars), "paragraph-rows")
+        joined = greedy_rows(sums, group, "_at", "_reach", "_limit", 1).groupBy(*group, "_seg").agg(
+            F.min_by("st", "_at").alias("st"), F.max_by("en", "_at").alias("en"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "text"))), lambda x: x.text), " ").alias("text")
+        )
+        rows = rows.unionByName(joined.withColumnRenamed("_seg", "_p"))
     number = F.row_number().over(Window.partitionBy(rec).orderBy("_island", "_p"))
-    return rows.select(rec, number.alias("par_no"), F.col("p.st").alias("st"), F.col("p.en").alias("en"), F.col("p.text").alias("text"))
+    return rows.select(rec, number.alias("par_no"), "st", "en", "text")
 
 
 def text_chunks(texts: DataFrame, size: int = 9000, key: str = "rec_id", text: str = "text") -> DataFrame:
@@ -230,11 +263,20 @@ def pack_windows(spans: DataFrame, most_ms: int = 30_000, gap_ms: int = 1000, re
     cut = spans.filter("en > st").select(rec, F.explode(F.transform(F.sequence(F.col("st"), F.col("en") - 1, F.lit(most_ms).cast("bigint")), lambda a: F.struct(a.alias("st"), F.least(a + most_ms, F.col("en")).alias("en")))).alias("s")).select(rec, "s.st", "s.en")
     order = Window.partitionBy(rec).orderBy("st", "en")
     new = F.when(F.col("st") - F.lag("en").over(order) >= gap_ms, 1).otherwise(0)
-    kind = "struct<st:bigint,en:bigint>"
-    islands = cut.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(rec, "_island").agg(F.sort_array(F.collect_list(F.struct("st", "en"))).alias("s"))
+    kind, group = "struct<st:bigint,en:bigint>", [rec, "_island"]
+    cut = cut.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    short, long = by_length(cut, group)
+    islands = short.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("st", "en"))).alias("s"))
     span = lambda st, en: F.struct(st.alias("st"), en.alias("en")).cast(kind)
     folded = fold_rows(F.col("s"), lambda a, b: (b.st - a.en < gap_ms) & (b.en - a.st <= most_ms), lambda a, b: span(a.st, b.en), kind)
     rows = islands.select(rec, F.inline(folded))
+    if long is not None:
+        within = Window.partitionBy(*group).orderBy("st", "en")
+        # No span is longer than a window, so none that starts earlier ends beyond a row's limit, and the furthest end so far serves as reach.
+        ends = long.withColumn("_at", F.row_number().over(within).cast("bigint")).withColumn("_reach", F.max("en").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+        ends = materialise(ends.withColumn("_limit", F.col("st") + most_ms), "window-rows")
+        joined = greedy_rows(ends, group, "_at", "_reach", "_limit", 0).groupBy(*group, "_seg").agg(F.min_by("st", "_at").alias("st"), F.max_by("en", "_at").alias("en"))
+        rows = rows.unionByName(joined.select(rec, "st", "en"))
     return rows.select(rec, F.row_number().over(Window.partitionBy(rec).orderBy("st")).alias("win_no"), "st", "en")
 
 
