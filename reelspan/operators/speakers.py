@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions.tolerant import span_length
+from reelspan.operators.blocks import BLOCK, block_pairs, blocked, over_pairs
 from reelspan.operators.intervals import BIN_MS, overlap_pairs
+from reelspan.operators.linkage import long_clusters
+from reelspan.shared import materialise
 
+#: Chunks up to which a recording is clustered in one task.
+IN_TASK = 256
 TURN_GAP_MS, CHUNK_MS, CHUNK_LEAST_MS = 400, 4000, 600
 
 
@@ -66,14 +71,23 @@ def chunk_segments(segments: DataFrame, rec: str = "rec_id") -> DataFrame:
     return rows.select(rec, "seg_id", "piece", at("piece").alias("chunk_st"), F.least(F.col("en"), at("piece + 1")).alias("chunk_en"))
 
 
-def cosine_pairs(chunks: DataFrame, rec: str = "rec_id") -> DataFrame:
-    """Cosine distance of every pair of chunks (rec, idx, embedding) of a recording; norms are at least 1e-9."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    normed = chunks.select(rec, "idx", "embedding", F.greatest(F.lit(1e-9), F.sqrt(dot("embedding", "embedding"))).alias("norm"))
-    a, b = normed.alias("a"), normed.alias("b")
-    similarity = dot(F.col("a.embedding"), F.col("b.embedding")) / (F.col("a.norm") * F.col("b.norm"))
-    pairs = a.join(b, (F.col(f"a.{rec}") == F.col(f"b.{rec}")) & (F.col("a.idx") < F.col("b.idx")))
-    return pairs.select(F.col(f"a.{rec}").alias(rec), F.col("a.idx").alias("i"), F.col("b.idx").alias("j"), (1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), similarity))).alias("distance"))
+def cosine_pairs(chunks: DataFrame, within: float | None = None, rec: str = "rec_id", block: int = BLOCK) -> DataFrame:
+    """Cosine distance (rec, i, j, distance) of the pairs of chunks (rec, idx, embedding) of a recording; norms are at least 1e-9.
+
+    Pairs of blocks are multiplied in Arrow batches. With ``within`` only pairs at most so far apart are returned,
+    and pairs of blocks that can't hold any are left out by their directions and widths.
+    """
+
+    def each(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray, same: bool) -> dict[str, np.ndarray]:
+        apart = 1.0 - np.clip(a @ b.T, -1.0, 1.0)
+        wanted = np.triu(np.ones(apart.shape, dtype=bool), 1) if same else np.ones(apart.shape, dtype=bool)
+        i, j = np.nonzero(wanted if within is None else wanted & (apart <= within))
+        return {"i": ids_a[i], "j": ids_b[j], "distance": apart[i, j]}
+
+    pairs = block_pairs(blocked(chunks, "idx", "embedding", block, rec), rec, None if within is None else float(np.arccos(np.clip(1 - within, -1, 1))))
+    kind = chunks.schema["idx"].dataType
+    made = over_pairs(pairs, each, "i bigint, j bigint, distance double", rec)
+    return made.select(rec, F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), "distance")
 
 
 def average_linkage(vectors: np.ndarray, threshold: float, target: int | None, least: int, most: int | None) -> list[int]:
@@ -94,11 +108,10 @@ def average_linkage(vectors: np.ndarray, threshold: float, target: int | None, l
         i, j = divmod(int(np.argmin(apart)), n)
         if target is None and apart[i, j] > threshold and (most is None or alive <= most):
             break
-        both = np.minimum(apart, apart.T)  # symmetric view of what is left
-        joined = (sizes[i] * both[i] + sizes[j] * both[j]) / (sizes[i] + sizes[j])
-        for k in range(n):
-            if k != i and k != j and np.isfinite(both[i, k]) and np.isfinite(both[j, k]):
-                apart[min(i, k), max(i, k)] = joined[k]
+        to_i, to_j = np.minimum(apart[i], apart[:, i]), np.minimum(apart[j], apart[:, j])
+        joined = (sizes[i] * to_i + sizes[j] * to_j) / (sizes[i] + sizes[j])
+        joined[i] = joined[j] = np.inf
+        apart[:i, i], apart[i, i + 1 :] = joined[:i], joined[i + 1 :]
         apart[j, :], apart[:, j] = np.inf, np.inf
         sizes[i] += sizes[j]
         member[member == j] = i
@@ -112,7 +125,8 @@ def cluster_chunks(
 ) -> DataFrame:
     """Cluster the chunks (rec, idx, embedding) of each recording; recordings run side by side.
 
-    A recording's chunks come together in one task: their number is bounded by its length.
+    Recordings of up to ``IN_TASK`` chunks are clustered in a task each; longer ones in rounds over
+    blocks that spread over tasks, with the same result (``linkage``).
     """
     kinds = dict(chunks.dtypes)
 
@@ -121,7 +135,13 @@ def cluster_chunks(
         vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
         return pd.DataFrame({rec: rows[rec], "idx": rows["idx"], "cluster": average_linkage(vectors, threshold, target, least, most)})
 
-    return chunks.select(rec, "idx", "embedding").groupBy(rec).applyInPandas(run, f"{rec} {kinds[rec]}, idx {kinds['idx']}, cluster int")
+    wanted = chunks.select(rec, "idx", "embedding")
+    sizes = materialise(wanted.groupBy(rec).agg(F.count("*").alias("_n")), "sizes")
+    long = sizes.filter(F.col("_n") > IN_TASK).select(rec)
+    short = wanted.join(long, rec, "left_anti").groupBy(rec).applyInPandas(run, f"{rec} {kinds[rec]}, idx {kinds['idx']}, cluster int")
+    if long.isEmpty():
+        return short
+    return short.unionByName(long_clusters(wanted.join(long, rec, "left_semi"), threshold, target, least, most, rec, BLOCK))
 
 
 def chunk_turns(chunks: DataFrame, clusters: DataFrame, rec: str = "rec_id") -> DataFrame:
