@@ -5,9 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
 from typing import TypeVar
 
@@ -16,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelspan.shared import materialise, shared_dir  # noqa: F401
+
 Kept = TypeVar("Kept")
 
 #: A sub-batch closes once it holds this many characters, so that the Python
@@ -23,28 +22,6 @@ Kept = TypeVar("Kept")
 SUB_BATCH_CHARS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; where none is set, a temporary one if all of them are this process, else an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
-        folder = tempfile.mkdtemp(prefix="reelspan-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    Written tables survive the loss of executors; the plan behind them is run once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/reelspan-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ranked(rows: DataFrame, order: Sequence[Column], within: str = "tree") -> DataFrame:
     """``rows`` with lo = hi = rank among those of equal ``within`` (never null), from 0, and n, their number.
 
