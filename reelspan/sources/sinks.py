@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,8 @@ from reelspan.operators.intervals import coverage_summary
 from reelspan.operators.packing import paragraphs
 from reelspan.operators.speakers import speaker_stats
 from reelspan.operators.textstats import joined_text, text_counts, top_words
-from reelspan.schemas import WORDS
+from reelspan.schemas import LEDGER, WORDS
+from reelspan.sources.versions import VersionedTable
 
 SCHEMA_VERSION, WIDTH = 1, 78
 
@@ -77,29 +80,33 @@ def plain_transcripts(segments: DataFrame, width: int = WIDTH, rec: str = "rec_i
 
 def latest_history(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest version of the history at ``path``; None where there is none yet."""
-    try:
-        versions = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-    last = versions.agg(F.max("version")).first()[0]
-    return None if last is None else versions.filter(F.col("version") == last).drop("version")
+    return VersionedTable(spark, path).read()
 
 
-def append_history(rows: DataFrame, path: str, keep: int = KEPT) -> None:
-    """Write the newest ``keep`` rows of the history at ``path`` and ``rows`` as its next version.
+def append_history(rows: DataFrame, path: str, keep: int = KEPT, batch: tuple[str, int] | None = None) -> int | None:
+    """Commit the newest ``keep`` rows of the history at ``path`` and ``rows`` as its next version; its number.
 
-    Versions are folders of their own, so nothing is overwritten while it is read, and a write
-    that breaks off leaves the last version as it was.
+    Of two writers neither is lost: the one that comes second starts from what the first has written. A write
+    that breaks off leaves the last version as it was. ``batch`` (stream, number): a batch counts once, and None is returned if it is in.
     """
-    spark = rows.sparkSession
-    before = latest_history(spark, path)
-    last = -1 if before is None else spark.read.parquet(path).agg(F.max("version")).first()[0]
-    every = rows if before is None else before.unionByName(rows, allowMissingColumns=True)
-    retain(every, keep).drop("place").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={last + 1}")
+
+    def merge(before: DataFrame | None, new: DataFrame) -> DataFrame:
+        every = new if before is None else before.unionByName(new, allowMissingColumns=True)
+        return retain(every, keep).drop("place").coalesce(1)
+
+    return VersionedTable(rows.sparkSession, path).commit(rows, merge, batch)
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    """Append stage rows; the commit of the write makes them visible at once."""
-    rows.write.mode("append").parquet(path)
+    """Append stage rows as one folder of their own; they are visible at once, when its commit is. Writers don't meet."""
+    rows.write.parquet(f"{path.rstrip('/')}/part={uuid.uuid4().hex}")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Stage rows of every append that was committed; none where there is no ledger."""
+    try:
+        return spark.read.schema(f"{LEDGER}, part string").parquet(path).drop("part")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
