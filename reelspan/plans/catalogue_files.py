@@ -404,3 +404,29 @@ def output_paths(spark, d):
 @query("SELECT o_orderkey AS run_id, CASE WHEN o_custkey%7>0 THEN round((o_orderkey%500)/(o_custkey%7),2) END AS realtime_factor FROM orders")
 def realtime_factor(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), history.realtime_factor(F.col("o_orderkey") % 500, F.col("o_custkey") % 7).alias("realtime_factor"))
+
+
+# -- whole documents ------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey AS rec_id, 2 + o_orderkey%3 AS streams, 'c'||(o_orderkey%7) AS second_codec, CASE WHEN o_orderkey%2=0 THEN 'parte '||o_orderkey END AS chapter, CAST(o_orderkey%5 AS BIGINT) AS threads,
+'local-'||(o_orderkey%4) AS provider, CAST(o_orderkey%9 AS BIGINT) AS future, CAST(o_orderkey%11 AS BIGINT) AS words, 'olá' AS said FROM orders""")
+def document_lossless(spark, d):
+    """Documents are read, one block is worked out anew, and they are written and read again: what the schema doesn't know comes back."""
+    k = F.col("o_orderkey")
+    t = lambda c: c.cast("string")
+    stream = F.array_join(F.transform(F.sequence(F.lit(1), (1 + k % 3).cast("int")), lambda i: text_of('{"index":', t(i), ',"codec_name":"c', t(k % 7), '"}')), ",")
+    raw = text_of(
+        '{"probe":{"duration":1.5,"streams":[{"index":0,"codec_name":"h264"},', stream, '],"chapters":[', F.when(k % 2 == 0, text_of('{"title":"parte ', t(k), '"}')).otherwise(F.lit("")),
+        ']},"segments":[{"id":0,"start":0,"end":1,"text":"olá","provider_id":7}],"stats":{"words":0},"processing":{"model":"small","threads":', t(k % 5),
+        '},"summary":{"available":true,"provider":"local-', t(k % 4), '"},"future":{"deep":[', t(k % 9), "]}}",
+    )
+    documents = readers.whole_documents(table(spark, d, "orders").select(k.alias("rec_id"), raw.alias("raw")))
+    stats = documents.select("rec_id", F.struct((F.col("rec_id") % 11).alias("words")).alias("stats"))
+    again = readers.whole_documents(sinks.merged_documents(documents, stats).withColumnRenamed("content", "raw"))
+    get = lambda block, path, kind: F.try_variant_get(F.col("blocks")[block], path, kind)
+    return again.select(
+        "rec_id", F.size(get("probe", "$.streams", "array<variant>")).cast("bigint").alias("streams"), get("probe", "$.streams[1].codec_name", "string").alias("second_codec"), get("probe", "$.chapters[0].title", "string").alias("chapter"),
+        get("processing", "$.threads", "bigint").alias("threads"), get("summary", "$.provider", "string").alias("provider"), get("future", "$.deep[0]", "bigint").alias("future"),
+        F.col("stats.words").alias("words"), F.col("segments")[0]["text"].alias("said"),
+    )

@@ -39,6 +39,25 @@ def parse_results(raw: DataFrame, rec: str = "rec_id") -> DataFrame:
     return rows.select("rec_id", "d.*").withColumn("readable", F.col("_bad").isNull() | F.col("segments").isNotNull()).drop("_bad")
 
 
+def whole_documents(raw: DataFrame, rec: str = "rec_id") -> DataFrame:
+    """``parse_results`` with ``blocks``: every block of the document under its name as VARIANT, known or not, with all that is nested in it.
+
+    Typed columns are for computing; ``blocks`` is for writing a document back without loss. Null where the text is no JSON object.
+    """
+    rows = raw.select(F.col(rec).alias("rec_id"), "raw")
+    blocks = F.when(F.try_parse_json("raw").isNotNull() & F.ltrim("raw").startswith("{"), F.from_json("raw", "map<string,variant>"))
+    typed = F.from_json("raw", schemas.RESULT_DOCUMENT + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = rows.select("rec_id", F.explode(F.array(typed)).alias("d"), blocks.alias("blocks"))
+    return rows.select("rec_id", "d.*", "blocks").withColumn("readable", F.col("_bad").isNull() | F.col("segments").isNotNull()).drop("_bad")
+
+
+def read_whole_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``whole_documents`` of a folder of files, one document each."""
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("raw"))
+    base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(\.data)?\.json$", "")
+    return whole_documents(texts.withColumn("rec_id", base))
+
+
 def result_segments(results: DataFrame) -> DataFrame:
     """Segments table of result documents, in milliseconds."""
     ms = lambda c: F.bround(c * 1000).cast("bigint")

@@ -61,6 +61,21 @@ def document_blocks(segments: DataFrame, silences: DataFrame, recordings: DataFr
     return rows.withColumn("diarization", F.struct(found.alias("available"), F.when(found, F.size("speakers")).otherwise(0).cast("bigint").alias("speaker_count")))
 
 
+def merged_documents(documents: DataFrame, changed: DataFrame, rec: str = "rec_id") -> DataFrame:
+    """(rec, content): JSON of ``documents`` (rec, blocks, as ``readers.whole_documents`` gives) with the columns of ``changed`` (rec, ...) as their blocks.
+
+    Blocks that aren't among the columns stay as they were, unknown keys and nested values too; a null column
+    keeps the old block. A document of ``changed`` without an old one is made of its columns alone. Times
+    and other values are written as they are.
+    """
+    names = [c for c in changed.columns if c != rec]
+    rows = documents.select(rec, "blocks").join(changed, rec, "full")
+    own = F.array(*[F.struct(F.lit(c).alias("key"), F.when(F.col(c).isNotNull(), F.parse_json(F.to_json(F.struct(F.col(c).alias("v"))))).alias("value")) for c in names])
+    fresh = F.map_from_entries(F.transform(F.filter(own, lambda x: x.value.isNotNull()), lambda x: F.struct(x.key.alias("key"), F.variant_get(x.value, "$.v", "variant").alias("value"))))
+    old = F.coalesce(F.map_filter("blocks", lambda k, v: ~F.map_contains_key("_new", k)), F.map_from_entries(F.array().cast("array<struct<key:string,value:variant>>")))
+    return rows.withColumn("_new", fresh).select(rec, F.to_json(F.map_concat(old, "_new")).alias("content"))
+
+
 def write_documents(rows: DataFrame, path: str, rec: str = "rec_id") -> None:
     """JSON documents in one folder per recording."""
     rows.withColumn("_rec", F.col(rec)).repartition(rec).write.mode("overwrite").partitionBy("_rec").json(path)

@@ -81,3 +81,20 @@ def test_availability(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "rec_id int, s string")
     out = report.availability(df, {"summary": (F.col("s").isNotNull(), "desligado")})
     assert rows(out, "rec_id", "summary_available", "summary_reason") == [(1, False, "desligado"), (2, True, None)]
+
+
+def test_whole_documents_come_back(spark, tmp_path):
+    import json
+
+    doc = {"schema_version": 1, "probe": {"duration": 2.5, "streams": [{"index": 0, "side": {"rotation": -90}}], "chapters": [{"id": 1}]}, "segments": [{"start": 0.0, "text": "oi", "extra": None}], "processing": {"threads": 4, "nested": [[1, "é"]]}, "future": [1, {"a": None}], "text": "oi"}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.data.json").write_text(json.dumps(doc))
+    (tmp_path / "in" / "b.json").write_text("[1, 2]")
+    (tmp_path / "in" / "c.json").write_text("{broken")
+    docs = readers.read_whole_documents(spark, str(tmp_path / "in"))
+    assert rows(docs.select("rec_id", F.col("blocks").isNull())) == [("a", False), ("b", True), ("c", True)]
+    changed = spark.createDataFrame([("a", "ola", None), ("new", "x", 3)], "rec_id string, text string, stats int")
+    out = {r.rec_id: json.loads(r.content) for r in sinks.merged_documents(docs.filter("rec_id = 'a'"), changed).collect()}
+    assert out == {"a": doc | {"text": "ola"}, "new": {"text": "x", "stats": 3}}
+    docs.write.parquet(str(tmp_path / "table"))  # blocks as VARIANT
+    assert "variant" in dict(spark.read.parquet(str(tmp_path / "table")).dtypes)["blocks"]
