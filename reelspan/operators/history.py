@@ -10,8 +10,12 @@ from reelspan.functions.text import cut_middle, strip
 
 KEPT, HIGH, LOW, LOW_COVERAGE = 60, -0.35, -0.60, 0.95
 
-# Columns of the history table and their widths.
-COLUMNS = (("QUANDO", 11), ("ARQUIVO", 30), ("DURAÇÃO", 8), ("MODELO", 16), ("DISP.", 6), ("VELOC.", 7), ("COBERT.", 8), ("SEM TEXTO", 12), ("AVISOS", 7), ("RESUMO", 7), ("CONFIANÇA", 11))
+# Columns of the history table and their widths, and the texts around it.
+COLUMNS = (
+    ("QUANDO", 12), ("ARQUIVO", 30), ("DURAÇÃO", 9), ("QUALIDADE", 16), ("ONDE", 6), ("VELOC", 7), ("COBERT", 7), ("BURACOS", 8), ("AVISOS", 7), ("RESUMO", 7), ("CONFIANÇA", 11),
+)
+TITLE, LOOK_AT = "HISTÓRICO", "O QUE MERECE UM OLHAR"
+NOTHING_YET = "  Nenhum trabalho ainda. Assim que o primeiro terminar, ele aparece\n  aqui — com duração, qualidade, velocidade, cobertura e confiança."
 
 
 def confidence_label(c: Column | str) -> Column:
@@ -86,16 +90,39 @@ def display_rows(history: DataFrame) -> DataFrame:
     return history.select("*", F.array(*cells).alias("cells"))
 
 
-def history_text(history: DataFrame) -> DataFrame:
-    """One text: the totals line, the header and the rows that retention keeps, newest first."""
-    kept = display_rows(retain(history))
-    line = F.rtrim(F.concat(F.lit("  "), F.array_join(F.transform(F.arrays_zip(F.col("cells").alias("c"), F.array(*[F.lit(w) for _, w in COLUMNS]).alias("w")), lambda x: F.rpad(x.c, F.greatest(x.w, F.length(x.c)), " ")), "  ")))
-    body = kept.select("place", line.alias("line")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x.line), "\n").alias("body"))
-    totals = history_totals(history.withColumn("speed", F.col("realtime_factor")))
-    head = "  " + "  ".join(n.ljust(w) for n, w in COLUMNS).rstrip()
-    rule = "  " + "  ".join("-" * w for _, w in COLUMNS)
-    text = F.concat_ws("\n", F.lit("HISTÓRICO"), F.lit(""), F.format_string("  %d trabalho(s), %d com erro", "jobs", "errors"), F.lit(""), F.lit(head), F.lit(rule), F.col("body"))
-    return totals.join(F.broadcast(body), F.lit(True)).select(text.alias("content"))
+def attention_line(history: DataFrame) -> Column:
+    """What is said of a run that deserves a look; null of others."""
+    low = F.coalesce(F.col("coverage") < LOW_COVERAGE, F.lit(False))
+    covered = F.format_string("só %.1f%% do arquivo virou texto (%.0f s fora do silêncio).", F.bround(F.col("coverage") * 100, 1), F.bround(F.col("gap_seconds").cast("double")))
+    said = F.when(F.col("status") != "ok", F.col("detail")).when(low, covered).when(F.col("failures") > 0, F.format_string("%d bloco(s) indisponível(is) no laudo.", "failures"))
+    return F.when(said.isNotNull(), F.concat(F.lit("  "), F.coalesce("file_name", F.lit("")), F.lit(": "), said))
+
+
+def history_text(history: DataFrame, keep: int = KEPT) -> DataFrame:
+    """(content): one text of the newest ``keep`` runs: totals, the table, newest first, and what deserves a look; a hint without any run.
+
+    ``history`` has the columns of ``display_rows`` and, of failed runs, detail.
+    """
+    rows = history if "detail" in history.columns else history.withColumn("detail", F.lit(None).cast("string"))
+    kept = display_rows(retain(rows, keep))
+    padded = F.transform(F.arrays_zip(F.col("cells").alias("c"), F.array(*[F.lit(w) for _, w in COLUMNS]).alias("w")), lambda x: F.rpad(x.c, F.greatest(x.w, F.length(x.c)), " "))
+    line = F.rtrim(F.concat(F.lit("  "), F.array_join(padded, "  ")))
+    ok = F.col("status") == "ok"
+    in_order = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("place", F.col(c).alias("line"))))), lambda x: x.line), "\n")
+    # ``keep`` rows at most.
+    one = kept.withColumn("_line", line).withColumn("_look", attention_line(kept)).agg(
+        F.count("*").alias("jobs"), F.count_if(~ok).alias("errors"), F.avg(F.when(ok, F.col("coverage"))).alias("coverage"),
+        F.avg(F.when(ok & (F.col("realtime_factor") != 0), F.col("realtime_factor"))).alias("speed"), in_order("_line").alias("table"), in_order("_look").alias("look"),
+    )
+    totals = F.concat_ws(
+        "  •  ", F.format_string("%d trabalho(s)", "jobs"), F.when(F.col("errors") > 0, F.format_string("%d com erro", "errors")),
+        F.when(F.col("coverage").isNotNull(), F.format_string("cobertura média %.1f%%", F.bround(F.col("coverage") * 100, 1))),
+        F.when(F.col("speed").isNotNull(), F.format_string("velocidade média %.1fx", F.bround("speed", 1))),
+    )
+    head, rule = ("  " + "  ".join(n.ljust(w) for n, w in COLUMNS)).rstrip(), "  " + "  ".join("-" * w for _, w in COLUMNS)
+    look = F.when(F.col("look") != "", F.concat(F.lit(f"\n\n{LOOK_AT}\n\n"), "look")).otherwise("")
+    text = F.concat(F.lit(f"{TITLE}\n\n  "), totals, F.lit(f"\n\n{head}\n{rule}\n"), "table", look)
+    return one.select(F.when(F.col("jobs") == 0, F.lit(f"{TITLE}\n\n{NOTHING_YET}")).otherwise(text).alias("content"))
 
 
 def ab_throughput(bench: DataFrame, engines: tuple[str, str], order: list[str], key: str = "k") -> DataFrame:

@@ -168,13 +168,21 @@ _CONFIDENCE = "CASE WHEN c IS NULL THEN 'desconhec.' WHEN c>=-0.35 THEN printf('
 _CLOCK = "CASE WHEN s>=3600 THEN printf('%d:%02d:%02d', s//3600, s//60%60, s%60) ELSE printf('%d:%02d', s//60, s%60) END"
 
 
-@query(f"""SELECT run_id, status, detail, CASE WHEN status='ok' THEN [strftime(o_orderdate, '%d/%m %H:%M'), f[1:14]||'…'||right(f,15), {_CLOCK}, CASE WHEN run_id%4<>0 THEN 'small' ELSE '-' END, CASE WHEN run_id%3<>0 THEN 'cuda:0' ELSE '-' END,
+_RUNS = """FROM (SELECT o_orderkey AS run_id, o_orderdate, 'ok' AS status, NULL AS detail, 'gravacao-de-nome-bem-comprido-'||o_orderkey||'.mp4' AS f, o_orderkey%5000 AS s, o_custkey%90 AS gs, CASE WHEN o_orderkey%8<>0 THEN -(o_orderkey%10)/10-0.05 END AS c FROM orders
+UNION ALL SELECT -o_orderkey, o_orderdate, 'error', CASE WHEN o_orderkey%2=0 THEN 'falha sem detalhe' ELSE 'disco cheio' END, 'f'||o_orderkey||'.mp4', 0, 0, NULL FROM orders WHERE o_orderstatus='P')"""
+_CELLS = f"""SELECT run_id, status, detail, CASE WHEN status='ok' THEN [strftime(o_orderdate, '%d/%m %H:%M'), f[1:14]||'…'||right(f,15), {_CLOCK}, CASE WHEN run_id%4<>0 THEN 'small' ELSE '-' END, CASE WHEN run_id%3<>0 THEN 'cuda:0' ELSE '-' END,
 CASE WHEN run_id%5<>0 THEN printf('%.1fx', run_id%50/10) ELSE '-' END, CASE WHEN run_id%6<>0 THEN printf('%.1f%%', run_id%100/100*100) ELSE '-' END, CASE WHEN run_id%6=0 THEN '-' WHEN run_id%4=0 THEN 'nenhum' ELSE printf('%d (%.0fs)', run_id%4, gs::DOUBLE) END,
 CASE WHEN run_id%3>0 THEN CAST(run_id%3 AS VARCHAR) ELSE '-' END, CASE WHEN run_id%2=0 THEN 'sim' ELSE 'não' END, {_CONFIDENCE}] ELSE [strftime(o_orderdate, '%d/%m %H:%M'), f, '-', '-', '-', '-', '-', '-', 'ERRO', '-', '-'] END AS cells
-FROM (SELECT o_orderkey AS run_id, o_orderdate, 'ok' AS status, NULL AS detail, 'gravacao-de-nome-bem-comprido-'||o_orderkey||'.mp4' AS f, o_orderkey%5000 AS s, o_custkey%90 AS gs, CASE WHEN o_orderkey%8<>0 THEN -(o_orderkey%10)/10-0.05 END AS c FROM orders
-UNION ALL SELECT -o_orderkey, o_orderdate, 'error', CASE WHEN o_orderkey%2=0 THEN 'falha sem detalhe' ELSE 'disco cheio' END, 'f'||o_orderkey||'.mp4', 0, 0, NULL FROM orders WHERE o_orderstatus='P')""")
+{_RUNS}"""
+
+
+@query(_CELLS)
 def history_cells(spark, d):
     """History rows of finished and of failed runs as cells of the table."""
+    return history.display_rows(runs_and_failures(spark, d)).select("run_id", "status", "detail", "cells")
+
+
+def runs_and_failures(spark, d):
     runs = runs_of(spark, d)
     coverage = runs.select("run_id", "analyzed", "ratio", "n_gaps", "gap_seconds")
     scores = F.explode(F.array(F.lit(-0.1), F.lit(0.0), F.lit(None).cast("double"))).alias("p")
@@ -185,8 +193,23 @@ def history_cells(spark, d):
         (-k).alias("run_id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("finished_at"), text_of("C:\\pasta/f", k.cast("string"), ".mp4").alias("input_path"),
         F.when(k % 2 == 0, F.lit(" \n\t")).otherwise(F.lit("disco cheio\nlinha 2")).alias("message"),
     )
-    rows = history.all_entries(done, history.entries_from_failures(failed))
-    return history.display_rows(rows).select("run_id", "status", "detail", "cells")
+    return history.all_entries(done, history.entries_from_failures(failed))
+
+
+_WIDTHS = [w for _, w in history.COLUMNS]
+_PADDED = " || '  ' || ".join(f"rpad(cells[{k}], CAST(greatest({w}, length(cells[{k}])) AS INTEGER), ' ')" for k, w in enumerate(_WIDTHS, 1))
+_HEAD = "'" + ("  " + "  ".join(n.ljust(w) for n, w in history.COLUMNS)).rstrip() + "' || chr(10) || '" + "  " + "  ".join("-" * w for w in _WIDTHS) + "'"
+
+
+@query(f"""WITH rows AS ({_CELLS.replace("SELECT run_id, status, detail,", "SELECT run_id, status, detail, f, gs, o_orderdate, CASE WHEN status='ok' THEN run_id%3 END AS failures, CASE WHEN status='ok' AND run_id%6<>0 THEN run_id%100/100 END AS cov, CASE WHEN status='ok' AND run_id%5<>0 AND run_id%50<>0 THEN run_id%50/10 END AS speed,", 1)}),
+kept AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, run_id DESC) AS place FROM rows QUALIFY place <= 60),
+said AS (SELECT *, CASE WHEN status<>'ok' THEN detail WHEN cov<0.95 THEN printf('só %.1f%% do arquivo virou texto (%.0f s fora do silêncio).', cov*100, gs::DOUBLE) WHEN failures>0 THEN failures||' bloco(s) indisponível(is) no laudo.' END AS look FROM kept)
+SELECT 'HISTÓRICO' || chr(10) || chr(10) || '  ' || count(*) || ' trabalho(s)' || CASE WHEN count(*) FILTER (status<>'ok')>0 THEN '  •  ' || count(*) FILTER (status<>'ok') || ' com erro' ELSE '' END
+|| coalesce(printf('  •  cobertura média %.1f%%', avg(cov)*100), '') || coalesce(printf('  •  velocidade média %.1fx', avg(speed)), '') || chr(10) || chr(10) || {_HEAD} || chr(10)
+|| string_agg(rtrim('  ' || {_PADDED}), chr(10) ORDER BY place) || coalesce(chr(10) || chr(10) || 'O QUE MERECE UM OLHAR' || chr(10) || chr(10) || string_agg('  ' || f || ': ' || look, chr(10) ORDER BY place) FILTER (look IS NOT NULL), '') AS content FROM said""")
+def history_text(spark, d):
+    """The history's text: totals, the table of the newest runs, and what deserves a look."""
+    return history.history_text(runs_and_failures(spark, d))
 
 
 @query("""WITH f AS (SELECT url AS path, page_id, length(html) AS n FROM pages) SELECT 'org'||page_id%7||'-m' AS model, CAST(sum(n) AS BIGINT) AS length FROM f GROUP BY 1""")

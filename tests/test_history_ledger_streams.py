@@ -26,8 +26,20 @@ def test_retention_and_text(spark):
     h = history_table(spark, 70)
     kept = history.retain(h, 60, ("seq",))
     assert (kept.count(), kept.agg(F.min("seq")).first()[0]) == (60, 10)
-    text = history.history_text(history_table(spark, 3)).first().content
-    assert "3 trabalho(s), 1 com erro" in text and "ERRO" in text and "3.0x" in text and "95.0%" in text
+    text = history.history_text(history_table(spark, 3).withColumn("detail", F.lit("disco cheio"))).first().content
+    rule = "  " + "  ".join("-" * w for _, w in history.COLUMNS)
+    assert text.split("\n") == [
+        "HISTÓRICO", "", "  3 trabalho(s)  •  1 com erro  •  cobertura média 95.0%  •  velocidade média 3.0x", "",
+        "  QUANDO        ARQUIVO                         DURAÇÃO    QUALIDADE         ONDE    VELOC    COBERT   BURACOS   AVISOS   RESUMO   CONFIANÇA", rule,
+        "  06/05 07:02   file2.mp4                       -          -                 -       -        -        -         ERRO     -        -",
+        "  06/05 07:01   file1.mp4                       1:01       m                 cpu     3.0x     95.0%    1 (12s)   -        não      alta -0.30",
+        "  06/05 07:00   file0.mp4                       1:01       m                 cpu     3.0x     95.0%    1 (12s)   -        não      alta -0.30",
+        "", "O QUE MERECE UM OLHAR", "", "  file2.mp4: disco cheio",
+    ]
+    low = history_table(spark, 2).withColumns({"coverage": F.lit(0.5), "failures": F.lit(2)}).unionByName(history_table(spark, 2).withColumns({"coverage": F.lit(None).cast("double"), "failures": F.lit(1)}))
+    text = history.history_text(low).first().content
+    assert text.count("file0.mp4: só 50.0% do arquivo virou texto (12 s fora do silêncio).") == 1 and text.count("file1.mp4: 1 bloco(s) indisponível(is) no laudo.") == 1 and "cobertura média 50.0%" in text
+    assert history.history_text(history_table(spark, 3).limit(0)).first().content.startswith("HISTÓRICO\n\n  Nenhum trabalho ainda.")
 
 
 def test_lookups_and_sizes(spark):
