@@ -203,18 +203,23 @@ def speech_after_vad(windows: DataFrame, rec: str = "rec_id") -> DataFrame:
 
 
 def job_cards(runs: DataFrame, coverage: DataFrame, segments: DataFrame, stats: DataFrame, rec: str = "rec_id") -> DataFrame:
-    """(rec, card): metrics of each finished run as text.
+    """(rec, card): files, metrics, warnings and recovery of each finished run as text.
 
     ``runs`` has duration and elapsed_seconds (seconds), realtime_factor, model, device, language and
-    partial_failures; ``coverage`` is that of coverage_summary, ``stats`` has the words of each recording.
+    partial_failures and, where there are any, outputs (map), copies and recovery (arrays); ``coverage`` is that of coverage_summary, ``stats`` has the words of each recording.
     """
     counted = segments.groupBy(rec).agg(F.count("*").alias("_segments"), F.count_distinct("speaker").alias("_speakers"))
     rows = runs.join(counted, rec, "left").join(stats.select(rec, "words"), rec, "left").join(coverage.select(rec, "analyzed", "ratio", "n_gaps", "gap_seconds"), rec, "left")
     number = lambda c, d: decimal_comma(F.format_string(f"%.{d}f", F.coalesce(F.col(c).cast("double"), F.lit(0.0))))
     pair = lambda label, value: F.concat(F.lit(f"  {label:<21}"), value)
     lost = F.when(F.col("n_gaps") == 0, F.lit("nenhum trecho fora do silêncio")).otherwise(F.format_string("%d trecho(s) sem texto, %.0f s", "n_gaps", F.bround(F.col("gap_seconds").cast("double"))))
-    failures = F.transform("partial_failures", lambda x: F.concat(F.lit("  - "), x))
+    none = F.array().cast("array<string>")
+    has = lambda c, kind: F.col(c) if c in runs.columns else F.lit(None).cast(kind)
+    kinds = F.transform(F.sort_array(F.map_entries(has("outputs", "map<string,string>"))), lambda e: F.concat(F.lit("  "), F.rpad(e.key, F.greatest(F.lit(16), F.length(e.key)), " "), F.lit(" "), e.value))
+    copies = F.transform(has("copies", "array<string>"), lambda x: F.concat(F.lit(f"  {'cópia':<16} "), x))
+    listed = lambda c, name: F.when(F.size(c) > 0, F.concat(F.array(F.lit(""), F.lit(name), F.lit("")), F.transform(c, lambda x: F.concat(F.lit("  - "), x)))).otherwise(none)
     lines = F.concat(
+        F.array(F.lit("ARQUIVOS GERADOS"), F.lit("")), F.coalesce(kinds, none), F.coalesce(copies, none), F.array(F.lit("")),
         F.array(
             F.lit("RESUMO DO PROCESSAMENTO"), F.lit(""), pair("Duração do arquivo", F.concat(number("duration", 1), F.lit(" s"))),
             pair("Tempo de trabalho", F.concat(number("elapsed_seconds", 1), F.lit(" s ("), number("realtime_factor", 2), F.lit("x tempo real)"))),
@@ -223,7 +228,7 @@ def job_cards(runs: DataFrame, coverage: DataFrame, segments: DataFrame, stats:
         ),
         F.when(F.col("_speakers") > 0, F.array(pair("Falantes", F.col("_speakers").cast("string")))).otherwise(F.array().cast("array<string>")),
         F.when(F.col("analyzed") & F.col("ratio").isNotNull(), F.array(pair("Cobertura", F.concat(F.format_string("%.1f%%  (", F.bround(F.col("ratio") * 100, 1)), lost, F.lit(")"))))).otherwise(F.array().cast("array<string>")),
-        F.when(F.size("partial_failures") > 0, F.concat(F.array(F.lit(""), F.lit("AVISOS"), F.lit("")), failures)).otherwise(F.array().cast("array<string>")),
+        listed(F.col("partial_failures"), "AVISOS"), listed(has("recovery", "array<string>"), "RECUPERACAO"),
     )
     return rows.select(rec, F.array_join(lines, "\n").alias("card"))
 

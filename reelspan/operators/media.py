@@ -72,10 +72,19 @@ def is_video_path(path: Column | str) -> Column:
 
 
 def log_metrics(logs: DataFrame, rec: str = "rec_id") -> DataFrame:
-    """Volumes and full-scale samples of diagnostic log text (rec, log), and whether clipping is suspected."""
+    """Volumes, full-scale samples and silence of diagnostic log text (rec, log, and duration in ms where it is known).
+
+    mean_volume_db, max_volume_db and clipping_samples (null where the log has none) are those of the first line that has one; clipping_suspected follows from
+    them. silence_seconds is the sum of all silences that the log measured, silence_ratio its share of the duration, at most 1.
+    """
     number = lambda p: to_float(F.regexp_extract("log", p, 1))
-    full = F.aggregate(F.transform(F.regexp_extract_all("log", F.lit(r"histogram_0db:\s*(\d+)"), F.lit(1)), lambda x: x.cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    rows = logs.select(rec, number(r"mean_volume:\s*(-?[0-9.]+) dB").alias("mean_volume_db"), number(r"max_volume:\s*(-?[0-9.]+) dB").alias("max_volume_db"), full.alias("clipping_samples"))
+    full = F.nullif(F.regexp_extract("log", r"histogram_0db:\s*(\d+)", 1), F.lit("")).cast("bigint")
+    silent = F.aggregate(F.regexp_extract_all("log", F.lit(r"silence_duration:\s*(\d+(?:\.\d+)?)"), F.lit(1)), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    duration = F.col("duration") / 1000.0 if "duration" in logs.columns else F.lit(None).cast("double")
+    rows = logs.select(
+        rec, number(r"mean_volume:\s*(-?[0-9.]+) dB").alias("mean_volume_db"), number(r"max_volume:\s*(-?[0-9.]+) dB").alias("max_volume_db"), full.alias("clipping_samples"),
+        F.round(silent, 3).alias("silence_seconds"), F.when(duration > 0, F.round(F.least(F.lit(1.0), silent / duration), 4)).alias("silence_ratio"),
+    )
     return rows.withColumn("clipping_suspected", clipping("max_volume_db", "clipping_samples"))
 
 

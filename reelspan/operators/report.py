@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions.format import NONE_MARK, bitrate, decimal_comma, duration_human, float_text, human_size, key_value, tag_name, thousands, timestamp_ms
@@ -10,8 +10,9 @@ from reelspan.functions.text import strip, wrap, wrap_indented
 from reelspan.operators.intervals import coverage_summary, silence_stats, speech_stats
 from reelspan.operators.packing import paragraphs
 from reelspan.operators.speakers import speaker_stats
-from reelspan.operators.textstats import joined_text, text_counts, top_words
+from reelspan.operators.textstats import STOPWORDS, joined_text, language_key, text_counts, top_words
 from reelspan.schemas import AUDIO_STREAM, CHAPTER, SUBTITLE_STREAM, VIDEO_STREAM, WORDS
+from reelspan.shared import materialise
 
 WIDTH = 78
 # Titles of the sections, in order, and texts for what is missing.
@@ -21,6 +22,8 @@ TITLES = (
 MISSING = "[INDISPONÍVEL] "
 NO_SPEECH, NO_LANGUAGE, NO_REASON = "nenhum segmento de fala foi produzido para este arquivo.", "não houve transcrição para detectar o idioma.", "motivo não informado."
 GAPS_SHOWN, THUMBS_SHOWN = 20, 40
+UNLABELLED, STILL_VALID = "SPEAKER_??", "A transcrição acima segue válida; apenas a atribuição de falantes não foi feita."
+DENSITY_TEXTS = {"curta": "curta (1 a 2 s por legenda)", "equilibrada": "equilibrada (5 a 8 s por legenda)", "longa": "longa (blocos de até 1 min)"}
 
 
 def line(text: str) -> Column:
@@ -52,8 +55,14 @@ def either(condition: Column, yes: Column, no: Column | Many) -> Many:
     return many(F.when(F.coalesce(condition, F.lit(False)), yes).otherwise(no[0] if isinstance(no, Many) else no))
 
 
+def engine_line(row) -> Column:
+    """Engine, model, device and number format of a run; null without an engine."""
+    said = lambda c: F.coalesce(row(c), F.lit(NONE_MARK))
+    return F.when(row("engine").isNotNull(), F.concat(row("engine"), F.lit(" "), said("model"), F.lit(" | device="), said("device"), F.lit(" | compute_type="), said("compute_type")))
+
+
 def header(row) -> Column:
-    return lines(F.lit("=" * WIDTH), F.lit("RELATÓRIO DE MÍDIA"), F.lit("=" * WIDTH), key_value("Arquivo", row("name")), key_value("SHA-256", row("sha256")), key_value("Processado em", row("finished_at")), F.lit("-" * WIDTH))
+    return lines(F.lit("=" * WIDTH), F.lit("RELATÓRIO DE MÍDIA"), F.lit("=" * WIDTH), key_value("Arquivo", row("name")), key_value("SHA-256", row("sha256")), key_value("Processado em", row("finished_at")), key_value("Engine", engine_line(row)), F.lit("-" * WIDTH))
 
 
 def identity(row) -> Column:
@@ -170,16 +179,25 @@ def transcript(row) -> Column:
 
 def diarization(row) -> Column:
     stat = lambda s: F.concat(F.lit("    "), F.rpad(s.speaker, 14, " "), F.lit(" "), F.lpad(duration_human(s.seconds), 12, " "), F.lit("  ("), F.lpad(float_text(s.ratio * 100, "%", 1), 6, " "), F.lit(")  "), s.segments.cast("string"), F.lit(" segmento(s)"))
-    body = F.concat(F.array(key_value("Falantes", F.size(row("speakers"))), F.lit(""), F.lit("  Tempo de fala por falante")), F.transform(row("speakers"), stat))
-    return lines(title(6), either(F.size(row("speakers")) > 0, body, missing("Diarização", NO_REASON)))
+    body = F.concat(F.array(key_value("Backend", row("diarization_backend")), key_value("Falantes", F.size(row("speakers"))), F.lit(""), F.lit("  Tempo de fala por falante")), F.transform(row("speakers"), stat))
+    without = F.concat(missing("Diarização", F.coalesce(row("diarization_reason"), F.lit(NO_REASON)))[0], line(""), wrap(F.lit(STILL_VALID), WIDTH))
+    return lines(title(6), either(F.size(row("speakers")) > 0, body, without))
 
 
 def structure(row) -> Column:
     word = lambda w: F.concat(F.lit("    "), F.lpad(w.rank.cast("string"), 2, " "), F.lit(". "), F.rpad(w.word, 24, " "), F.lit(" "), F.lpad(w["count"].cast("string"), 5, " "))
-    summary = either(row("summary").isNotNull(), wrap_indented(row("summary"), WIDTH - 4, "    "), missing("Resumo com LLM local", F.coalesce(row("summary_reason"), F.lit("bloco desativado."))))
+    empty = F.array().cast("array<string>")
+    listed = lambda c, name: F.when(F.size(row(c)) > 0, F.concat(F.array(F.lit(""), F.lit(f"  {name}")), F.transform(row(c), lambda x: F.concat(F.lit("    - "), x)))).otherwise(empty)
+    made_by = F.concat(F.lit("  Resumo local ("), F.coalesce(row("summary_provider"), F.lit(NONE_MARK)), F.lit(" / "), F.coalesce(row("summary_model"), F.lit(NONE_MARK)), F.lit(")"))
+    text = F.flatten(F.transform(F.split(row("summary"), "\n"), lambda p: wrap_indented(p, WIDTH - 4, "    ")))
+    told = F.concat(F.array(made_by), text, listed("topics", "Tópicos"), listed("action_items", "Itens de ação"), listed("quotes", "Citações"))
+    summary = either(row("summary").isNotNull(), told, missing("Resumo com LLM local", F.coalesce(row("summary_reason"), F.lit("bloco desativado."))))
+    key = language_key(F.coalesce(row("language"), F.lit("")))
+    note = F.when(key.isin(*STOPWORDS), F.concat(F.lit(" (stopwords de '"), key, F.lit("' removidas)"))).otherwise(F.lit(" (sem lista de stopwords para este idioma)"))
     return lines(
         title(7), *[key_value(n, thousands(row(c))) for n, c in (("Palavras", "words"), ("Palavras únicas", "unique_words"), ("Caracteres", "characters"), ("Sem espaços", "characters_no_spaces"))],
-        key_value("Ritmo", float_text(row("words_per_minute"), " palavras/min", 1)), F.lit(""), F.lit("  Palavras mais frequentes"), either(F.size(row("top")) > 0, F.transform(row("top"), word), line("    (nenhuma)")), F.lit(""), summary,
+        key_value("Segmentos", F.coalesce(row("n_segments"), F.lit(0))), key_value("Ritmo", float_text(row("words_per_minute"), " palavras/min", 1)), F.lit(""), F.concat(F.lit("  Palavras mais frequentes"), note),
+        either(F.size(row("top")) > 0, F.transform(row("top"), word), line("    (nenhuma)")), F.lit(""), summary,
     )
 
 
@@ -190,16 +208,23 @@ def visual(row) -> Column:
     empty = F.array().cast("array<string>")
     cuts = F.when(row("scene_threshold").isNotNull(), F.concat(row("scene_cuts").cast("string"), F.lit(" (limiar "), float_text(row("scene_threshold")), F.lit(")"))).otherwise(row("scene_cuts").cast("string"))
     taken = F.when(row("thumbnail_interval").isNotNull(), F.format_string("%d a cada %.0f s", F.coalesce(F.size(thumbs), F.lit(0)), row("thumbnail_interval")))
+    remark = F.when(row("visual_reason").isNotNull(), F.concat(line(""), wrap(F.concat(F.lit("Observação: "), row("visual_reason")), WIDTH))).otherwise(empty)
     listed = F.when(F.size(thumbs) > 0, F.concat(F.array(F.lit(""), F.lit("  Arquivos gerados (pasta sidecar)")), shown, F.coalesce(more, empty))).otherwise(empty)
-    body = F.concat(F.array(key_value("Res. codificada", row("coded_resolution")), key_value("Res. exibida", row("resolution")), key_value("Cortes de cena", cuts), key_value("Thumbnails", taken)), F.coalesce(listed, empty))
-    return lines(title(8), either(row("resolution").isNotNull(), body, missing("Camada visual", "desligada.")))
+    body = F.concat(F.array(key_value("Res. codificada", row("coded_resolution")), key_value("Res. exibida", row("resolution")), key_value("Cortes de cena", cuts), key_value("Thumbnails", taken)), F.coalesce(listed, empty), remark)
+    return lines(title(8), either(row("resolution").isNotNull(), body, missing("Camada visual", F.coalesce(row("visual_reason"), F.lit("desligada.")))))
 
 
 def footer(row) -> Column:
     outputs = F.transform(F.sort_array(F.map_entries(row("outputs"))), lambda e: F.concat(F.lit("    "), F.rpad(e.key, 15, " "), F.lit(" "), e.value))
     failures = F.flatten(F.transform(row("partial_failures"), lambda f: wrap_indented(f, WIDTH, "    - ", "      ")))
+    empty = F.array().cast("array<string>")
+    density = F.coalesce(F.create_map(*[F.lit(x) for kv in DENSITY_TEXTS.items() for x in kv])[row("subtitle_density")], row("subtitle_density"))
+    subtitled = F.coalesce(F.map_contains_key(row("outputs"), F.lit("srt")) | F.map_contains_key(row("outputs"), F.lit("vtt")), F.lit(False)) & (F.coalesce(row("subtitle_density"), F.lit("")) != "")
+    first = F.get(F.map_values(row("outputs")), F.lit(0))
+    folder = F.when(first.isNull() | ~first.contains("/"), F.lit(".")).otherwise(F.coalesce(F.nullif(F.regexp_replace(first, "/[^/]*$", ""), F.lit("")), F.lit("/")))
     return lines(
-        title(9), F.lit("  Arquivos gerados"), either(F.size(row("outputs")) > 0, outputs, line("    (nenhum)")), F.lit(""), F.lit("  Erros parciais"),
+        title(9), F.lit("  Arquivos gerados"), either(F.size(row("outputs")) > 0, outputs, line("    (nenhum)")), either(subtitled, F.array(F.lit(""), key_value("Tamanho das legendas", density)), empty),
+        F.lit(""), key_value("Pasta de saída", folder), key_value("Modelos", row("model_path")), F.lit(""), F.lit("  Erros parciais"),
         either(F.size(row("partial_failures")) > 0, failures, line("    (nenhum)")), F.lit(""), F.lit("=" * WIDTH),
     )
 
@@ -210,6 +235,8 @@ OPTIONAL = {
     "language_probability": "double", "summary": "string", "summary_reason": "string", "resolution": "string", "scene_cuts": "int", "thumbnails": "array<string>", "outputs": "map<string,string>",
     "partial_failures": "array<string>", "format_long_name": "string", "video": f"array<{VIDEO_STREAM}>", "audio": f"array<{AUDIO_STREAM}>", "subtitles": f"array<{SUBTITLE_STREAM}>",
     "chapters": f"array<{CHAPTER}>", "has_audio": "boolean", "mean_volume_db": "double", "max_volume_db": "double", "clipping_suspected": "boolean", "elapsed_seconds": "double",
+    "compute_type": "string", "diarization_backend": "string", "diarization_reason": "string", "summary_provider": "string", "summary_model": "string", "topics": "array<string>", "action_items": "array<string>",
+    "quotes": "array<string>", "visual_reason": "string", "subtitle_density": "string", "model_path": "string",
     "stages": "array<struct<stage:string,ms:bigint,status:string>>", "word_timestamps": "boolean", "coded_resolution": "string", "scene_threshold": "double", "thumbnail_interval": "double",
 }
 
@@ -228,11 +255,17 @@ def reports(recordings: DataFrame, segments: DataFrame, silences: DataFrame, rec
 
     Every block is worked out per recording and joined on it; what is missing says so instead of failing.
     """
+    # Written once: each block reads them again, and what they come from may be dear.
+    recordings, segments, silences = (materialise(df, name) for df, name in ((recordings, "recordings"), (segments, "segments"), (silences, "silences")))
     base = recordings.select(rec, F.col("duration").cast("bigint").alias("duration"), *[(F.col(c) if c in recordings.columns else F.lit(None)).cast(t).alias(c) for c, t in OPTIONAL.items()])
-    stamp = F.concat(F.lit("["), timestamp_ms("st"), F.lit(" → "), timestamp_ms("en"), F.lit("] "), F.when(F.col("speaker").isNotNull(), F.concat("speaker", F.lit(": "))).otherwise(F.lit("")))
-    rows = segments.withColumn("_s", stamp)
-    wrapped = F.transform(wrap(F.col("text"), F.greatest(F.lit(20), WIDTH - F.length("_s"))), lambda t, i: F.concat(F.when(i == 0, F.col("_s")).otherwise(F.lit("            ")), t))
-    seg_lines = rows.select(rec, "seg_id", wrapped.alias("l")).groupBy(rec).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seg_id", "l"))), lambda x: x.l)).alias("segment_lines"))
+    # Where some segment of a recording has a speaker, those without one say so.
+    speaker = F.nullif(F.col("speaker"), F.lit("")) if "speaker" in segments.columns else F.lit(None).cast("string")
+    named = F.max(speaker.isNotNull()).over(Window.partitionBy(rec))
+    label = F.when(named, F.concat(F.coalesce(speaker, F.lit(UNLABELLED)), F.lit(": "))).otherwise(F.lit(""))
+    rows = segments.withColumn("_s", F.concat(F.lit("["), timestamp_ms("st"), F.lit(" → "), timestamp_ms("en"), F.lit("] "), label))
+    cut = F.transform(F.array(wrap(F.col("text"), F.greatest(F.lit(20), WIDTH - F.length("_s")))), lambda w: F.when(F.size(w) > 0, w).otherwise(F.array(F.lit(""))))[0]
+    wrapped = F.transform(cut, lambda t, i: F.concat(F.when(i == 0, F.col("_s")).otherwise(F.repeat(F.lit(" "), F.length("_s"))), t))
+    seg_lines = rows.select(rec, "seg_id", wrapped.alias("l")).groupBy(rec).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seg_id", "l"))), lambda x: x.l)).alias("segment_lines"), F.count("*").alias("n_segments"))
     par = paragraphs(segments, rec=rec).select(rec, "par_no", F.concat(wrap("text", WIDTH), F.array(F.lit(""))).alias("l"))
     par_lines = par.groupBy(rec).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("par_no", "l"))), lambda x: x.l)).alias("paragraph_lines"))
     covered = coverage_summary(segments, silences, recordings, rec=rec).withColumnRenamed("reason", "coverage_reason")

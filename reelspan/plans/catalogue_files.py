@@ -72,14 +72,14 @@ def video_paths(spark, d):
     return table(spark, d, "pages").select("page_id", media.is_video_path(F.concat("url", pick(SUFFIXES, F.col("page_id")))).alias("is_video"))
 
 
-@query("""SELECT o_orderkey AS rec_id, CASE WHEN o_orderkey%11>0 THEN -(o_orderkey%60)-0.5 END::DOUBLE AS mean_volume_db, -(o_custkey%30+1)/10 AS max_volume_db, o_orderkey%150+o_custkey%2 AS clipping_samples,
-o_orderkey%150+o_custkey%2>100 OR (o_custkey%30=0 AND o_orderkey%150+o_custkey%2>0) AS clipping_suspected, CAST(o_orderkey%4 AS INTEGER) AS scene_cuts FROM orders""")
+@query("""SELECT o_orderkey AS rec_id, CASE WHEN o_orderkey%11>0 THEN -(o_orderkey%60)-0.5 END::DOUBLE AS mean_volume_db, -(o_custkey%30+1)/10 AS max_volume_db, o_orderkey%150 AS clipping_samples, (o_custkey%50)/4+0.75 AS silence_seconds,
+CASE WHEN o_orderkey%5>0 THEN round(least(1.0, ((o_custkey%50)/4+0.75)/(o_orderkey%5*4)), 4) END AS silence_ratio, o_orderkey%150>100 OR (o_custkey%30=0 AND o_orderkey%150>0) AS clipping_suspected, CAST(o_orderkey%4 AS INTEGER) AS scene_cuts FROM orders""")
 def log_metrics(spark, d):
     """Volumes, full-scale samples and scene cuts of diagnostic logs."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     mean = F.when(k % 11 > 0, text_of("mean_volume: -", (k % 60).cast("string"), ".5 dB\n")).otherwise(F.lit("mean_volume: none\n"))
-    log = text_of("[x] ", mean, "[x] max_volume: -", F.format_string("%.1f", (c % 30 + 1) / 10.0), " dB\n[x] histogram_0db: ", (k % 150).cast("string"), "\nhistogram_1db: 7\n histogram_0db: ", (c % 2).cast("string"), "\n", F.repeat(F.lit("pts_time:1.5 pts_time:x\n"), (k % 4).cast("int")))
-    logs = table(spark, d, "orders").select(k.alias("rec_id"), log.alias("log"))
+    log = text_of("[x] ", mean, "[x] max_volume: -", F.format_string("%.1f", (c % 30 + 1) / 10.0), " dB\n[x] histogram_0db: ", (k % 150).cast("string"), "\nhistogram_1db: 7\n histogram_0db: ", (c % 2).cast("string"), "\nsilence_end: 2 | silence_duration: ", ((c % 50) / 4.0).cast("string"), "\nsilence_duration: 0.75\n", F.repeat(F.lit("pts_time:1.5 pts_time:x\n"), (k % 4).cast("int")))
+    logs = table(spark, d, "orders").select(k.alias("rec_id"), log.alias("log"), (k % 5 * 4000).alias("duration"))
     return media.log_metrics(logs).join(media.scene_cuts(logs), "rec_id")
 
 
@@ -372,9 +372,9 @@ def document_round_trip(spark, d):
     )
 
 
-@query(with_views("""SELECT rec_id, concat_ws(chr(10), 'RESUMO DO PROCESSAMENTO', '', '  Duração do arquivo   '||replace(printf('%.1f', dur/1000),'.',',')||' s', '  Tempo de trabalho    '||replace(printf('%.1f', rec_id%90+0.5),'.',',')||' s ('||replace(printf('%.2f', rec_id%9+0.25),'.',',')||'x tempo real)',
+@query(with_views("""SELECT rec_id, concat_ws(chr(10), 'ARQUIVOS GERADOS', '', CASE WHEN rec_id%2=0 THEN '  srt              /o/'||rec_id||'.srt'||chr(10)||'  txt              /o/'||rec_id||'.txt' END, CASE WHEN rec_id%3=0 THEN '  cópia            /v/'||rec_id||'.srt' END, '', 'RESUMO DO PROCESSAMENTO', '', '  Duração do arquivo   '||replace(printf('%.1f', dur/1000),'.',',')||' s', '  Tempo de trabalho    '||replace(printf('%.1f', rec_id%90+0.5),'.',',')||' s ('||replace(printf('%.2f', rec_id%9+0.25),'.',',')||'x tempo real)',
 '  Modelo               small em '||CASE WHEN rec_id%2=0 THEN 'cpu' ELSE '-' END, '  Idioma               en', '  Palavras             '||words, '  Trechos              '||n, '  Falantes             '||sp,
-'  Cobertura            '||printf('%.1f%%  (', round(least(1.0, covered/dur),4)*100)||CASE WHEN g=0 THEN 'nenhum trecho fora do silêncio' ELSE printf('%d trecho(s) sem texto, %.0f s', g, g*2.5) END||')', CASE WHEN rec_id%5=0 THEN concat_ws(chr(10), '', 'AVISOS', '', '  - sem espaço') END) AS card
+'  Cobertura            '||printf('%.1f%%  (', round(least(1.0, covered/dur),4)*100)||CASE WHEN g=0 THEN 'nenhum trecho fora do silêncio' ELSE printf('%d trecho(s) sem texto, %.0f s', g, g*2.5) END||')', CASE WHEN rec_id%5=0 THEN concat_ws(chr(10), '', 'AVISOS', '', '  - sem espaço') END, CASE WHEN rec_id%7=0 THEN concat_ws(chr(10), '', 'RECUPERACAO', '', '  - modelo menor') END) AS card
 FROM (SELECT rec_id, max(en)+1000 AS dur, CAST(sum(en-st) AS DOUBLE) AS covered, count(*) AS n, count(DISTINCT speaker) AS sp, count(*) FILTER (WHERE seg_id%3=2 AND more) AS g, CAST(sum(len(regexp_extract_all(text, '[\\p{L}\\p{Nl}\\p{No}]+(?:[’''-][\\p{L}\\p{Nl}\\p{No}]+)*'))) AS BIGINT) AS words
 FROM (SELECT *, lead(seg_id) OVER (PARTITION BY rec_id ORDER BY seg_id) IS NOT NULL AS more FROM seg_conv) GROUP BY rec_id)""", "seg_conv"))
 def job_cards(spark, d):
@@ -386,6 +386,8 @@ def job_cards(spark, d):
     runs = recordings.select(
         k, (F.col("duration") / 1000.0).alias("duration"), (k % 90 + 0.5).alias("elapsed_seconds"), (k % 9 + 0.25).alias("realtime_factor"), F.lit("small").alias("model"), F.when(k % 2 == 0, F.lit("cpu")).alias("device"), F.lit("en").alias("language"),
         F.when(k % 5 == 0, F.array(F.lit("sem espaço"))).otherwise(F.array().cast("array<string>")).alias("partial_failures"),
+        F.when(k % 2 == 0, F.create_map(F.lit("txt"), text_of("/o/", k.cast("string"), ".txt"), F.lit("srt"), text_of("/o/", k.cast("string"), ".srt"))).alias("outputs"), F.when(k % 3 == 0, F.array(text_of("/v/", k.cast("string"), ".srt"))).alias("copies"),
+        F.when(k % 7 == 0, F.array(F.lit("modelo menor"))).alias("recovery"),
     )
     stats = textstats.text_counts(textstats.joined_text(segments))
     return history.job_cards(runs, coverage, segments, stats)

@@ -12,6 +12,7 @@ from reelspan.functions.text import safe_stem, wrap
 from reelspan.operators.history import KEPT, retain
 from reelspan.operators.intervals import coverage_summary
 from reelspan.operators.packing import paragraphs
+from reelspan.operators.report import NO_REASON, availability
 from reelspan.operators.speakers import speaker_stats
 from reelspan.operators.textstats import joined_text, text_counts, top_words
 from reelspan.schemas import LEDGER, WORDS
@@ -57,8 +58,9 @@ def document_blocks(segments: DataFrame, silences: DataFrame, recordings: DataFr
     rows = recordings
     for part in (coverage, stats, speakers, text):
         rows = rows.join(part, rec, "left")
-    found = F.coalesce(F.size("speakers"), F.lit(0)) > 0
-    return rows.withColumn("diarization", F.struct(found.alias("available"), F.when(found, F.size("speakers")).otherwise(0).cast("bigint").alias("speaker_count")))
+    rows = availability(rows, {"diarization": (F.size("speakers") > 0, NO_REASON)})
+    counted = F.when(F.col("diarization_available"), F.size("speakers")).otherwise(0).cast("bigint")
+    return rows.withColumn("diarization", F.struct(F.col("diarization_available").alias("available"), counted.alias("speaker_count"), F.col("diarization_reason").alias("reason"))).drop("diarization_available", "diarization_reason")
 
 
 def merged_documents(documents: DataFrame, changed: DataFrame, rec: str = "rec_id") -> DataFrame:

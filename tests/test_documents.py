@@ -98,3 +98,25 @@ def test_whole_documents_come_back(spark, tmp_path):
     assert out == {"a": doc | {"text": "ola"}, "new": {"text": "x", "stats": 3}}
     docs.write.parquet(str(tmp_path / "table"))  # blocks as VARIANT
     assert "variant" in dict(spark.read.parquet(str(tmp_path / "table")).dtypes)["blocks"]
+
+
+def test_report_sections_with_all_that_they_can_hold(spark):
+    rec = spark.createDataFrame(
+        [(1, 9000, "small", "faster", "cpu", "int8", "pyannote", "Resumo\nem dois", "local", "m7", ["a", "b"], ["fazer"], ["disse"], "640x360", "sem cortes", {"srt": "/out/x.srt", "txt": "/out/x.txt"}, "curta", "/models", "pt-BR", ["t1.jpg"])],
+        "rec_id int, duration int, model string, engine string, device string, compute_type string, diarization_backend string, summary string, summary_provider string, summary_model string, topics array<string>, action_items array<string>, "
+        "quotes array<string>, resolution string, visual_reason string, outputs map<string,string>, subtitle_density string, model_path string, language string, thumbnails array<string>",
+    )
+    long = "palavra " * 20
+    seg = spark.createDataFrame([(1, 0, 0, 2000, long.strip(), "SPEAKER_00"), (1, 1, 2000, 4000, "sem dono", None), (1, 2, 4000, 4500, "", None)], "rec_id int, seg_id int, st bigint, en bigint, text string, speaker string")
+    quiet = spark.createDataFrame([], "rec_id int, st bigint, en bigint")
+    text = report.reports(rec, seg, quiet).first().content
+    prefix = "[00:00:00.000 → 00:00:02.000] SPEAKER_00: "
+    wrapped = textwrap.wrap(long.strip(), 78 - len(prefix))
+    assert "\n".join([prefix + wrapped[0], *[" " * len(prefix) + w for w in wrapped[1:]], "[00:00:02.000 → 00:00:04.000] SPEAKER_??: sem dono", "[00:00:04.000 → 00:00:04.500] SPEAKER_??: "]) in text
+    for part in (
+        "Engine          : faster small | device=cpu | compute_type=int8", "Backend         : pyannote", "Segmentos       : 3", "Palavras mais frequentes (stopwords de 'pt' removidas)", "  Resumo local (local / m7)\n    Resumo\n    em dois\n\n  Tópicos\n    - a\n    - b\n\n  Itens de ação\n    - fazer\n\n  Citações\n    - disse",
+        "Observação: sem cortes", "    t1.jpg", "Tamanho das legendas: curta (1 a 2 s por legenda)", "Pasta de saída  : /out", "Modelos         : /models",
+    ):
+        assert part in text, (part, text)
+    bare = report.reports(rec.select("rec_id", "duration"), seg.withColumn("speaker", F.lit(None).cast("string")), quiet).first().content
+    assert "[00:00:02.000 → 00:00:04.000] sem dono" in bare and "A transcrição acima segue válida" in bare and "(sem lista de stopwords para este idioma)" in bare and "Pasta de saída  : ." in bare
