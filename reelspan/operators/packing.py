@@ -67,7 +67,8 @@ def cue(st: Column, en: Column, text: Column, words: Column) -> Column:
 
 
 def together(a: Column, b: Column, en: Column) -> Column:
-    return cue(a.st, en, strip(F.concat(a.text, F.lit(" "), b.text)), F.concat(a.words, b.words))
+    """Two cues as one; texts of cues are stripped and not empty, so what joins them is too."""
+    return cue(a.st, en, F.concat(a.text, F.lit(" "), b.text), F.concat(a.words, b.words))
 
 
 def split_by_words(c: Column, most_ms: int | Column, room: Column) -> Column:
