@@ -4,13 +4,15 @@ With S and n the sum and the number of a cluster's unit vectors, the mean cosine
 clusters is 1 - S_a S_b / (n_a n_b), so a cluster is one row. Average linkage never brings two clusters closer by
 merging others, so any two that are each other's nearest may merge at once, in whatever order: the tree
 of merges is the same as one by one. Each round finds every cluster's nearest by pairs of blocks, merges
-the reciprocal ones, and is written to the shared folder. The merges of least height that the stopping rule asks for
+the reciprocal ones, and is written to the shared folder. Once a recording has few clusters left (``FINISH``), one
+task makes the rest of its merges. The merges of least height that the stopping rule asks for
 are then applied, by pointer doubling.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from reelspan.shared import materialise
 
 #: Digits of a distance that count, so that sums in another order give the same ties.
 DIGITS = 12
+#: Clusters left of a recording from which on its merges are made in one task.
+FINISH = 2048
 
 
 def mean_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -40,6 +44,24 @@ def nearest_in(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarra
     return {k: np.concatenate([first[k], second[k]]) for k in first}
 
 
+def merge_all(means: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, float]]:
+    """All merges (keep, gone, distance) of clusters, the nearest two first, ties to the lowest pair."""
+    n, sizes = len(means), sizes.astype(np.float64)
+    apart = mean_distances(means, means)
+    apart[np.tril_indices(n)] = np.inf
+    merges = []
+    for _ in range(n - 1):
+        i, j = divmod(int(np.argmin(apart)), n)
+        merges.append((i, j, float(apart[i, j])))
+        to_i, to_j = np.minimum(apart[i], apart[:, i]), np.minimum(apart[j], apart[:, j])
+        joined = np.round((sizes[i] * to_i + sizes[j] * to_j) / (sizes[i] + sizes[j]), DIGITS)
+        joined[i] = joined[j] = np.inf
+        apart[:i, i], apart[i, i + 1 :] = joined[:i], joined[i + 1 :]
+        apart[j, :], apart[:, j] = np.inf, np.inf
+        sizes[i] += sizes[j]
+    return merges
+
+
 def wanted_merges(rec: str, progress: DataFrame, threshold: float, target: int | None, least: int, most: int | None) -> DataFrame:
     """(rec, wanted): how many merges the rule asks for, given (rec, n, under): chunks, and merges of at most ``threshold``."""
     n, under = F.col("n"), F.col("under")
@@ -50,7 +72,7 @@ def wanted_merges(rec: str, progress: DataFrame, threshold: float, target: int |
     return progress.withColumn("wanted", F.greatest(F.lit(0), F.least(asked, n - 1)).cast("bigint"))
 
 
-def merge_tree(chunks: DataFrame, threshold: float, target: int | None, least: int, most: int | None, rec: str, block: int) -> tuple[DataFrame, DataFrame]:
+def merge_tree(chunks: DataFrame, threshold: float, target: int | None, least: int, most: int | None, rec: str, block: int, finish: int = FINISH) -> tuple[DataFrame, DataFrame]:
     """(rec, id) of the chunks, and merges (rec, keep, gone, d, round): at least the lowest that the rule asks for."""
     start = chunks.select(rec, F.col("idx").cast("bigint").alias("id"), F.lit(1).cast("bigint").alias("n"), F.col("embedding").cast("array<double>").alias("sum"))
 
@@ -63,9 +85,25 @@ def merge_tree(chunks: DataFrame, threshold: float, target: int | None, least: i
 
     clusters = materialise(start.mapInArrow(to_unit, start.schema), "clusters")
     chunks_of, kind = clusters.groupBy(rec).agg(F.count("*").alias("n")), chunks.schema[rec].dataType.simpleString()
-    merges = chunks.sparkSession.createDataFrame([], f"{rec} {kind}, keep bigint, gone bigint, d double, round int")
+    merge_schema = f"{rec} {kind}, keep bigint, gone bigint, d double, round int"
+    merges = chunks.sparkSession.createDataFrame([], merge_schema)
     ids, going, number = clusters.select(rec, "id"), clusters, 0
+
+    def rest(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        found, sizes = rows["id"].to_numpy(), rows["n"].to_numpy()
+        made = merge_all(np.stack(rows["sum"].to_numpy()) / sizes[:, None], sizes)
+        first = int(rows["_round"].iloc[0])
+        return pd.DataFrame({rec: rows[rec].iloc[0], "keep": [found[i] for i, _, _ in made], "gone": [found[j] for _, j, _ in made], "d": [d for _, _, d in made], "round": range(first, first + len(made))})
+
     while not going.isEmpty():
+        few = materialise(going.groupBy(rec).count().filter(F.col("count") <= finish).select(rec), "few")
+        if not few.isEmpty():
+            ended = going.join(few, rec, "left_semi").withColumn("_round", F.lit(number)).groupBy(rec).applyInPandas(rest, merge_schema)
+            merges = materialise(merges.unionByName(ended), "merges")
+            going = materialise(going.join(few, rec, "left_anti"), "clusters")
+            if going.isEmpty():
+                break
         means = going.select(rec, "id", F.transform("sum", lambda x: x / F.col("n")).alias("mean"))
         pairs = block_pairs(blocked(means, "id", "mean", block, rec, normed=False), rec)
         found = over_pairs(pairs, nearest_in, "id bigint, d double, other bigint", rec)
@@ -102,9 +140,9 @@ def roots(ids: DataFrame, links: DataFrame, rec: str) -> DataFrame:
             return up
 
 
-def long_clusters(chunks: DataFrame, threshold: float, target: int | None, least: int, most: int | None, rec: str = "rec_id", block: int = 1024) -> DataFrame:
+def long_clusters(chunks: DataFrame, threshold: float, target: int | None, least: int, most: int | None, rec: str = "rec_id", block: int = 1024, finish: int = FINISH) -> DataFrame:
     """(rec, idx, cluster) as ``speakers.average_linkage`` gives, for recordings of any length."""
-    ids, merges = merge_tree(chunks, threshold, target, least, most, rec, block)
+    ids, merges = merge_tree(chunks, threshold, target, least, most, rec, block, finish)
     sizes = ids.groupBy(rec).agg(F.count("*").alias("n"))
     under = merges.groupBy(rec).agg(F.count_if(F.col("d") <= threshold).alias("under"))
     wanted = wanted_merges(rec, sizes.join(under, rec, "left").withColumn("under", F.coalesce("under", F.lit(0))), threshold, target, least, most)

@@ -35,13 +35,12 @@ def recordings(seed=0):
     return {1: near(17, 0.3), 2: np.float32(rng.normal(size=(12, 6))), 3: near(1, 0.1), 4: near(2, 2.0), 5: np.repeat(near(3, 0.2), 5, axis=0), 6: np.float32([[0] * 6, [1] * 6, [0] * 6])}
 
 
-@pytest.mark.parametrize("rule", [(0.3, None, 1, 8), (0.6, None, 1, None), (0.1, None, 3, 4), (0.3, 2, 1, 8)])
-def test_rounds_equal_plain_merges(spark, monkeypatch, rule):
-    monkeypatch.setattr(speakers, "IN_TASK", 0)
-    monkeypatch.setattr(speakers, "BLOCK", 7)
+@pytest.mark.parametrize("rule, finish", [((0.3, None, 1, 8), 0), ((0.6, None, 1, None), 5), ((0.1, None, 3, 4), 9), ((0.3, 2, 1, 8), 2048)])
+def test_rounds_equal_plain_merges(spark, rule, finish):
+    """All by rounds, all in a task, and both one after the other."""
     data = recordings()
     got = {}
-    for r in speakers.cluster_chunks(table(spark, data), *rule).collect():
+    for r in linkage.long_clusters(table(spark, data), *rule, block=7, finish=finish).collect():
         got.setdefault(r.rec_id, {})[r.idx] = r.cluster
     for rec, vectors in data.items():
         assert [got[rec][i] for i in range(len(vectors))] == plain_clusters(vectors, *rule), rec
@@ -68,7 +67,7 @@ def test_the_registered_query_equals_plain_merges(spark):
 def test_merges_are_few_rounds(spark):
     rng = np.random.default_rng(3)
     data = {1: np.float32([np.eye(8)[i % 8] + rng.normal(size=8) * 0.02 for i in range(80)])}
-    _, merges = linkage.merge_tree(table(spark, data), 0.3, None, 1, 8, "rec_id", 64)
+    _, merges = linkage.merge_tree(table(spark, data), 0.3, None, 1, 8, "rec_id", 64, finish=0)
     assert merges.count() == 72 and merges.agg({"round": "max"}).first()[0] < 16
 
 
