@@ -98,7 +98,11 @@ def test_probe_documents(spark):
 def test_logs_and_rules(spark):
     log = "mean_volume: -40.5 dB\nmax_volume: 0.0 dB\nhistogram_0db: 70\nhistogram_0db: 40\npts_time:1.5 pts_time:x pts_time:2"
     logs = spark.createDataFrame([(1, log), (2, "")], "rec_id int, log string")
-    assert rows(media.log_metrics(logs)) == [(1, -40.5, 0.0, 110, True), (2, None, None, 0, False)]
+    # The first histogram line counts; a log without one has no number.
+    measured = ("rec_id", "mean_volume_db", "max_volume_db", "clipping_samples", "clipping_suspected")
+    assert rows(media.log_metrics(logs), *measured) == [(1, -40.5, 0.0, 70, True), (2, None, None, None, False)]
+    twice = spark.createDataFrame([(1, "histogram_0db: 60\nhistogram_0db: 60\nsilence_duration: 1.5 x\nsilence_duration: 2", 7000)], "rec_id int, log string, duration bigint")
+    assert rows(media.log_metrics(twice), "clipping_samples", "clipping_suspected", "silence_seconds", "silence_ratio") == [(60, False, 3.5, 0.5)]
     assert rows(media.scene_cuts(logs), "scene_cuts") == [(0,), (2,)]
     data = [(1, True, 0.01, [(0, 6, 8000)], -40.5, 0.0, 110, True, 0.95, False), (2, False, None, [], None, None, 0, False, None, None)]
     df = spark.createDataFrame(data, "rec_id int, has_audio boolean, duration double, audio array<struct<index:int,channels:int,sample_rate:int>>, mean_volume_db double, max_volume_db double, clipping_samples int, clipping_suspected boolean, silence_ratio double, speech_detected boolean")
