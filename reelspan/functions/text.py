@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,9 +26,19 @@ def _folding() -> tuple[str, str]:
 _FROM, _TO = _folding()
 
 
+#: White space of any kind, and its separators alone (Zs).
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+WHITE_SPACE = "\t\n\x0b\f\r\x85\u2028\u2029" + SPACES
+
+
 def strip(c: Column | str) -> Column:
     """Text without white space of any kind at its ends."""
-    return F.regexp_replace(col(c), "(?U)^\\s+|\\s+$", "")
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once; a column used inside a fold is otherwise worked out at each of its steps."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _ascii_forms() -> tuple[str, str, dict[str, str]]:
@@ -100,10 +111,11 @@ def wrap(c: Column | str, width: int | Column, hyphens: bool = False) -> Column:
     items = F.regexp_extract_all(strip(c), F.lit("\\s*\\S+"), F.lit(0))
 
     def pieces(item: Column) -> Column:
-        word = F.regexp_replace(item, "^\\s+", "")
+        word = F.ltrim(item, F.lit(" \t\n\x0b\f\r"))
         gap = F.length(item) - F.length(word)
+        whole = F.array(F.struct(gap.alias("gap"), word.alias("w")))
         if not hyphens:
-            return F.array(F.struct(gap.alias("gap"), word.alias("w")))
+            return whole
         return F.transform(F.split(word, HYPHEN_BREAK), lambda p, i: F.struct(F.when(i == 0, gap).otherwise(0).alias("gap"), p.alias("w")))
 
     words = F.flatten(F.transform(items, pieces))

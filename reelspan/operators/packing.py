@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions.format import srt_time, timestamp_ms
-from reelspan.functions.text import strip, wrap_at_most
+from reelspan.functions.text import let, strip, wrap_at_most
 from reelspan.operators.greedy import next_beyond, numbered_segments, reached
 from reelspan.schemas import WORDS
 from reelspan.shared import materialise
@@ -73,52 +73,69 @@ def together(a: Column, b: Column, en: Column) -> Column:
 
 def split_by_words(c: Column, most_ms: int | Column, room: Column) -> Column:
     """Pieces of a cue cut at word times; each starts with its first word and ends with its last."""
-    zero = F.struct(empty(CUE).alias("d"), null(CUE).alias("c"), F.lit(0).alias("n"))
+    words = F.transform(c.words, lambda w: F.struct(w.st.alias("st"), w.en.alias("en"), strip(w.word).alias("text")))
+    run = "struct<at:int,n:int>"
+    zero = F.struct(empty(run).alias("d"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("size"), null("bigint").alias("st"))
 
-    def step(z: Column, w: Column) -> Column:
-        text = strip(w.word)
-        size = F.length(text) + 1
-        own = cue(w.st, w.en, text, F.array(w))
-        full = (w.en - z.c.st > most_ms) | (z.n + size > room)
-        return (
-            F.when(z.c.isNull(), F.struct(z.d.alias("d"), own.alias("c"), size.alias("n")))
-            .when(full, F.struct(F.concat(z.d, F.array(z.c)).alias("d"), own.alias("c"), size.alias("n")))
-            .otherwise(F.struct(z.d.alias("d"), cue(z.c.st, w.en, F.concat(z.c.text, F.lit(" "), text), F.concat(z.c.words, F.array(w))).alias("c"), (z.n + size).alias("n")))
-        )
+    def pieces(v: Column) -> Column:
+        def step(z: Column, w: Column) -> Column:
+            size = F.length(w.text) + 1
+            full = (w.en - z.st > v.most) | (z["size"] + size > v.room)
+            return (
+                F.when(z.n == 0, F.struct(z.d.alias("d"), z["at"].alias("at"), F.lit(1).alias("n"), size.alias("size"), w.st.alias("st")))
+                .when(full, F.struct(F.concat(z.d, F.array(_run(z, run))).alias("d"), (z["at"] + z.n).alias("at"), F.lit(1).alias("n"), size.alias("size"), w.st.alias("st")))
+                .otherwise(F.struct(z.d.alias("d"), z["at"].alias("at"), (z.n + 1).alias("n"), (z["size"] + size).alias("size"), z.st.alias("st")))
+            )
+
+        def piece(r: Column) -> Column:
+            return let(_part(v.words, r), lambda p: _piece(p[0].st, F.element_at(p, -1).en, F.array_join(F.transform(p, lambda w: w.text), " ")))
 
-    return F.aggregate(c.words, zero, step, lambda z: F.concat(z.d, F.array(z.c)))
+        return F.transform(F.aggregate(v.words, zero, step, lambda z: F.concat(z.d, F.array(_run(z, run)))), piece)
+
+    return let(F.struct(words.alias("words"), F.lit(most_ms).alias("most"), room.alias("room")), pieces)
 
 
 def split_evenly(c: Column, most_ms: int | Column, room: Column) -> Column:
     """Pieces of a cue without word times: by characters and by words at the cue's own pace, timed by words."""
     words = F.filter(F.split(strip(c.text), "\\s+"), lambda w: w != "")
-    total, length = F.size(words), F.greatest(F.lit(0).cast("bigint"), c.en - c.st)
-    pace = F.when(length > 0, F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(most_ms) * total / length).cast("bigint"))).otherwise(total.cast("bigint"))
-    group = "struct<n:int,size:int,text:string>"
-    zero = F.struct(empty(group).alias("d"), null(group).alias("c"))
-    as_group = lambda n, size, text: F.struct(n.alias("n"), size.alias("size"), text.alias("text")).cast(group)
-
-    def step(z: Column, w: Column) -> Column:
-        size = F.length(w) + 1
-        own = as_group(F.lit(1), size, w)
-        return (
-            F.when(z.c.isNull(), F.struct(z.d.alias("d"), own.alias("c")))
-            .when((z.c["size"] + size > room) | (z.c.n >= pace), F.struct(F.concat(z.d, F.array(z.c)).alias("d"), own.alias("c")))
-            .otherwise(F.struct(z.d.alias("d"), as_group(z.c.n + 1, z.c["size"] + size, F.concat(z.c.text, F.lit(" "), w)).alias("c")))
-        )
+    length = F.greatest(F.lit(0).cast("bigint"), c.en - c.st)
+    run = "struct<at:int,n:int>"
+    zero = F.struct(empty(run).alias("d"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("size"))
 
-    groups = F.aggregate(words, zero, step, lambda z: F.when(z.c.isNull(), z.d).otherwise(F.concat(z.d, F.array(z.c))))
-    timed = F.aggregate(
-        groups,
-        F.struct(empty(CUE).alias("d"), F.lit(0).alias("used"), c.st.alias("at")),
-        lambda z, g: F.struct(
-            F.concat(z.d, F.array(cue(z["at"], _until(c, length, z.used + g.n, total), g.text, c.words))).alias("d"),
-            (z.used + g.n).alias("used"),
-            _until(c, length, z.used + g.n, total).alias("at"),
-        ),
-        lambda z: z.d,
-    )
-    return F.when(F.size(timed) > 1, timed).otherwise(F.array(c))
+    def pieces(v: Column) -> Column:
+        def step(z: Column, w: Column) -> Column:
+            size = F.length(w) + 1
+            return (
+                F.when(z.n == 0, F.struct(z.d.alias("d"), z["at"].alias("at"), F.lit(1).alias("n"), size.alias("size")))
+                .when((z["size"] + size > v.room) | (z.n >= v.pace), F.struct(F.concat(z.d, F.array(_run(z, run))).alias("d"), (z["at"] + z.n).alias("at"), F.lit(1).alias("n"), size.alias("size")))
+                .otherwise(F.struct(z.d.alias("d"), z["at"].alias("at"), (z.n + 1).alias("n"), (z["size"] + size).alias("size")))
+            )
+
+        def piece(r: Column) -> Column:
+            return _piece(_until(c, v.length, r["at"], v.total), _until(c, v.length, r["at"] + r.n, v.total), F.array_join(_part(v.words, r), " "))
+
+        runs = F.aggregate(v.words, zero, step, lambda z: F.when(z.n == 0, z.d).otherwise(F.concat(z.d, F.array(_run(z, run)))))
+        return let(runs, lambda r: F.when(F.size(r) > 1, F.transform(r, piece)).otherwise(F.array(_piece(c.st, c.en, c.text))))
+
+    def paced(v: Column) -> Column:
+        total = F.size(v.words)
+        pace = F.when(v.length > 0, F.greatest(F.lit(1).cast("bigint"), F.floor(v.most * total / v.length).cast("bigint"))).otherwise(total.cast("bigint"))
+        return let(F.struct(v.words.alias("words"), v.length.alias("length"), v.room.alias("room"), total.alias("total"), pace.alias("pace")), pieces)
+
+    return let(F.struct(words.alias("words"), length.alias("length"), F.lit(most_ms).alias("most"), room.alias("room")), paced)
+
+
+def _run(z: Column, kind: str) -> Column:
+    return F.struct(z["at"].alias("at"), z.n.alias("n")).cast(kind)
+
+
+def _part(words: Column, run: Column) -> Column:
+    """The words of a run, looked up one by one: a slice would read the whole array for each run."""
+    return F.transform(F.sequence(run["at"] + 1, run["at"] + run.n), lambda i: F.element_at(words, i))
+
+
+def _piece(st: Column, en: Column, text: Column) -> Column:
+    return F.struct(st.alias("st"), en.alias("en"), text.alias("text")).cast(PIECE)
 
 
 def _until(c: Column, length: Column, used: Column, total: Column) -> Column:
@@ -159,12 +176,13 @@ def build_cues(segments: DataFrame, density: str | Column | None = None, rec: st
     joined = islands.withColumn("cues", fold_rows(F.col("cues"), short, lambda a, b: together(a, b, b.en)))
     one = joined.select(rec, "_island", "speaker", "_density", F.posexplode("cues").alias("_p", "c"))
     fits = (length(F.col("c")) <= most_ms) & (F.length("c.text") <= room)
-    pieces = F.when(fits, F.array("c")).when(F.size("c.words") > 0, split_by_words(F.col("c"), most_ms, room)).otherwise(split_evenly(F.col("c"), most_ms, room))
+    whole = F.array(_piece(F.col("c.st"), F.col("c.en"), F.col("c.text")))
+    pieces = F.when(fits, whole).when(F.size("c.words") > 0, split_by_words(F.col("c"), most_ms, room)).otherwise(split_evenly(F.col("c"), most_ms, room))
     back = one.select(rec, "_island", "speaker", "_p", pieces.alias("pieces")).groupBy(rec, "_island", "speaker").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_p", "pieces"))), lambda x: x.pieces)).alias("cues")
     )
     sliver = lambda a, b: (length(b) < SLIVER_MS) & (b.st - a.en <= SLIVER_GAP_MS)
-    merged = fold_rows(F.filter("cues", lambda c: strip(c.text) != ""), sliver, lambda a, b: together(a, b, F.greatest(a.en, b.en)))
+    merged = fold_rows(F.filter("cues", lambda c: strip(c.text) != ""), sliver, lambda a, b: _piece(a.st, F.greatest(a.en, b.en), F.concat(a.text, F.lit(" "), b.text)), PIECE)
     final = back.select(rec, "_island", "speaker", F.posexplode(merged).alias("_p", "c"))
     number = F.row_number().over(Window.partitionBy(rec).orderBy("_island", "_p"))
     return final.select(rec, number.alias("cue_no"), F.col("c.st").alias("st"), F.col("c.en").alias("en"), F.col("c.text").alias("text"), "speaker")
