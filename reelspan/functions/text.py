@@ -116,7 +116,9 @@ def wrap(c: Column | str, width: int | Column, hyphens: bool = False) -> Column:
         whole = F.array(F.struct(gap.alias("gap"), word.alias("w")))
         if not hyphens:
             return whole
-        return F.transform(F.split(word, HYPHEN_BREAK), lambda p, i: F.struct(F.when(i == 0, gap).otherwise(0).alias("gap"), p.alias("w")))
+        # The pattern is compiled for every word that is split, so only those with a hyphen are.
+        broken = F.transform(F.split(word, HYPHEN_BREAK), lambda p, i: F.struct(F.when(i == 0, gap).otherwise(0).alias("gap"), p.alias("w")))
+        return F.when(F.contains(word, F.lit("-")), broken).otherwise(whole)
 
     words = F.flatten(F.transform(items, pieces))
     zero = F.struct(F.array().cast("array<string>").alias("d"), F.lit("").alias("c"))

@@ -34,3 +34,15 @@ def test_one_segment_of_many_words(spark, timed):
     found = packing.build_cues(rows, "curta").orderBy("cue_no").collect()
     assert time.monotonic() - began < 15
     assert [(r.st, r.en, r.text) for r in found] == plain(words, 400 * N)
+
+
+def test_subtitles_of_a_segment_of_many_words(spark):
+    words = [f"w{i}" if i % 50 else f"meio-termo{i}" for i in range(N)]
+    rows = spark.createDataFrame([(1, 0, 0, 400 * N, " ".join(words), None, None)], SCHEMA)
+    began = time.monotonic()
+    (found,) = packing.subtitle_text(packing.build_cues(rows)).collect()
+    assert time.monotonic() - began < 20
+    blocks = found.content.split("\n\n")
+    assert len(blocks) == found.n_cues == len(plain(words, 400 * N, most=8000, room=84))
+    # A word broken at its hyphen is whole again once its lines are joined.
+    assert " ".join(" ".join(b.strip("\n").split("\n")[2:]) for b in blocks).replace("- ", "-").split() == words
