@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reelspan.functions.text import let
 from reelspan.functions.tolerant import col
 
 # Words of the reports' language.
@@ -27,8 +28,34 @@ def srt_time(ms: Column | str) -> Column:
 
 
 def fixed(c: Column, decimals: int) -> Column:
-    """A number with so many decimals, half of the last one to even."""
-    return F.format_string(f"%.{decimals}f", F.bround(c.cast("double"), decimals))
+    """A number with so many decimals, half of the last one to even.
+
+    The binary value decides, as in printf: 96.55 is just under 96.55 and gives 96.5. Its fraction is taken in
+    units of 2^-bits, so all is done in whole numbers; from 10^12 on, Spark's own rounding serves.
+    """
+    ten = 10**decimals
+    bits = 61 - (ten - 1).bit_length()
+
+    def digits(v: Column) -> Column:
+        # The fraction of a double scaled by a power of two is exact.
+        units = F.floor(v.part).cast("bigint") * ten
+        kept = F.shiftright(units, bits)
+        rest, half = units - F.shiftleft(kept, bits), F.lit(1 << (bits - 1))
+        up = (rest > half) | ((rest == half) & ((v.part > F.floor(v.part)) | ((v.whole * ten + kept) % 2 == 1)))
+        return let(v.whole * ten + kept + F.when(up, 1).otherwise(0), lambda n: F.concat(v.sign, *_digits(n, ten, decimals)))
+
+    def split(x: Column) -> Column:
+        whole = F.floor(F.abs(x)).cast("bigint")
+        parts = F.struct(F.when(x < 0, "-").otherwise("").alias("sign"), whole.alias("whole"), ((F.abs(x) - whole) * float(1 << bits)).alias("part"))
+        return F.when(F.abs(x) < 1e12, let(parts, digits)).otherwise(F.format_string(f"%.{decimals}f", F.bround(x, decimals)))
+
+    return let(c.cast("double"), split)
+
+
+def _digits(n: Column, ten: int, decimals: int) -> list[Column]:
+    if not decimals:
+        return [n.cast("string")]
+    return [((n - n % ten) / ten).cast("bigint").cast("string"), F.lit("."), F.lpad((n % ten).cast("string"), decimals, "0")]
 
 
 def decimal_comma(c: Column) -> Column:

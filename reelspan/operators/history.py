@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.functions.format import clock, decimal_comma, when_text
+from reelspan.functions.format import clock, decimal_comma, fixed, when_text
 from reelspan.functions.text import cut_middle, strip
 
 KEPT, HIGH, LOW, LOW_COVERAGE = 60, -0.35, -0.60, 0.95
@@ -210,7 +210,7 @@ def job_cards(runs: DataFrame, coverage: DataFrame, segments: DataFrame, stats:
     """
     counted = segments.groupBy(rec).agg(F.count("*").alias("_segments"), F.count_distinct("speaker").alias("_speakers"))
     rows = runs.join(counted, rec, "left").join(stats.select(rec, "words"), rec, "left").join(coverage.select(rec, "analyzed", "ratio", "n_gaps", "gap_seconds"), rec, "left")
-    number = lambda c, d: decimal_comma(F.format_string(f"%.{d}f", F.coalesce(F.col(c).cast("double"), F.lit(0.0))))
+    number = lambda c, d: decimal_comma(fixed(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), d))
     pair = lambda label, value: F.concat(F.lit(f"  {label:<21}"), value)
     lost = F.when(F.col("n_gaps") == 0, F.lit("nenhum trecho fora do silêncio")).otherwise(F.format_string("%d trecho(s) sem texto, %.0f s", "n_gaps", F.bround(F.col("gap_seconds").cast("double"))))
     none = F.array().cast("array<string>")
@@ -227,7 +227,7 @@ def job_cards(runs: DataFrame, coverage: DataFrame, segments: DataFrame, stats:
             pair("Palavras", F.coalesce("words", F.lit(0)).cast("string")), pair("Trechos", F.coalesce("_segments", F.lit(0)).cast("string")),
         ),
         F.when(F.col("_speakers") > 0, F.array(pair("Falantes", F.col("_speakers").cast("string")))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("analyzed") & F.col("ratio").isNotNull(), F.array(pair("Cobertura", F.concat(F.format_string("%.1f%%  (", F.bround(F.col("ratio") * 100, 1)), lost, F.lit(")"))))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("analyzed") & F.col("ratio").isNotNull(), F.array(pair("Cobertura", F.concat(fixed(F.col("ratio") * 100, 1), F.lit("%  ("), lost, F.lit(")"))))).otherwise(F.array().cast("array<string>")),
         listed(F.col("partial_failures"), "AVISOS"), listed(has("recovery", "array<string>"), "RECUPERACAO"),
     )
     return rows.select(rec, F.array_join(lines, "\n").alias("card"))
