@@ -8,6 +8,8 @@ that are long all the same (``FOLD_ROWS``) are segmented by search and pointer d
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -254,9 +256,10 @@ def paragraphs(segments: DataFrame, gap_ms: int = 1500, most_chars: int = 700, r
     return rows.select(rec, number.alias("par_no"), "st", "en", "text")
 
 
-def text_chunks(texts: DataFrame, size: int = 9000, key: str = "rec_id", text: str = "text") -> DataFrame:
+def text_chunks(texts: DataFrame, size: int = 9000, key: str = "rec_id", text: str = "text", clean: Callable[[Column], Column] = strip, blank: bool = False) -> DataFrame:
     """(key, chunk_no, chunk): pieces of at most ``size`` characters, cut after the last '. ' of the second half.
 
+    ``clean`` strips the pieces of a text that is cut; with ``blank``, those of which nothing is left are kept.
     The fold's state is the position reached; a cut always moves on by more than size / 2.
     """
     length, half = F.length(text), size // 2
@@ -267,11 +270,11 @@ def text_chunks(texts: DataFrame, size: int = 9000, key: str = "rec_id", text: s
         tail = F.substring(F.col(text), z["at"] + half + 1, end - z["at"] - half)
         back = F.instr(F.reverse(tail), " .")
         cut = F.when((end < length) & (back > 0), end - back).otherwise(end)
-        piece = strip(F.substring(F.col(text), z["at"] + 1, cut - z["at"]))
+        piece = clean(F.substring(F.col(text), z["at"] + 1, cut - z["at"]))
         return F.when(z["at"] >= length, z).otherwise(F.struct(F.concat(z.d, F.array(piece)).alias("d"), cut.alias("at")))
 
     steps = F.sequence(F.lit(1), F.ceil(2 * length / size).cast("int") + 1)
-    folded = F.aggregate(steps, zero, step, lambda z: F.filter(z.d, lambda c: c != ""))
+    folded = F.aggregate(steps, zero, step, lambda z: z.d if blank else F.filter(z.d, lambda c: c != ""))
     chunks = F.when(length <= size, F.array(text)).otherwise(folded)
     rows = texts.filter(F.col(text).isNotNull()).select(key, F.posexplode(chunks).alias("_p", "chunk"))
     return rows.select(key, (F.col("_p") + 1).alias("chunk_no"), "chunk")

@@ -25,3 +25,13 @@ def test_cards_round_as_the_sql(spark, tmp_path):
     want = con.execute(f"SELECT rec_id, card FROM ({catalogue.ORACLES['job_cards']})").fetchall()
     found = catalogue.QUERIES["job_cards"](spark, str(tmp_path)).select("rec_id", "card").collect()
     assert sorted(want) == sorted(tuple(r) for r in found)
+
+
+def test_chunks_are_stripped_as_in_the_sql(spark, tmp_path):
+    texts = ["a" * 8990 + ". \n\t" + "b" * 9000, "\n" + "c" * 9100 + "\n", " " * 9000 + "d" * 10, "\t" * 18100, "　" + "e" * 9005, "", None, " kept ", ("f" * 4400 + ". \n") * 5]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, chunk_no, chunk FROM ({catalogue.ORACLES['text_chunks']})").fetchall()
+    found = catalogue.QUERIES["text_chunks"](spark, str(tmp_path)).select("doc_id", "chunk_no", "chunk").collect()
+    assert sorted(want) == sorted(tuple(r) for r in found)
