@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from reelspan.functions.tolerant import span_length
 from reelspan.operators.blocks import BLOCK, block_pairs, blocked, over_pairs
-from reelspan.operators.intervals import BIN_MS, overlap_pairs
+from reelspan.operators.intervals import BIN_MS, measure_until, overlap_pairs
 from reelspan.operators.linkage import long_clusters
 from reelspan.shared import materialise
 
 #: Chunks up to which a recording is clustered in one task.
 IN_TASK = 256
+#: Speakers of a recording up to which overlaps are swept speaker by speaker.
+SWEPT = 32
 TURN_GAP_MS, CHUNK_MS, CHUNK_LEAST_MS = 400, 4000, 600
 
 
@@ -23,14 +25,40 @@ def assign_speakers(segments: DataFrame, turns: DataFrame, bin_ms: int | None =
 
     Segments that no turn overlaps keep the speaker they have.
     """
-    pairs = overlap_pairs(segments.select(rec, "seg_id", "st", "en"), turns.select(rec, "st", "en", "speaker"), bin_ms, rec)
-    summed = pairs.groupBy(rec, "seg_id", "r_speaker").agg(F.sum("overlap").alias("overlap"))
+    summed = _heard(segments.select(rec, "seg_id", "st", "en"), turns.select(rec, "st", "en", "speaker"), bin_ms, rec)
     # The greatest overlap, and of those the least name.
     best = summed.groupBy(rec, "seg_id").agg(F.max("overlap").alias("_most"), F.min_by("r_speaker", F.struct(-F.col("overlap"), F.col("r_speaker"))).alias("_speaker"))
     kept = F.col("speaker") if "speaker" in segments.columns else F.lit(None).cast("string")
     return segments.join(best, [rec, "seg_id"], "left").withColumn("speaker", F.coalesce("_speaker", kept)).drop("_most", "_speaker")
 
 
+def _heard(segments: DataFrame, turns: DataFrame, bin_ms: int | None, rec: str) -> DataFrame:
+    """(rec, seg_id, r_speaker, overlap): milliseconds of each speaker's turns in each segment, where there are any.
+
+    A sweep over each speaker's turns, so the rows are segments times speakers, however many turns overlap.
+    Recordings of over ``SWEPT`` speakers pair segments with turns.
+    """
+    segments, turns = segments.filter("en > st"), turns.filter("en > st")
+    names = turns.select(rec, "speaker").distinct()
+    counts = names.groupBy(rec).count()
+    many = counts.filter(F.col("count") > SWEPT).select(rec)
+    if (counts.agg(F.max("count")).first()[0] or 0) <= SWEPT:
+        return _swept(segments, turns, names, rec)
+    pairs = overlap_pairs(segments.join(many, rec, "left_semi"), turns.join(many, rec, "left_semi"), bin_ms, rec)
+    paired = pairs.groupBy(rec, "seg_id", "r_speaker").agg(F.sum("overlap").alias("overlap"))
+    few = lambda df: df.join(many, rec, "left_anti")
+    return _swept(few(segments), few(turns), few(names), rec).unionByName(paired)
+
+
+def _swept(segments: DataFrame, turns: DataFrame, names: DataFrame, rec: str) -> DataFrame:
+    of = F.struct(rec, "speaker").alias("_of")
+    ends = F.inline(F.array(*[F.struct(F.col(at).alias("t"), F.lit(sign).alias("_sign")) for at, sign in (("st", -1), ("en", 1))]))
+    until = measure_until(segments.join(names, rec).select(of, "seg_id", ends), turns.select(of, "st", "en"), rec="_of")
+    # Both ends of a segment meet once, where its speakers are compared too.
+    rows = until.select(F.col("_of")[rec].alias(rec), "seg_id", F.col("_of")["speaker"].alias("r_speaker"), (F.col("measure") * F.col("_sign")).alias("ms")).repartition(rec, "seg_id")
+    return rows.groupBy(rec, "seg_id", "r_speaker").agg(F.sum("ms").alias("overlap")).filter("overlap > 0")
+
+
 def renumber_speakers(segments: DataFrame, rec: str = "rec_id") -> DataFrame:
     """Rename speakers SPEAKER_00, SPEAKER_01, ... by first appearance in segment order."""
     first = segments.filter(F.coalesce("speaker", F.lit("")) != "").groupBy(rec, "speaker").agg(F.min("seg_id").alias("_first"))

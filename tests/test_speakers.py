@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from helpers import rows
 
@@ -81,3 +83,20 @@ def test_trim_to_words(spark):
 def test_remove_overlaps(spark):
     out = align.align_overlaps(segments(spark, [(0, 5, None), (4, 9, None), (8.95, 9.01, None)]))
     assert rows(out, "seg_id", "st", "en") == [(0, 0, 5000), (1, 5000, 9000), (2, 8950, 9010)]
+
+
+def test_few_speakers_are_swept_and_many_are_paired(spark, monkeypatch):
+    rng = random.Random(7)
+    spans = lambda n: [(r, i, a, a + rng.randrange(0, 90_000)) for r in (1, 2) for i in range(n) for a in [rng.randrange(1_500_000)]]
+    segments = spark.createDataFrame(spans(60), "rec_id bigint, seg_id bigint, st bigint, en bigint")
+    # Four speakers in the first recording, forty in the second.
+    turns = spark.createDataFrame([(r, a, b, f"S{i % (4 if r == 1 else 40)}") for r, i, a, b in spans(80)], "rec_id bigint, st bigint, en bigint, speaker string")
+    found = lambda s, t: sorted(map(tuple, speakers.assign_speakers(s, t).select("rec_id", "seg_id", "speaker").collect()), key=str)
+    both = found(segments, turns)
+    with monkeypatch.context() as m:
+        m.setattr(speakers, "SWEPT", 0)
+        assert both == found(segments, turns)
+    # No pairs are formed where speakers are few.
+    monkeypatch.setattr(speakers, "overlap_pairs", None)
+    first = segments.filter("rec_id = 1"), turns.filter("rec_id = 1")
+    assert found(*first) == [r for r in both if r[0] == 1]
