@@ -47,7 +47,8 @@ def whole_documents(raw: DataFrame, rec: str = "rec_id") -> DataFrame:
     rows = raw.select(F.col(rec).alias("rec_id"), "raw")
     blocks = F.when(F.try_parse_json("raw").isNotNull() & F.ltrim("raw").startswith("{"), F.from_json("raw", "map<string,variant>"))
     typed = F.from_json("raw", schemas.RESULT_DOCUMENT + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    rows = rows.select("rec_id", F.explode(F.array(typed)).alias("d"), blocks.alias("blocks"))
+    # A plain column, not a generator, so that nothing is parsed for columns that are not used.
+    rows = rows.select("rec_id", typed.alias("d"), blocks.alias("blocks"))
     return rows.select("rec_id", "d.*", "blocks").withColumn("readable", F.col("_bad").isNull() | F.col("segments").isNotNull()).drop("_bad")
 
 

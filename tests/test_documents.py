@@ -120,3 +120,11 @@ def test_report_sections_with_all_that_they_can_hold(spark):
         assert part in text, (part, text)
     bare = report.reports(rec.select("rec_id", "duration"), seg.withColumn("speaker", F.lit(None).cast("string")), quiet).first().content
     assert "[00:00:02.000 → 00:00:04.000] sem dono" in bare and "A transcrição acima segue válida" in bare and "(sem lista de stopwords para este idioma)" in bare and "Pasta de saída  : ." in bare
+
+
+def test_columns_that_are_not_used_are_not_parsed(spark):
+    raw = spark.createDataFrame([(1, '{"segments":[{"id":0,"text":"a"}],"later":{"x":1}}'), (2, "{"), (3, None)], "rec_id int, raw string")
+    documents = readers.whole_documents(raw)
+    assert sorted((r.rec_id, r.readable, r.blocks is not None) for r in documents.collect()) == [(1, True, True), (2, False, False), (3, True, False)]
+    plan = documents.select("rec_id", "blocks")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "schema_version" not in plan
