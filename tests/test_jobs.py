@@ -110,3 +110,54 @@ def test_state_is_bounded(spark, tmp_path):
         q.awaitTermination()
         numbers = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     assert max(numbers) < 200 and numbers[-1] <= 6
+
+
+class Handle:
+    """A job's state and timers, and how often they were called."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_state_is_called_few_times_whatever_waits():
+    handle, job = Handle(), jobs.Stalls(keep_ms=1_000_000)
+    job.init(handle)
+    text = [json.dumps({"ms": n * 1000, "seq": n, "t": "progress"}) for n in range(500)]
+    assert list(job.advance(("a",), text[::-1], 0)) == [] and handle.calls == 3
+    assert list(job.advance(("a",), [json.dumps({"ms": 600_000, "t": "progress"})], 0)) == [] and handle.calls == 5 and handle.timers == {1001}
+    handle.timers.clear()  # fired
+    rows = list(job.advance(("a",), [], 950_000, 1001))
+    assert [tuple(r) for r in rows] == [("a", 0, 0, 600_000, 501, 300_000)] and handle.calls == 8
+    assert handle.timers == {1_600_001} and handle.value[-2] is None
+    handle.timers.clear()
+    assert list(job.advance(("a",), [], 1_600_001, 1_600_001)) == [] and handle.value is None and not handle.timers and handle.calls == 10
+
+
+def test_an_odd_fraction_stays():
+    states = jobs.States(1)
+    state = dict(zip(jobs.names_of(states.FOLD), states.FIRST))
+    states.step(state, {"ms": 5, "t": "progress", "fraction": "NaN"})
+    assert state["fraction"] != state["fraction"] and states.rows([], state, True)[0][-1] is None
+    states.step(state, {"ms": 6, "t": "progress"})
+    assert state["fraction"] is None and state["message"] is None
